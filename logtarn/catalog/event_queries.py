@@ -53,7 +53,7 @@ SELECT event_id, source_type, ts, '{{}}' AS transport_metadata,
 FROM requests""")
 def events_prepare(spark, sf_dir):
     """The request moved into raw, event fields at their defaults."""
-    records = cloudevents.encode(cloudevents.prepare(http_requests(spark, sf_dir)))
+    records = cloudevents.prepare(http_requests(spark, sf_dir))
     defaults = (
         "transport_method", "cloudevent_binding", "cloudevent_id", "cloudevent_source",
         "cloudevent_type", "xname", "component_id", "node_id", "trace_id", "request_id",
@@ -91,7 +91,7 @@ SELECT event_id, transport_method,
 FROM expected""")
 def events_transport(spark, sf_dir):
     """Transport metadata taken from the headers."""
-    records = cloudevents.encode(_sanitized(spark, sf_dir))
+    records = _sanitized(spark, sf_dir)
     names = ("content_type", "user_agent", "host", "path", "accept_encoding")
     return records.select(
         "event_id", "transport_method", *[member("transport_metadata", n, n) for n in names]
@@ -133,7 +133,7 @@ SELECT event_id, cloudevent_id AS id, cloudevent_type AS type, data_k, data_id,
 FROM expected""")
 def events_body(spark, sf_dir):
     """Body merged into the event."""
-    records = cloudevents.encode(_sanitized(spark, sf_dir))
+    records = _sanitized(spark, sf_dir)
     data = F.get_json_object("cloudevent", "$.data")
     return records.select(
         "event_id", member("cloudevent", "id", "id"), member("cloudevent", "type", "type"),
@@ -148,7 +148,7 @@ SELECT event_id, '{{}}' AS transport_metadata, '{{"data":{{}}}}' AS cloudevent
 FROM expected WHERE transport_method IS NULL""")
 def events_malformed(spark, sf_dir):
     """Records whose body is not JSON, and unmatched ones, keep every default."""
-    records = cloudevents.encode(_sanitized(spark, sf_dir)).where("transport_method IS NULL")
+    records = _sanitized(spark, sf_dir).where("transport_method IS NULL")
     return records.select("event_id", "transport_metadata", "cloudevent")
 
 
@@ -187,7 +187,7 @@ SELECT event_id, transport_method IS NULL AS unread,
 FROM expected""")
 def events_encode(spark, sf_dir):
     """Nested members as JSON text."""
-    records = cloudevents.encode(_sanitized(spark, sf_dir))
+    records = _sanitized(spark, sf_dir)
     return records.select(
         "event_id", F.col("transport_method").isNull().alias("unread"),
         member("transport_metadata", "host", "metadata_host"), member("raw", "host", "raw_host"),

@@ -142,7 +142,7 @@ OBJECTS_SQL = f"""{LOGS_SQL},
 lines AS (
   SELECT *, strftime(event_time, '%Y-%m-%d') AS date, event_id % 8 AS slot,
     CASE WHEN event_id % 8 = 3 AND event_type = 'error' THEN 'field node_id is not text'
-      WHEN event_id % 8 = 5 AND user_id % 20 = 0 THEN 'not one JSON value' END AS reason
+      WHEN event_id % 8 = 5 AND user_id % 20 = 0 THEN 'not one JSON object' END AS reason
   FROM found
 ),
 objects AS (

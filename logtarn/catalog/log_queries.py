@@ -66,7 +66,7 @@ def logs_prepare(spark, sf_dir):
     empty = [F.col(c).isNull().cast("int") for c in (*logs.DOMAIN_FIELDS, "parse_error")]
     return prepared.select(
         "event_id", "ts", "service", "host", "level", "msg",
-        F.to_json("data").alias("data"),
+        "data",
         sum(empty, F.lit(0)).alias("null_fields"),
     )
 
@@ -105,7 +105,7 @@ SELECT event_id, failed, request_id AS data_request_id, trace_id AS data_trace_i
 FROM found WHERE service = 'opaal'""")
 def logs_json(spark, sf_dir):
     """JSON messages parsed into data; the others flagged."""
-    parsed = logs.encode(_sanitized(spark, sf_dir)).where("service = 'opaal'")
+    parsed = _sanitized(spark, sf_dir).where("service = 'opaal'")
     return parsed.select(
         "event_id", failed(), json_member("request_id"), json_member("trace_id"),
         json_member("xname"), F.when(F.col("parse_error").isNotNull(), F.col("data"))
@@ -120,7 +120,7 @@ SELECT event_id, failed, 'info' AS data_level, CAST(user_id AS VARCHAR) AS data_
 FROM found WHERE branch = 'logfmt'""")
 def logs_logfmt(spark, sf_dir):
     """logfmt messages parsed into data."""
-    parsed = logs.encode(_sanitized(spark, sf_dir)).where(
+    parsed = _sanitized(spark, sf_dir).where(
         F.col("service").isin(*logs.LOGFMT_SERVICES)
     )
     return parsed.select(
@@ -135,7 +135,7 @@ SELECT branch, count(*) AS records, count(DISTINCT event_id) AS distinct_records
 GROUP BY 1""")
 def logs_join_routes(spark, sf_dir):
     """Every record comes out of the parsing step exactly once, whatever its route."""
-    parsed = logs.encode(_sanitized(spark, sf_dir))
+    parsed = _sanitized(spark, sf_dir)
     branch = (
         F.when(F.col("parse_error").isNotNull(), "broken")
         .when(F.col("service") == "opaal", "json")
@@ -173,7 +173,7 @@ SELECT event_id, branch IN ('plain', 'broken') AS is_empty, request_id AS data_r
 FROM found""")
 def logs_encode(spark, sf_dir):
     """Data as JSON text."""
-    encoded = logs.encode(_sanitized(spark, sf_dir))
+    encoded = _sanitized(spark, sf_dir)
     return encoded.select(
         "event_id", (F.col("data") == "{}").alias("is_empty"), json_member("request_id"),
         json_member("request_uri"), json_member("nid"),

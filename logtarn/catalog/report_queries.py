@@ -193,17 +193,17 @@ def adhoc_join(spark, sf_dir):
     )
 
 
-@catalogued(f"""
-WITH {LAKE_LOGS_SQL}
-SELECT a.request_id, b.service FROM lake a JOIN lake b
-  ON a.trace_id = 't' || b.node_id AND a.ts = b.ts""")
+SELF_JOIN = """
+SELECT a.host, a.records, b.errors FROM
+  (SELECT host, count(*) AS records FROM {table} GROUP BY host) a
+  JOIN (SELECT host, count(*) AS errors FROM {table} WHERE level = 'err' GROUP BY host) b
+  ON a.host = b.host"""
+
+
+@catalogued(f"WITH {LAKE_LOGS_SQL} {SELF_JOIN.format(table='lake')}")
 def adhoc_self_join(spark, sf_dir):
     """Free SQL that mentions SOURCES twice."""
-    return query(
-        spark, two_tier_lake(spark, sf_dir),
-        "SELECT a.request_id, b.service FROM SOURCES a JOIN SOURCES b "
-        "ON a.trace_id = concat('t', b.node_id) AND a.ts = b.ts",
-    )
+    return query(spark, two_tier_lake(spark, sf_dir), SELF_JOIN.format(table="SOURCES"))
 
 
 @catalogued(f"""

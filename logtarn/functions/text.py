@@ -17,10 +17,15 @@ def strip_ansi(text: Column) -> Column:
 
 
 def word_after(text: Column, marker: str) -> Column:
-    """The first alphanumeric run after ``marker`` and ``=`` or white space, lower-cased.
+    """The first alphanumeric run after ``marker`` and ``=`` or white space, in lower case.
 
-    Null when there is none. The marker may be the end of a longer word.
+    Null when there is none. The marker, given in lower case, is found in any case and may be the
+    end of a longer word.
     """
-    lowered = F.lower(text)
-    found = F.regexp_extract(lowered, marker + r"[=\p{IsWhite_Space}]+([A-Za-z0-9]+)", 1)
-    return F.when(F.contains(lowered, F.lit(marker)), F.nullif(found, F.lit("")))
+    # The result is that of searching the lower-cased text, but only what is found is converted:
+    # case mapping a whole message costs more than searching it. Two letters outside ASCII have
+    # lower cases that begin with an ASCII letter.
+    found = F.regexp_extract(
+        text, rf"(?i){marker}[=\p{{IsWhite_Space}}]+([A-Za-z0-9\u212A\u0130]+)", 1
+    )
+    return F.when(found != "", F.regexp_extract(F.lower(found), "^[a-z0-9]+", 0))

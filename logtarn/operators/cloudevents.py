@@ -1,9 +1,19 @@
 """Normalisation of CloudEvents received over HTTP."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtarn.functions.json_text import field_text, object_members, strict_json
+from logtarn.functions.json_text import (
+    members,
+    object_fields,
+    only_object,
+    only_value,
+    trimmed,
+    with_members,
+)
 from logtarn.schemas import EVENT_FIELDS
 
 # Request headers kept as transport metadata, and their stored names.
@@ -23,21 +33,23 @@ PROMOTED = ("id", "source", "type", "specversion")
 HTTP_SOURCE = "http_server"
 NO_PATH = "no sanitization path for the received cloudevent exists"
 
-_MEMBERS = "map<string,variant>"
+_REQUEST_FIELDS = ("source_type", "timestamp", "message")
+_GIVEN = dict.fromkeys(PROMOTED, "string")
 
 
 def prepare(landed: DataFrame) -> DataFrame:
     """Move the whole request into ``raw`` and start the event fields at their defaults.
 
-    ``raw``, ``transport_metadata`` and ``cloudevent`` are VARIANT objects until :func:`encode`.
+    ``raw``, ``transport_metadata`` and ``cloudevent`` are JSON text from the start, so they never
+    have to be encoded.
     """
     null = F.lit(None).cast("string")
     known = {name: null for name in EVENT_FIELDS if name != "payload_json"}
     known |= {
         "ts": F.col("timestamp"),
-        "transport_metadata": F.parse_json(F.lit("{}")),
-        "cloudevent": F.parse_json(F.lit('{"data":{}}')),
-        "raw": F.to_variant_object(_request()),
+        "transport_metadata": F.lit("{}"),
+        "cloudevent": F.lit('{"data":{}}'),
+        "raw": _request(),
     }
     carried = [c for c in landed.columns if c not in ("timestamp", *known, "payload_json")]
     return landed.select(*[value.alias(name) for name, value in known.items()], *carried)
@@ -56,11 +68,11 @@ def route(records: DataFrame) -> DataFrame:
 
 
 def transport_metadata(headers: Column) -> Column:
-    """The transport headers that are present, under their stored names."""
-    present = F.map_filter(
-        headers, lambda k, v: k.isin(*TRANSPORT_HEADERS) & v.isNotNull()
+    """The transport headers that are present, under their stored names, as JSON."""
+    return F.to_json(
+        F.struct(*[headers[header].alias(name) for header, name in TRANSPORT_HEADERS.items()]),
+        {"ignoreNullFields": "true"},
     )
-    return F.transform_keys(present, lambda k, v: F.translate(k, "-", "_"))
 
 
 def attributes(headers: Column) -> Column:
@@ -71,28 +83,30 @@ def attributes(headers: Column) -> Column:
     )
 
 
-def binding(headers: Column) -> Column:
+def binding(attrs: Column) -> Column:
     """``binary`` when attributes travel in headers, else ``structured``."""
-    return F.when(F.size(attributes(headers)) > 0, "binary").otherwise("structured")
+    return F.when(F.size(attrs) > 0, "binary").otherwise("structured")
 
 
-def merged_event(attrs: Column, message: Column, body: Column) -> Column:
-    """The members of the event as a map of VARIANTs.
+def merged_event(attrs: Column, body: Column, body_keys: Column) -> Column:
+    """The event as JSON: attributes from headers, overlaid with a checked body.
 
-    Members of the body replace attributes of the same name. A body without ``data`` is itself
-    the data. Without a body the data is empty unless a header gives it.
+    ``body_keys`` are the members of a body that is an object, else null. Members of a body that
+    has ``data`` replace attributes of the same name. A body without ``data`` is itself the data.
+    Without a body the data is empty unless a header gives it.
     """
-    given = F.transform_values(attrs, lambda k, v: v.cast("variant"))
-    members = object_members(body)
-    wraps_data = F.coalesce(F.map_contains_key(members, "data"), F.lit(False))
-    from_body = F.when(wraps_data, members).otherwise(F.create_map(F.lit("data"), body))
-    over = F.when(message != "", from_body).otherwise(F.lit(None).cast(_MEMBERS))
-    empty = F.create_map(F.lit("data"), F.parse_json(F.lit("{}")))
-
-    def without(base: Column, top: Column) -> Column:
-        return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(top, k)), top)
-
-    return F.when(over.isNull(), without(empty, given)).otherwise(without(given, over))
+    wraps_data = F.coalesce(F.array_contains(body_keys, F.lit("data")), F.lit(False))
+    kept = F.map_filter(attrs, lambda k, v: ~F.array_contains(body_keys, k))
+    no_data = F.map_filter(attrs, lambda k, v: k != "data")
+    return (
+        F.when(wraps_data, with_members(F.to_json(kept), members(body)))
+        .when(
+            body.isNotNull(),
+            with_members(F.to_json(no_data), F.concat(F.lit('"data":'), body)),
+        )
+        .when(F.map_contains_key(attrs, "data"), F.to_json(attrs))
+        .otherwise(with_members(F.to_json(attrs), F.lit('"data":{}')))
+    )
 
 
 def sanitize(records: DataFrame) -> DataFrame:
@@ -101,44 +115,58 @@ def sanitize(records: DataFrame) -> DataFrame:
     A record of another source, or one whose body is not JSON, keeps every default: nothing is
     taken from its headers either.
     """
-    headers, message = F.col("headers"), F.col("message")
-    staged = records.withColumns({
-        "_body": F.when(is_routed(F.col("source_type")) & (message != ""), strict_json(message)),
-        "_attrs": attributes(F.coalesce(headers, F.create_map().cast("map<string,string>"))),
+    return _sanitize(records).drop("_given")
+
+
+def _sanitize(records: DataFrame) -> DataFrame:
+    """The same with the attributes to be promoted in ``_given``."""
+    message, routed = F.col("message"), is_routed(F.col("source_type"))
+    read = records.withColumns({
+        "_read": F.when(routed & (message != ""), only_object(message, _GIVEN)),
+        "_attrs": F.when(routed, attributes(_headers())),
     })
-    body = F.col("_body")
-    readable = is_routed(F.col("source_type")) & F.coalesce(
-        (message == "") | body.isNotNull(), F.lit(False)
+    # An object is read once, for the check and its attributes; other values are checked alone.
+    staged = read.withColumn(
+        "_body",
+        F.when(F.col("_read").isNotNull(), trimmed(message)).when(
+            routed & (message != ""), only_value(message)
+        ),
     )
+    attrs, body, top = F.col("_attrs"), F.col("_body"), F.col("_read")
+    readable = routed & F.coalesce((message == "") | body.isNotNull(), F.lit(False))
+    keyed = staged.withColumn("_keys", F.json_object_keys(F.when(top.isNotNull(), body)))
+    keys = F.col("_keys")
+    wraps_data = F.coalesce(F.array_contains(keys, F.lit("data")), F.lit(False))
 
     def when_read(value: Column, name: str) -> Column:
         return F.when(readable, value).otherwise(F.col(name))
 
-    return staged.withColumns({
+    given = F.struct(*[
+        F.when(wraps_data & F.array_contains(keys, F.lit(name)), top[name])
+        .otherwise(attrs[name]).alias(name)
+        for name in PROMOTED
+    ])
+    return keyed.withColumns({
         "transport_method": when_read(F.lit("http"), "transport_method"),
-        "transport_metadata": when_read(
-            F.to_variant_object(
-                transport_metadata(F.coalesce(headers, F.create_map().cast("map<string,string>")))
-            ),
-            "transport_metadata",
-        ),
-        "cloudevent": when_read(
-            F.to_variant_object(merged_event(F.col("_attrs"), message, body)), "cloudevent"
-        ),
-        "cloudevent_binding": when_read(
-            F.when(F.size("_attrs") > 0, "binary").otherwise("structured"), "cloudevent_binding"
-        ),
-    }).drop("_body", "_attrs")
+        "transport_metadata": when_read(transport_metadata(_headers()), "transport_metadata"),
+        "cloudevent": when_read(merged_event(attrs, body, keys), "cloudevent"),
+        "cloudevent_binding": when_read(binding(attrs), "cloudevent_binding"),
+        "_given": F.when(readable, given),
+    }).drop("_read", "_body", "_attrs", "_keys")
 
 
 def promote(records: DataFrame) -> DataFrame:
     """Fill the event columns that are null from the event's members."""
+    return _promote(
+        records.withColumn("_given", object_fields(F.col("cloudevent"), _GIVEN))
+    )
+
+
+def _promote(records: DataFrame) -> DataFrame:
     return records.withColumns({
-        f"cloudevent_{name}": F.coalesce(
-            F.col(f"cloudevent_{name}"), field_text(F.col("cloudevent"), name)
-        )
+        f"cloudevent_{name}": F.coalesce(f"cloudevent_{name}", f"_given.{name}")
         for name in PROMOTED
-    })
+    }).drop("_given")
 
 
 def flag_unparsed(records: DataFrame) -> DataFrame:
@@ -151,25 +179,24 @@ def flag_unparsed(records: DataFrame) -> DataFrame:
     )
 
 
-def encode(records: DataFrame) -> DataFrame:
-    """Turn the nested members into JSON text, the form they are stored in."""
-    return records.withColumns({
-        name: F.to_json(name) for name in ("transport_metadata", "cloudevent", "raw")
-    })
-
-
 def normalize_events(landed: DataFrame) -> DataFrame:
     """Landed HTTP requests to lake records. The request itself lives on in ``raw`` only."""
-    parsed = encode(flag_unparsed(promote(sanitize(prepare(landed)))))
-    return parsed.drop("headers", "message")
+    records = _promote(_sanitize(prepare(landed)))
+    return flag_unparsed(records).drop("headers", "message")
+
+
+def _headers() -> Column:
+    return F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
 
 
 def _request() -> Column:
-    """The request as one flat object: its own fields and every header."""
-    own = F.create_map(
-        F.lit("source_type"), F.col("source_type"),
-        F.lit("timestamp"), F.col("timestamp"),
-        F.lit("message"), F.col("message"),
+    """The request as one flat JSON object: its own fields and every header."""
+    own = F.create_map(*[part for name in _REQUEST_FIELDS for part in (F.lit(name), F.col(name))])
+    # A header named like one of the request's own fields gives way to it. Hardly any is, and
+    # looking is cheaper than filtering.
+    headers = _headers()
+    clash = reduce(or_, [F.map_contains_key(headers, name) for name in _REQUEST_FIELDS])
+    others = F.map_filter(headers, lambda k, v: ~k.isin(*_REQUEST_FIELDS))
+    return F.when(clash, F.to_json(F.map_concat(others, own))).otherwise(
+        F.to_json(F.map_concat(headers, own))
     )
-    headers = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
-    return F.map_concat(F.map_filter(headers, lambda k, v: ~F.map_contains_key(own, k)), own)

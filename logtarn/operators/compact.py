@@ -1,21 +1,26 @@
 """Compaction of raw objects into Parquet."""
 
-from pyspark.sql import Column, DataFrame
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtarn.functions.json_text import field, field_text, is_text_or_null, strict_json
+from logtarn.functions.json_text import is_text_or_null, only_object
 from logtarn.functions.times import event_date
 from logtarn.schemas import record_fields
 from logtarn.session import work_area
-from logtarn.sources.lake import Lake, read_quarantine, read_raw_lines, read_status
+from logtarn.sources.lake import (
+    Lake,
+    known_objects,
+    path_exists,
+    read_quarantine,
+    read_raw_lines,
+)
+from logtarn.sources.objects import ObjectSet
 from logtarn.sources.sinks import write_compacted
 
 BLANK = "blank line"
-NOT_JSON = "not one JSON value"
-NOT_OBJECT = "not a JSON object"
-
-#: Up to this many rejected objects are named in the plan; more are found by a join.
-NAMED_OBJECTS = 1_000
+NOT_OBJECT = "not one JSON object"
 
 
 def stored_fields(stream: str) -> tuple[str, ...]:
@@ -24,36 +29,23 @@ def stored_fields(stream: str) -> tuple[str, ...]:
 
 
 def check_lines(lines: DataFrame, stream: str) -> DataFrame:
-    """Parse each line once and say in ``reason`` why it cannot be stored, null if it can.
+    """Say in ``reason`` why a line cannot be stored, null if it can.
 
-    A line must be one JSON object whose record fields are all text, null or absent. The parsed
-    line stays in ``_record``.
+    A line must be exactly one JSON object whose record fields are all text, null or absent. The
+    fields are read as VARIANTs, which keep their type.
     """
-    parsed = lines.withColumn("_record", strict_json(F.col("value")))
-    shaped = parsed.withColumn("_shape", F.schema_of_variant("_record"))
-    shape = F.col("_shape")
+    fields = stored_fields(stream)
+    read = lines.withColumn("_record", only_object(F.col("value"), dict.fromkeys(fields, "variant")))
+    odd_field = F.coalesce(*[
+        F.when(~is_text_or_null(F.col(f"_record.{name}")), F.lit(f"field {name} is not text"))
+        for name in fields
+    ])
     reason = (
-        F.when(F.trim("value") == "", F.lit(BLANK))
-        .when(F.col("_record").isNull(), F.lit(NOT_JSON))
-        .when(~F.startswith(shape, F.lit("OBJECT")), F.lit(NOT_OBJECT))
-        .when(F.rlike(shape, F.lit(_odd_type(stream))), _first_odd_field(stream))
+        F.when(F.btrim("value", F.lit(" \t\r")) == "", F.lit(BLANK))
+        .when(F.col("_record").isNull(), F.lit(NOT_OBJECT))
+        .otherwise(odd_field)
     )
-    return shaped.withColumn("reason", reason).drop("_shape")
-
-
-def _odd_type(stream: str) -> str:
-    # Looks for a record field of another type anywhere in the line's shape. It may also hit a
-    # member of a nested object, so a hit only calls for the exact look at the fields themselves,
-    # which nearly all lines are spared.
-    return "[<, ](?:" + "|".join(stored_fields(stream)) + "): (?!STRING|VOID)"
-
-
-def _first_odd_field(stream: str) -> Column:
-    record = F.col("_record")
-    return F.coalesce(*[
-        F.when(~is_text_or_null(field(record, name)), F.lit(f"field {name} is not text"))
-        for name in stored_fields(stream)
-    ])
+    return read.withColumn("reason", reason).drop("_record")
 
 
 def object_status(checked: DataFrame) -> DataFrame:
@@ -68,14 +60,15 @@ def project_records(checked: DataFrame, stream: str) -> DataFrame:
 
     ``date`` is the day of the event, or of the raw folder for records without a time.
     """
-    record = F.col("_record")
     folder = F.regexp_extract("source_file", r"/date=(\d{4}-\d\d-\d\d)/", 1).try_cast("date")
-    return checked.select(
-        *[field_text(record, name).alias(name) for name in stored_fields(stream)],
+    fields = stored_fields(stream)
+    record = F.from_json("value", ",".join(f"`{name}` string" for name in fields))
+    return checked.withColumn("_record", record).select(
+        *[F.col(f"_record.{name}").alias(name) for name in fields],
         F.col("value").alias("payload_json"),
         "source_file",
         F.current_date().cast("string").alias("compacted_on"),
-        F.coalesce(event_date(field_text(record, "ts")), folder).alias("date"),
+        F.coalesce(event_date(F.col("_record.ts")), folder).alias("date"),
     )
 
 
@@ -98,49 +91,51 @@ def compact_lines(
     checked = check_lines(lines, stream)
 
     # The verdict on each object must be known before its first row is written. It is one small
-    # row per object, kept as a table; parsing twice costs less than storing every parsed row.
+    # row per object, kept as a table; reading twice costs less than storing every parsed row.
     verdicts = work_area(spark, "object-status")
     object_status(checked).write.parquet(verdicts)
     status = spark.read.parquet(verdicts)
-    bad = status.where("bad_lines > 0").select("source_file")
-    bad_objects = bad.count()
-
-    if bad_objects == 0:
-        stored, rejected = checked, None
-    elif salvage:
+    bad = ObjectSet(status.where("bad_lines > 0").select("source_file"))
+    if salvage:
         stored = checked.where(F.col("reason").isNull())
         rejected = checked.where(F.col("reason").isNotNull())
-    elif bad_objects <= NAMED_OBJECTS:
-        # Named in the filter, the rejected objects are left out of one scan and are all that
-        # the other scan opens.
-        names = [row.source_file for row in bad.collect()]
-        stored = checked.where(~F.col("source_file").isin(names))
-        rejected = checked.where(F.col("source_file").isin(names))
     else:
-        stored = checked.join(bad, "source_file", "left_anti")
-        rejected = checked.join(bad, "source_file", "left_semi")
+        stored, rejected = bad.exclude(checked), bad.only(checked)
 
     write_compacted(project_records(stored, stream), lake.compacted(stream), batch)
-    if rejected is not None:
+    if bad.size:
         _replace_batch(set_aside(rejected), lake.quarantine(stream), batch)
     compacted = F.lit(True) if salvage else F.col("bad_lines") == 0
     _replace_batch(status.withColumn("compacted", compacted), lake.object_status(stream), batch)
 
 
-def compact_raw(spark, lake: Lake, stream: str, batch: str, salvage: bool = False) -> None:
-    """Compact every raw object that has not been dealt with yet, as one batch."""
-    known = read_status(spark, lake, stream).select("source_file")
-    lines = read_raw_lines(spark, lake, stream).join(known, "source_file", "left_anti")
-    compact_lines(lines, lake, stream, batch, salvage)
+def compact_raw(
+    spark: SparkSession,
+    lake: Lake,
+    stream: str,
+    batch: str | None = None,
+    salvage: bool = False,
+) -> None:
+    """Compact every raw object that has not been dealt with yet, as one batch.
+
+    A batch that was named and died can be run again under its name; one that is complete cannot.
+    """
+    batch = batch or uuid4().hex
+    if path_exists(spark, f"{lake.object_status(stream)}/batch={batch}"):
+        raise ValueError(f"batch {batch!r} of {stream} is complete")
+    lines = read_raw_lines(spark, lake, stream)
+    compact_lines(known_objects(spark, lake, stream).exclude(lines), lake, stream, batch, salvage)
 
 
-def retry_quarantine(spark, lake: Lake, stream: str, batch: str) -> None:
+def retry_quarantine(
+    spark: SparkSession, lake: Lake, stream: str, batch: str | None = None
+) -> None:
     """Check quarantined objects again, for use after the rules or the lines were mended."""
     lines = read_quarantine(spark, lake, stream).select(F.col("line").alias("value"), "source_file")
     # The lines are read from the tables this run adds to: fix them first.
     copy = work_area(spark, "retry")
     lines.write.parquet(copy)
-    compact_lines(spark.read.parquet(copy), lake, stream, batch)
+    compact_lines(spark.read.parquet(copy), lake, stream, batch or uuid4().hex)
 
 
 def _replace_batch(rows: DataFrame, path: str, batch: str) -> None:

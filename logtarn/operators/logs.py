@@ -5,11 +5,14 @@ batch and streaming and the whole chain stays in the stage of the scan: no shuff
 one branch per service.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtarn.functions.json_text import field, field_text, is_text, strict_json
-from logtarn.functions.logfmt import parse_logfmt
+from logtarn.functions.json_text import is_text, object_fields, only_value
+from logtarn.functions.logfmt import logfmt_json, plain_json
 from logtarn.functions.text import strip_ansi, word_after
 from logtarn.schemas import LOG_FIELDS
 
@@ -50,7 +53,7 @@ NOT_LOGFMT = "unable to parse message as logfmt"
 def prepare(landed: DataFrame) -> DataFrame:
     """Rename the syslog fields, add the domain fields as nulls, strip terminal escapes.
 
-    ``data`` is an empty VARIANT object from here to :func:`encode`. Other syslog fields are
+    ``data`` is JSON text from the start, so it never has to be encoded. Other syslog fields are
     carried along unchanged.
     """
     null = F.lit(None).cast("string")
@@ -60,7 +63,7 @@ def prepare(landed: DataFrame) -> DataFrame:
         "host": F.col("host"),
         "level": F.col("severity"),
         "msg": strip_ansi(F.col("message")),
-        "data": _empty_object(),
+        "data": F.lit("{}"),
         "parse_error": null,
         **{name: null for name in DOMAIN_FIELDS},
     }
@@ -92,8 +95,13 @@ def sanitize(records: DataFrame) -> DataFrame:
     service, msg = F.col("service"), F.col("msg")
     is_json = service.isin(*JSON_SERVICES) & (msg != "")
     is_logfmt = service.isin(*LOGFMT_SERVICES) & (msg != "")
-    parsed = records.withColumn(
-        "_parsed", F.when(is_json, strict_json(msg)).when(is_logfmt, parse_logfmt(msg))
+    plain = records.withColumn("_plain", F.when(is_logfmt, plain_json(msg)))
+    keyed = plain.withColumn("_keys", F.json_object_keys("_plain"))
+    parsed = keyed.withColumn(
+        "_parsed",
+        F.when(is_json, only_value(msg)).when(
+            is_logfmt, logfmt_json(msg, F.col("_plain"), F.col("_keys"))
+        ),
     )
     failed = F.col("_parsed").isNull()
     return parsed.withColumns({
@@ -101,38 +109,46 @@ def sanitize(records: DataFrame) -> DataFrame:
         "parse_error": F.when(is_json & failed, F.lit(NOT_JSON))
         .when(is_logfmt & failed, F.lit(NOT_LOGFMT))
         .otherwise(F.col("parse_error")),
-    }).drop("_parsed")
+    }).drop("_plain", "_keys", "_parsed")
 
 
 def promote(records: DataFrame) -> DataFrame:
     """Fill null domain fields from ``data``. Values that are not text are taken as text."""
-    return records.withColumns({
-        name: F.coalesce(F.col(name), field_text(F.col("data"), name)) for name in PROMOTED
-    })
+    return _promote(_read_data(records)).drop("_given")
 
 
 def best_effort(records: DataFrame) -> DataFrame:
     """Search the message for fields that ``data`` did not give as text."""
-    data, msg = F.col("data"), F.col("msg")
+    return _best_effort(_read_data(records)).drop("_given")
+
+
+def _read_data(records: DataFrame) -> DataFrame:
+    kinds = {name: "variant" if name in SEARCHED else "string" for name in PROMOTED}
+    # Most data has none of the fields, which is cheap to see: a key is quoted text, or has an
+    # escape in it.
+    hints = [*(f'"{name}"' for name in PROMOTED), "\\u"]
+    hinted = reduce(or_, [F.contains(F.col("data"), F.lit(hint)) for hint in hints])
+    data = F.when(hinted, F.col("data"))
+    return records.withColumn("_given", object_fields(data, kinds))
+
+
+def _promote(records: DataFrame) -> DataFrame:
+    return records.withColumns({
+        name: F.coalesce(F.col(name), F.col(f"_given.{name}").cast("string")) for name in PROMOTED
+    })
 
+
+def _best_effort(records: DataFrame) -> DataFrame:
     def searched(name: str, marker: str) -> Column:
-        settled = F.col(name).isNotNull() & is_text(field(data, name))
+        settled = F.col(name).isNotNull() & is_text(F.col(f"_given.{name}"))
         return F.when(settled, F.col(name)).otherwise(
-            F.coalesce(word_after(msg, marker), F.col(name))
+            F.coalesce(word_after(F.col("msg"), marker), F.col(name))
         )
 
     return records.withColumns({name: searched(name, marker) for name, marker in SEARCHED.items()})
 
 
-def encode(records: DataFrame) -> DataFrame:
-    """Turn ``data`` into JSON text, the form it is stored in."""
-    return records.withColumn("data", F.to_json("data"))
-
-
 def normalize_logs(landed: DataFrame) -> DataFrame:
     """Landed syslog records to lake records."""
-    return encode(best_effort(promote(sanitize(prepare(landed)))))
-
-
-def _empty_object() -> Column:
-    return F.parse_json(F.lit("{}"))
+    records = _read_data(sanitize(prepare(landed)))
+    return _best_effort(_promote(records)).drop("_given")

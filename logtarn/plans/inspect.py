@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtarn.functions.json_text import strict_json
+from logtarn.functions.json_text import is_object, only_value
 from logtarn.functions.times import event_date
 
 
@@ -25,7 +25,10 @@ def schema_profile(lines: DataFrame, line: str = "value") -> DataFrame:
     contribute nothing.
     """
     spark = lines.sparkSession
-    records = lines.select(strict_json(F.col(line)).alias("record"))
+    checked = lines.select(only_value(F.col(line)).alias("text"))
+    records = checked.where(is_object(F.col("text"))).select(
+        F.try_parse_json("text").alias("record")
+    )
     members = records.lateralJoin(spark.tvf.variant_explode(F.col("record").outer())).select(
         F.col("key").alias("field"),
         # The outermost type only: STRING, OBJECT, DECIMAL, ...

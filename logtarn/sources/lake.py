@@ -15,6 +15,7 @@ from pyspark.sql.types import (
 
 from logtarn.functions.times import event_time
 from logtarn.schemas import check_scope, check_stream, record_fields, strings
+from logtarn.sources.objects import ObjectSet
 
 #: One row per raw object that compaction has looked at.
 OBJECT_STATUS = StructType([
@@ -92,20 +93,10 @@ def read_raw(
         spark, schema, lake.raw(stream), "json",
         mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record",
     )
-    if (
-        skip_compacted
-        and path_exists(spark, lake.raw(stream))
-        and path_exists(spark, lake.object_status(stream))
-    ):
+    if skip_compacted and path_exists(spark, lake.raw(stream)):
         # An object is compacted before it is cleared away; until then it would be read twice.
-        # Catalyst knows the size of the list and broadcasts it only when it is small.
-        done = (
-            read_status(spark, lake, stream)
-            .where("compacted")
-            .select(F.col("source_file").alias("_done"))
-        )
-        objects = objects.withColumn("_file", F.col("_metadata.file_path"))
-        objects = objects.join(done, F.col("_file") == F.col("_done"), "left_anti").drop("_file")
+        objects = objects.withColumn("source_file", F.col("_metadata.file_path"))
+        objects = known_objects(spark, lake, stream, compacted=True).exclude(objects)
     broken = F.col("_corrupt_record").isNotNull()
     return objects.withColumns({
         "payload_json": F.coalesce("payload_json", "_corrupt_record"),
@@ -118,6 +109,26 @@ def read_raw_lines(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
     return raw_lines(spark.read, lake.raw(stream))
 
 
+def known_objects(
+    spark: SparkSession, lake: Lake, stream: str, compacted: bool = False
+) -> ObjectSet:
+    """The objects now in the raw tier that compaction has looked at, or has compacted.
+
+    The record of past objects grows for ever, the raw tier does not: the record is cut down to
+    the objects that are there, by listing them; their content is not opened.
+    """
+    present = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(lake.raw(stream))
+        .select(F.col("_metadata.file_path").alias("source_file"))
+    )
+    status = read_status(spark, lake, stream)
+    if compacted:
+        status = status.where("compacted")
+    return ObjectSet(present.join(status, "source_file", "left_semi"))
+
+
 def raw_lines(reader, path: str) -> DataFrame:
     """The same for any reader, batch or streaming."""
     return (

@@ -20,9 +20,10 @@ def with_raw_partition(records: DataFrame, received: Column | None = None) -> Da
 
 
 def write_raw(records: DataFrame, path: str, batch: str, spread: bool = True) -> None:
-    """Write normalised records to the raw tier as gzip NDJSON under ``date=/hour=/batch=``.
+    """Write normalised records to the raw tier as gzip NDJSON under ``date=/hour=``.
 
-    Writing the same batch again replaces it. A batch that spans many hours is rebalanced by hour
+    Each batch has a folder of its own around these: writing it again replaces it, by a plain
+    overwrite that every file system's committer supports. A batch that spans many hours is rebalanced by hour
     first (``spread``), so that it does not leave one file per task and hour; rebalancing splits
     an hour that holds too much for one task. A micro-batch of a stream covers an hour or two and
     is written as it comes.
@@ -32,18 +33,17 @@ def write_raw(records: DataFrame, path: str, batch: str, spread: bool = True) ->
     if spread:
         records = records.hint("rebalance", "date", "hour")
     (
-        records.withColumn("batch", F.lit(batch))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date", "hour", "batch")
+        records.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("date", "hour")
         .option("compression", "gzip")
         .option("ignoreNullFields", "false")
-        .json(path)
+        .json(f"{path}/batch={batch}")
     )
 
 
 def write_compacted(records: DataFrame, path: str, batch: str) -> None:
-    """Write records as zstd Parquet under ``date=/batch=``, replacing the same batch.
+    """Write records as zstd Parquet under ``date=``, replacing an earlier attempt at the batch.
 
     Rebalancing by day makes few files of even size out of the many small inputs and splits a day
     that is too large for one task. Sorted by time, a file's statistics let time filters skip
@@ -52,12 +52,11 @@ def write_compacted(records: DataFrame, path: str, batch: str) -> None:
     (
         records.hint("rebalance", "date")
         .sortWithinPartitions("date", "ts")
-        .withColumn("batch", F.lit(batch))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date", "batch")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("date")
         .option("compression", "zstd")
-        .parquet(path)
+        .parquet(f"{path}/batch={batch}")
     )
 
 
