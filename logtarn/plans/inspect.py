@@ -49,6 +49,11 @@ def schema_profile(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def available_dates(records: DataFrame) -> DataFrame:
-    """The days that records carry in ``ts``, in order."""
-    return records.select(event_date(F.col("ts")).alias("date")).distinct().orderBy("date")
+def available_dates(records: DataFrame, from_folders: bool = False) -> DataFrame:
+    """The days that records carry in ``ts``, in order.
+
+    ``from_folders`` takes the days of the folders instead, without reading a record. They are the
+    same in a lake written by this package, but for records without a time.
+    """
+    day = F.col("date") if from_folders else event_date(F.col("ts"))
+    return records.select(day.alias("date")).distinct().orderBy("date")

@@ -18,8 +18,8 @@ from logtarn.plans.query import between_dates
 # The two levels that stand for an error.
 ERROR_LEVELS = ("error", "err")
 
-#: Traces are numbered in pieces of this many seconds; see :func:`trace_walk`.
-TRACE_SLOT_SECONDS = 60
+#: Traces are numbered in slots of this many seconds; see :func:`trace_walk`.
+TRACE_SLOT_SECONDS = 1
 
 
 @dataclass(frozen=True)

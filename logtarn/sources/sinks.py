@@ -4,9 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtarn.functions.times import event_date, event_hour
+from logtarn.session import setting
 
 RESULT_FORMATS = ("ndjson", "csv", "text")
 
+TARGET_SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: What goes into one compacted file, as shuffled; larger than the usual size of a task's input.
+COMPACTED_BYTES = "256m"
+
 
 def with_raw_partition(records: DataFrame, received: Column | None = None) -> DataFrame:
     """Add ``date`` and ``hour`` of the event, of its receipt when it has no time."""
@@ -49,15 +54,15 @@ def write_compacted(records: DataFrame, path: str, batch: str) -> None:
     that is too large for one task. Sorted by time, a file's statistics let time filters skip
     most of its row groups.
     """
-    (
-        records.hint("rebalance", "date")
-        .sortWithinPartitions("date", "ts")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("date")
-        .option("compression", "zstd")
-        .parquet(f"{path}/batch={batch}")
-    )
+    ordered = records.hint("rebalance", "date").sortWithinPartitions("date", "ts")
+    with setting(records.sparkSession, TARGET_SIZE, COMPACTED_BYTES):
+        (
+            ordered.write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy("date")
+            .option("compression", "zstd")
+            .parquet(f"{path}/batch={batch}")
+        )
 
 
 def write_result(result: DataFrame, path: str, fmt: str = "ndjson") -> None:

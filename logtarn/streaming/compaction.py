@@ -5,6 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logtarn.operators.compact import compact_lines
 from logtarn.schemas import STREAMS
+from logtarn.session import configure
 from logtarn.sources.lake import Lake, path_exists, raw_lines
 from logtarn.streaming.batches import batch_name
 
@@ -36,6 +37,8 @@ def compact_stream(
         reader = reader.option("sourceArchiveDir", lake.archive(stream))
 
     def store(lines: DataFrame, number: int) -> None:
+        # A stream may run its batches in a session of its own, without adaptive execution.
+        configure(lines.sparkSession)
         compact_lines(lines, lake, stream, batch_name(lines, number), salvage)
 
     return (

@@ -7,6 +7,7 @@ from logtarn.operators.cloudevents import normalize_events
 from logtarn.operators.logs import normalize_logs
 from logtarn.operators.relay import allow_listed
 from logtarn.schemas import check_stream
+from logtarn.session import configure
 from logtarn.sources.lake import Lake
 from logtarn.sources.landing import stream_requests, stream_syslog
 from logtarn.sources.sinks import with_raw_partition, write_raw
@@ -44,6 +45,8 @@ def ingest_stream(
     path = lake.raw(stream)
 
     def store(batch: DataFrame, number: int) -> None:
+        # A stream may run its batches in a session of its own, without adaptive execution.
+        configure(batch.sparkSession)
         write_raw(batch, path, batch_name(batch, number), spread=available_now)
 
     trigger = (

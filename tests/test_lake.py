@@ -99,6 +99,21 @@ def test_large_object_sets_are_joined(spark, lake, monkeypatch):
     assert results[0][1:] == (200, 100)
 
 
+def test_compacted_files_are_few_and_sorted_by_time(spark, lake):
+    import pyarrow.parquet as pq
+
+    for n in range(12):
+        put(lake, f"{n}.ndjson", "\n".join(
+            json.dumps({"ts": f"2024-01-0{1 + m % 2}T00:{(n * 7 + m * 13) % 60:02d}:00Z"}) for m in range(40)
+        ))
+    compact_raw(spark, lake, "logs")
+    files = list(Path(lake.compacted("logs")).rglob("*.parquet"))
+    assert len(files) == 2
+    for path in files:
+        times = pq.read_table(path, columns=["ts"])["ts"].to_pylist()
+        assert times == sorted(times) and len(times) == 240
+
+
 def test_last_line_without_line_end_is_kept(spark, lake):
     put(lake, "a.ndjson", '{"ts":"1"}\n{"ts":"9"}')
     compact_raw(spark, lake, "logs")
@@ -223,6 +238,8 @@ def test_queries(spark, lake):
     one_day = between_dates(sources(spark, lake, "logs"), "2024-01-02", None)
     assert one_day.count() == 1
     assert [str(r.date) for r in available_dates(sources(spark, lake, "logs")).collect()] == ["2024-01-01"]
+    folders = available_dates(sources(spark, lake, "logs"), from_folders=True).collect()
+    assert [str(r.date) for r in folders] == ["2024-01-01", "2024-01-02"]
     schema = dataset_schema(sources(spark, lake, "logs")).collect()
     assert (schema[0].column_name, schema[0].column_type) == ("ts", "string")
 
