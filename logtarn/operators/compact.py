@@ -2,7 +2,7 @@
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtarn.functions.json_text import is_text_or_null, only_object
@@ -119,7 +119,10 @@ def compact_raw(
     """Compact every raw object that has not been dealt with yet, as one batch.
 
     A batch that was named and died can be run again under its name; one that is complete cannot.
+    Without a raw tier there is nothing to do.
     """
+    if not path_exists(spark, lake.raw(stream)):
+        return
     batch = batch or uuid4().hex
     if path_exists(spark, f"{lake.object_status(stream)}/batch={batch}"):
         raise ValueError(f"batch {batch!r} of {stream} is complete")

@@ -15,6 +15,7 @@ from pyspark.sql.types import (
 
 from logtarn.functions.times import event_time
 from logtarn.schemas import check_scope, check_stream, record_fields, strings
+from logtarn.session import setting
 from logtarn.sources.objects import ObjectSet
 
 #: One row per raw object that compaction has looked at.
@@ -126,7 +127,9 @@ def known_objects(
     status = read_status(spark, lake, stream)
     if compacted:
         status = status.where("compacted")
-    return ObjectSet(present.join(status, "source_file", "left_semi"))
+    # Tasks are cut by the size of the files, which are not read here: one per core will do.
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "1t"):
+        return ObjectSet(present.join(status, "source_file", "left_semi"))
 
 
 def raw_lines(reader, path: str) -> DataFrame:

@@ -244,6 +244,26 @@ def test_queries(spark, lake):
     assert (schema[0].column_name, schema[0].column_type) == ("ts", "string")
 
 
+def test_filters_reach_the_scans_of_both_tiers(spark, lake):
+    put(lake, "a.ndjson", GOOD)
+    compact_raw(spark, lake, "logs")
+    put(lake, "b.ndjson", GOOD, day="2024-01-02")
+    found = between_dates(sources(spark, lake, "logs"), "2024-01-02", "2024-01-03")
+    plan = found.where("level = 'err'").select("msg")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2
+    assert all("PartitionFilters: [isnotnull(date" in scan for scan in scans)
+    assert any("PushedFilters: [IsNotNull(level), EqualTo(level,err)]" in scan for scan in scans)
+    assert any(scan.endswith("ReadSchema: struct<level:string,msg:string>") for scan in scans)
+    assert found.count() == 1
+
+
+def test_compaction_without_raw_tier_does_nothing(spark, lake):
+    compact_raw(spark, lake, "events")
+    run_compaction(spark, lake)
+    assert read_compacted(spark, lake, "events").count() == 0
+
+
 def test_reports_check_their_parameters(spark, lake):
     logs, events = sources(spark, lake, "logs"), sources(spark, lake, "events")
     with pytest.raises(ValueError, match="no parameter"):
