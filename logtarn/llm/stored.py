@@ -14,3 +14,11 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     path = work_area(spark, purpose)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or a longer one if a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
