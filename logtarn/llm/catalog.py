@@ -1,6 +1,6 @@
 """The queries of this subpackage; importing the modules registers them."""
 
-from logtarn.llm import pii, raking, repetition, simhash, winnowing  # noqa: F401
+from logtarn.llm import merkle, pii, raking, repetition, secrets, simhash, urls, winnowing  # noqa: F401
 from logtarn.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
