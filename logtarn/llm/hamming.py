@@ -12,6 +12,7 @@ at most 1 + 64 + 64 * 63 / 2 others within two bits, so the links of a task stay
 its members however dense they lie; the task returns only a spanning forest of them.
 """
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,8 @@ MEMBERS = 1024
 #: Bits by which a prefix with too many members grows.
 STEP = 4
 FANOUT = 8
-QUERIES_AT_ONCE = 2048
+#: Steps of a search taken together; bounds a task's memory where fingerprints lie dense.
+AT_ONCE = 1 << 16
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -53,26 +55,32 @@ def build(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def search(
-    levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, allowed: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (query, place of a code) within the allowed bits of each query."""
-    query = np.arange(len(queries))
-    node = np.zeros(len(queries), np.int64)
-    spent = np.zeros(len(queries), np.int64)
-    above = np.zeros(len(queries), np.uint64)
-    for depth, (mask, pattern) in enumerate(levels):
+    levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, allowed: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (query, place of a code) within the allowed bits, some at a time."""
+    none = np.zeros(len(queries), np.int64)
+    waiting = [(0, np.arange(len(queries)), none, none, none.astype(np.uint64))]
+    while waiting:
+        depth, *front = waiting.pop()
+        if len(front[0]) > AT_ONCE:
+            cuts = range(0, len(front[0]), AT_ONCE)
+            waiting += [(depth, *(x[at : at + AT_ONCE] for x in front)) for at in cuts]
+            continue
+        query, node, spent, above = front
+        mask, pattern = levels[depth]
         # Only bits that the parent doesn't share already add to the difference.
         new = mask[node] & ~above
         spent = spent + np.bitwise_count((queries[query] ^ pattern[node]) & new)
-        alive = spent <= allowed[query]
+        alive = spent <= allowed
         query, node, spent = query[alive], node[alive], spent[alive]
-        if depth + 1 < len(levels):
+        if depth + 1 == len(levels):
+            yield query, node
+        elif len(query):
             above = np.repeat(mask[node], FANOUT)
             below = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             real = below < len(levels[depth + 1][0])
             query, spent = np.repeat(query, FANOUT)[real], np.repeat(spent, FANOUT)[real]
-            node, above = below[real], above[real]
-    return query, node
+            waiting.append((depth + 1, query, below[real], spent, above[real]))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +174,9 @@ def _search_in(max_bits: int):
         left, right = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         if len(members):
             members = members[np.argsort(gray_rank(members))]
-            levels = build(members)
-            for at in range(0, len(codes), QUERIES_AT_ONCE):
-                some = codes[at : at + QUERIES_AT_ONCE]
-                # The index sees whole codes, so it counts the bits of the prefix itself.
-                query, place = search(levels, some, np.full(len(some), max_bits))
-                a, b = some[query], members[place]
+            # The index sees whole codes, so it counts the bits of the prefix itself.
+            for query, place in search(build(members), codes, max_bits):
+                a, b = codes[query], members[place]
                 a, b = forest(a[a != b], b[a != b])
                 left.append(a)
                 right.append(b)
