@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 from logtarn.llm.registry import registered, table
 from logtarn.llm.stored import stored
 from logtarn.llm.textbytes import named, owner, pieces, runs, utf8
+from logtarn.llm.winnowing import minima, words_of
 
 TOXIC = 3000
 OTHER = 6000
 TERMS = 256
-STEMS = (4, 5, 6)
-LOG_ODDS = 3.0
+STEMS = (3, 4, 5, 6, 7, 8)
+#: Least log-odds of a word and of a stem, and the share of toxic texts that must have it.
+LOG_ODDS, STEM_LOG_ODDS = 3.0, 2.0
+SHARE, STEM_SHARE = 0.01, 0.02
 FUZZY_LENGTH = 5
 CONTEXT_CHARS = 40
 FOLDS = 5
@@ -143,7 +146,13 @@ def _letters(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     return column, points, ends, *runs(inside, ends)
 
 
-FIGURES = ("exact", "stems", "misspelled", "strongest", "density", "quoted", "reported", "addressed")
+#: Hits and hits per hundred words, by sort; then shares of hits by context.
+FIGURES = (
+    "exact", "stems", "misspelled", "exact_density", "stem_density", "misspelled_density",
+    "strongest", "quoted", "reported", "addressed",
+)
+#: Figures up to here never speak for a clean text.
+EVIDENCE = FIGURES.index("quoted")
 
 
 def figures(column: pa.Array, automaton: Machine) -> np.ndarray:
@@ -162,21 +171,20 @@ def figures(column: pa.Array, automaton: Machine) -> np.ndarray:
     if not len(hits):
         return found
     doc, kind = owner(begin[hits], ends), automaton.kind[state[hits]]
+    words = np.maximum(np.bincount(owner(begin, ends), minlength=len(texts)), 1)
     for k in (1, 2, 3):
-        found[:, k - 1] = np.bincount(doc, kind == k, len(texts))
-    np.maximum.at(found[:, 3], doc, automaton.weight[state[hits]] * np.where(kind == 3, 0.5, 1))
-    words = np.bincount(owner(begin, ends), minlength=len(texts))
-    found[:, 4] = np.bincount(doc, minlength=len(texts)) / np.maximum(words, 1)
+        count = np.bincount(doc, kind == k, len(texts))
+        found[:, k - 1], found[:, k + 2] = np.log1p(count), np.log1p(100 * count / words)
+    np.maximum.at(found[:, 6], doc, automaton.weight[state[hits]] * np.where(kind == 3, 0.5, 1))
     for at, a, b in zip(doc.tolist(), begin[hits].tolist(), end[hits].tolist(), strict=True):
         low, high = max(a - CONTEXT_CHARS, ends[at]), min(b + CONTEXT_CHARS, ends[at + 1])
         left = points[low:a].tobytes().decode("utf-32-le")
         right = points[b:high].tobytes().decode("utf-32-le")
         quoted = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
-        found[at, 5] += quoted
-        found[at, 6] += bool(re.search(REPORTING, left))
-        found[at, 7] += bool(re.search(ADDRESS, left + " " + right))
-    found[:, 5:8] /= np.maximum(found[:, :3].sum(1, keepdims=True), 1)
-    found[:, :3] = np.log1p(found[:, :3])
+        found[at, 7] += quoted
+        found[at, 8] += bool(re.search(REPORTING, left))
+        found[at, 9] += bool(re.search(ADDRESS, left + " " + right))
+    found[:, 7:] /= np.maximum(np.bincount(doc, minlength=len(texts)), 1)[:, None]
     return found
 
 
@@ -212,7 +220,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = F.broadcast(stored(chosen[0].union(chosen[1]), "labelled"))
     return stored(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
-        .groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")),
+        # Of near copies, which mostly share their smallest shingle hash, one is enough.
+        .withColumn("copy", F.coalesce(F.array_min(minima(words_of(F.col("text")))), F.xxhash64("text")))
+        .groupBy("copy").agg(F.min("text").alias("text"), F.min_by("toxic", "text").cast("int").alias("toxic"))
+        .select("text", "toxic"),
         "training",
     )
 
@@ -255,23 +266,28 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     counted = (
         sample.mapInArrow(_counted, "term string, stem boolean, toxic long, other long")
         .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .where(F.col("toxic") >= max(3, n_toxic // 100)).withColumn("odds", odds)
-        .where(F.col("odds") >= LOG_ODDS)
+        .withColumn("odds", odds)
+    )
+    frequent = counted.where(F.col("toxic") >= max(3, SHARE * n_toxic))
+    words = (
+        frequent.where(~F.col("stem") & (F.col("odds") >= LOG_ODDS))
+        .orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    )
+    # What a stem stands for, up to a point: a longer one is rarer, a shorter one less telling.
+    gain = F.col("toxic") * F.least("odds", F.lit(LOG_ODDS))
+    candidates = (
+        frequent.where(F.col("stem") & (F.col("odds") >= STEM_LOG_ODDS))
+        .where(F.col("toxic") >= max(5, STEM_SHARE * n_toxic))
+        .orderBy(F.desc(gain), F.length("term"), "term").limit(TERMS).collect()
     )
-    terms = [
-        r
-        for stem in (True, False)
-        for r in counted.where(F.col("stem") == stem).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
-    ]
-    words = {r.term: r.odds for r in terms if not r.stem}
     stems: dict[str, float] = {}
-    for r in sorted((r for r in terms if r.stem), key=lambda r: len(r.term)):
-        # A stem must stand for more than the words and shorter stems that are known already.
-        mine = [w for w in terms if not w.stem and w.term.startswith(r.term)]
-        known = any(r.term.startswith(s) for s in stems) or sum(w.toxic for w in mine) >= r.toxic
-        if not known:
+    for r in candidates:
+        related = any(r.term.startswith(s) or s.startswith(r.term) for s in stems)
+        one_word = max((w.toxic for w in words if w.term.startswith(r.term)), default=0)
+        if not related and one_word < 0.6 * r.toxic:
             stems[r.term] = r.odds
-    return Lexicon({w: o for w, o in words.items() if not any(w.startswith(s) for s in stems)}, stems)
+    words = {w.term: w.odds for w in words if not any(w.term.startswith(s) for s in stems)}
+    return Lexicon(words, stems)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -292,11 +308,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method, both classes weighing the same."""
+    """Logistic regression by Newton's method, both classes weighing the same.
+
+    Evidence whose weight would be negative is left out.
+    """
     if not len(y) or y.min() == y.max():
         return np.zeros(x.shape[1]), (0.0 if not len(y) else 5.0 if y[0] else -5.0)
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * len(y) / 1000
     weights = np.zeros(x1.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(30):
@@ -307,6 +326,11 @@ def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarra
         weights -= move
         if np.abs(move).max() < 1e-8:
             break
+    against = np.flatnonzero(weights[:EVIDENCE] < -1e-6)
+    if len(against):
+        x = x.copy()
+        x[:, against] = 0
+        return _fitted(x, y, ridge)
     return weights[:-1], float(weights[-1])
 
 
