@@ -1,6 +1,17 @@
 """The queries of this subpackage; importing the modules registers them."""
 
-from logtarn.llm import merkle, pii, raking, repetition, secrets, simhash, toxicity, urls, winnowing  # noqa: F401
+from logtarn.llm import (  # noqa: F401
+    merkle,
+    pii,
+    raking,
+    repetition,
+    secrets,
+    simhash,
+    substrings,
+    toxicity,
+    urls,
+    winnowing,
+)
 from logtarn.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

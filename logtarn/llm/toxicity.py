@@ -11,8 +11,9 @@ turns into a score.
 Training takes at most ``TOXIC`` toxic and ``OTHER`` other labelled documents, those of the
 smallest id hashes outside the held-out fifth; scoring covers all documents and whole texts. Neither
 labels nor language, source or id enter a score. Null or empty text has no hits and gets the score
-of a text without hits. Without labels of both kinds there is no lexicon, and every score is the
-share of toxic labels. Rows may repeat; each is scored alone. A null id is never held out.
+of a text without hits. Without labels of both kinds there is no lexicon, and every score is near 1
+if all labels say toxic, else near 0. Rows may repeat; each is scored alone. A null id is never
+held out.
 """
 
 import re
@@ -313,7 +314,7 @@ def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarra
     Evidence whose weight would be negative is left out.
     """
     if not len(y) or y.min() == y.max():
-        return np.zeros(x.shape[1]), (0.0 if not len(y) else 5.0 if y[0] else -5.0)
+        return np.zeros(x.shape[1]), (5.0 if len(y) and y[0] else -5.0)
     x1 = np.hstack([x, np.ones((len(x), 1))])
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * len(y) / 1000
     weights = np.zeros(x1.shape[1])
