@@ -8,7 +8,7 @@ document's candidates stay in its row, and the trained trees become conditional
 
 There are no labels for personal data. Weak ones come from the candidates themselves: a checksum,
 range or length that holds, in clean bounds and, for the wider formats, beside a word that
-announces the kind. The trees are trained on candidates of at most ``TRAIN_DOCUMENTS`` documents,
+announces the kind. The trees are trained on candidates of about ``TRAIN_DOCUMENTS`` documents,
 grouped by their few-valued features; everything else covers all documents.
 
 Null counts as empty, which has no spans. Each row is judged alone, so repeated rows and repeated
@@ -28,7 +28,7 @@ from logtarn.functions.let import let
 from logtarn.llm.registry import registered, table
 from logtarn.llm.stored import stored, unused
 
-#: Documents the trees are trained on, those of the smallest hashes.
+#: Documents the trees are trained on, about: an even sample.
 TRAIN_DOCUMENTS = 4000
 TREES = 12
 TREE_DEPTH = 3
@@ -242,10 +242,8 @@ def _tree(lines: list[str]):
 
 def train(docs: DataFrame) -> Trees:
     """Trees and thresholds from the weakly labelled candidates of a bounded sample."""
-    sample = (
-        docs.select(F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("order", F.xxhash64("text")).orderBy("order", "text").limit(TRAIN_DOCUMENTS)
-    )
+    share = min(1.0, TRAIN_DOCUMENTS / max(docs.count(), 1))
+    sample = docs.select(F.coalesce("text", F.lit("")).alias("text")).sample(share, seed=1)
     spans = sample.select(
         "text", F.explode(F.concat(*_base(F.col("text")), *_wide(F.col("text")))).alias("span")
     )

@@ -8,7 +8,7 @@ window around a hit tells abuse from quotation: quotation marks on both sides, w
 words of address. A document's hits are summed up in a few figures, which a logistic regression
 turns into a score.
 
-Training takes at most ``TOXIC`` toxic and ``OTHER`` other labelled documents, those of the
+Training takes about ``TOXIC`` toxic and ``OTHER`` other labelled documents, those of the
 smallest id hashes outside the held-out fifth; scoring covers all documents and whole texts. Neither
 labels nor language, source or id enter a score. Null or empty text has no hits and gets the score
 of a text without hits. Without labels of both kinds there is no lexicon, and every score is near 1
@@ -213,12 +213,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         labels.where(fold(F.col("doc_id")) != 0).where("toxic IN (0, 1)")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    chosen = [
-        usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        for kind, most in ((1, TOXIC), (0, OTHER))
-    ]
-    # At most TOXIC + OTHER ids, whatever the input.
-    ids = F.broadcast(stored(chosen[0].union(chosen[1]), "labelled"))
+    usable = stored(usable, "usable")
+    sizes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, TOXIC / max(sizes.get(1, 0), 1)).otherwise(OTHER / max(sizes.get(0, 0), 1))
+    place = F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)
+    # About TOXIC + OTHER ids, whatever the input.
+    ids = F.broadcast(stored(usable.where(place < share), "labelled"))
     return stored(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
         # Of near copies, which mostly share their smallest shingle hash, one is enough.
