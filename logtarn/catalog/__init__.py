@@ -1,6 +1,12 @@
 """Runnable queries over the given tables, each with the SQL that must give the same rows."""
 
-from logtarn.catalog import event_queries, lake_queries, log_queries, report_queries  # noqa: F401
+from logtarn.catalog import (  # noqa: F401
+    event_queries,
+    hard_queries,
+    lake_queries,
+    log_queries,
+    report_queries,
+)
 from logtarn.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

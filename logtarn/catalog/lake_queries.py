@@ -17,7 +17,7 @@ from logtarn.catalog.event_queries import EXPECTED_FIELDS, member
 from logtarn.catalog.log_queries import FOUND_FIELDS_SQL, ROOT_FIELDS, failed
 from logtarn.catalog.registry import catalogued
 from logtarn.operators.cloudevents import normalize_events
-from logtarn.operators.compact import compact_lines, compact_raw
+from logtarn.operators.compact import compact_lines, compact_raw, read_quarantine
 from logtarn.operators.logs import normalize_logs
 from logtarn.operators.relay import allow_listed
 from logtarn.plans.inspect import schema_profile
@@ -25,7 +25,6 @@ from logtarn.session import work_area
 from logtarn.sources.lake import (
     Lake,
     read_compacted,
-    read_quarantine,
     read_raw,
     read_raw_lines,
     read_status,
@@ -112,18 +111,19 @@ def compacted_roundtrip(spark, sf_dir):
     )
 
 
-def _flawed_objects(spark, sf_dir) -> Lake:
-    """Raw objects, one per day and slot; slots 3 and 5 hold bad lines among good ones.
+def flawed_objects(spark, sf_dir, mended: bool = False, write: bool = True):
+    """A lake of raw objects, one per day and slot; slots 3 and 5 hold bad lines among good ones.
 
     In slot 3 every error record has a number for ``node_id``; in slot 5 the records of users
-    divisible by 20 are cut short.
+    divisible by 20 are cut short. ``mended`` gives the lines without these faults; with ``write``
+    off, the lines themselves.
     """
     lake = Lake(work_area(spark, "flawed"))
     slot = F.col("event_id") % 8
     records = log_input(spark, sf_dir, "user_id", "event_type")
     odd_type = (slot == 3) & (F.col("event_type") == "error")
     line = F.to_json(F.struct(F.col("timestamp").alias("ts"), F.col("appname").alias("service"),
-                              F.col("severity").alias("level"), F.col("message").alias("msg")))
+                              F.col("severity").alias("level"), F.col("message").alias("msg"), "event_id"))
     cut = F.substring(line, F.lit(1), F.length(line) - 1)
     value = (
         F.when(odd_type, F.concat(cut, F.lit(',"node_id":7}')))
@@ -131,8 +131,10 @@ def _flawed_objects(spark, sf_dir) -> Lake:
         .otherwise(line)
     )
     objects = records.select(
-        value.alias("value"), F.substring("timestamp", 1, 10).alias("date"), slot.alias("slot")
+        (line if mended else value).alias("value"), F.substring("timestamp", 1, 10).alias("date"), slot.alias("slot")
     )
+    if not write:
+        return objects
     # One object per day and slot, so that it is known which lines share an object.
     objects.repartition("date", "slot").write.partitionBy("date", "slot").text(lake.raw("logs"))
     return lake
@@ -150,7 +152,7 @@ objects AS (
 )"""
 
 
-def _object_key():
+def object_key():
     path = F.col("source_file")
     return [
         F.regexp_extract(path, r"date=([0-9-]+)", 1).alias("date"),
@@ -170,16 +172,16 @@ SELECT date, slot, lines, bad_lines, CASE WHEN bad_lines = 0 THEN lines ELSE 0 E
 FROM objects LEFT JOIN rejected USING (date, slot) GROUP BY ALL""")
 def compact_quarantine(spark, sf_dir):
     """All or nothing per object: what was stored and what was set aside, object by object."""
-    lake = _flawed_objects(spark, sf_dir)
+    lake = flawed_objects(spark, sf_dir)
     compact_raw(spark, lake, "logs", "all")
-    status = read_status(spark, lake, "logs").select(*_object_key(), "lines", "bad_lines")
+    status = read_status(spark, lake, "logs").select(*object_key(), "lines", "bad_lines")
     stored = (
         read_compacted(spark, lake, "logs", extra_fields=("source_file",))
-        .groupBy(*_object_key()).agg(F.count(F.lit(1)).alias("stored"))
+        .groupBy(*object_key()).agg(F.count(F.lit(1)).alias("stored"))
     )
     rejected = (
         read_quarantine(spark, lake, "logs")
-        .groupBy(*_object_key())
+        .groupBy(*object_key())
         .agg(F.count(F.lit(1)).alias("quarantined"), F.max("reason").alias("reason"))
     )
     return (
@@ -195,14 +197,14 @@ SELECT slot, count(*) AS lines, count(*) - count(reason) AS stored, count(reason
 FROM lines GROUP BY 1""")
 def compact_salvage(spark, sf_dir):
     """Line by line instead: sound lines of flawed objects are stored as well."""
-    lake = _flawed_objects(spark, sf_dir)
+    lake = flawed_objects(spark, sf_dir)
     compact_raw(spark, lake, "logs", "all", salvage=True)
     counts = (
         read_compacted(spark, lake, "logs", extra_fields=("source_file",))
-        .select(*_object_key(), F.lit(1).alias("stored"), F.lit(0).alias("quarantined"))
+        .select(*object_key(), F.lit(1).alias("stored"), F.lit(0).alias("quarantined"))
         .unionByName(
             read_quarantine(spark, lake, "logs").select(
-                *_object_key(), F.lit(0).alias("stored"), F.lit(1).alias("quarantined")
+                *object_key(), F.lit(0).alias("stored"), F.lit(1).alias("quarantined")
             )
         )
     )
@@ -229,7 +231,7 @@ def compact_replay(spark, sf_dir):
 
     results = []
     for run in ("first", "second"):
-        compact_stream(spark, lake, "logs", clean="off").awaitTermination()
+        compact_stream(spark, lake, "logs", clean="off")
         results.append(counted(run))
     batch = spark.read.parquet(lake.compacted("logs")).select("batch").first()["batch"]
     compact_lines(read_raw_lines(spark, lake, "logs"), lake, "logs", batch)
@@ -276,7 +278,7 @@ FROM lake""")
 def scope_union(spark, sf_dir):
     """Both tiers as one relation, each record once."""
     lake = two_tier_lake(spark, sf_dir)
-    tier = F.when(F.col("payload_json").isNotNull(), "compacted").otherwise("recent")
+    tier = F.when(F.col("hour").isNull(), "compacted").otherwise("recent")
     return sources(spark, lake, "logs", "all").select(
         *ROOT_FIELDS, failed(), F.col("date").cast("string").alias("date"), tier.alias("tier")
     )

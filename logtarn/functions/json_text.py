@@ -11,6 +11,9 @@ from logtarn.functions.let import let
 
 _SPACE = " \t\r\n"
 
+#: Without these Spark's reader takes single quotes, NaN and Infinity for JSON.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
 
 def trimmed(text: Column) -> Column:
     """Text without the space that JSON allows around a value."""
@@ -25,7 +28,9 @@ def only_value(text: Column) -> Column:
     only when the text is one complete value does the hash come out in second place.
     """
     mark = _mark(text)
-    pair = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<string>")
+    pair = F.from_json(
+        F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<string>", STRICT
+    )
     complete = let(pair, lambda p: (F.size(p) == 2) & (F.get(p, F.lit(1)) == mark))
     return F.when(complete, trimmed(text))
 
@@ -41,6 +46,7 @@ def only_object(text: Column, fields: dict[str, str]) -> Column:
     pair = F.from_json(
         F.concat(F.lit("["), text, F.lit(',{"_mark":"'), mark, F.lit('"}]')),
         f"array<struct<{kinds}, _mark: string>>",
+        STRICT,
     )
     return let(
         pair,
@@ -84,7 +90,7 @@ def object_fields(text: Column, fields: dict[str, str]) -> Column:
     arrays as JSON, JSON null as null. Read as ``variant`` they keep their type.
     """
     schema = ",".join(f"`{name}` {kind}" for name, kind in fields.items())
-    return F.from_json(F.when(is_object(text), text), schema)
+    return F.from_json(F.when(is_object(text), text), schema, STRICT)
 
 
 def is_text(value: Column) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DAY = 86_400_000_000  # microseconds
+
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
@@ -12,13 +14,18 @@ def event_time(ts: Column) -> Column:
 
 
 def event_date(ts: Column) -> Column:
-    """The calendar day written in a text time; independent of the session time zone."""
-    return F.substring(ts, 1, 10).try_cast("date")
+    """The UTC day of a text time, null when it is not a time; whatever the session time zone."""
+    return utc_date(event_time(ts))
+
+
+def utc_date(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant) / _DAY).cast("int"))
 
 
 def event_hour(ts: Column) -> Column:
-    """The two-digit hour written in a text time, null when it is not a time."""
-    return F.nullif(F.regexp_extract(ts, r"^\d{4}-\d\d-\d\d[T ](\d\d):", 1), F.lit(""))
+    """The two-digit UTC hour of a text time, null when it is not a time."""
+    hour = F.floor(F.pmod(F.unix_micros(event_time(ts)), F.lit(_DAY)) / (_DAY // 24))
+    return F.lpad(hour.cast("string"), 2, "0")
 
 
 def iso_text(instant: Column) -> Column:

@@ -51,7 +51,9 @@ def prepare(landed: DataFrame) -> DataFrame:
         "cloudevent": F.lit('{"data":{}}'),
         "raw": _request(),
     }
-    carried = [c for c in landed.columns if c not in ("timestamp", *known, "payload_json")]
+    if "unread" in landed.columns:  # a landed line that is no request: nothing of it is lost
+        known["raw"] = F.coalesce(F.col("unread"), known["raw"])
+    carried = [c for c in landed.columns if c not in ("timestamp", "unread", *known, "payload_json")]
     return landed.select(*[value.alias(name) for name, value in known.items()], *carried)
 
 

@@ -1,22 +1,29 @@
 """Compaction of raw objects into Parquet."""
 
+from hashlib import sha256
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtarn.functions.json_text import is_text_or_null, only_object
-from logtarn.functions.times import event_date
-from logtarn.schemas import record_fields
+from logtarn.functions.json_text import STRICT, is_text_or_null, only_object
+from logtarn.functions.times import event_date, event_time
+from logtarn.schemas import record_fields, strings
 from logtarn.session import work_area
 from logtarn.sources.lake import (
+    QUARANTINE,
     Lake,
-    known_objects,
-    path_exists,
-    read_quarantine,
+    batches,
+    compacted_objects,
+    load,
+    note_batch,
+    open_lines,
     read_raw_lines,
+    read_status,
+    unfinished,
 )
-from logtarn.sources.objects import ObjectSet
+from logtarn.sources.objects import clear_away, folder_day
 from logtarn.sources.sinks import write_compacted
 
 BLANK = "blank line"
@@ -49,25 +56,28 @@ def check_lines(lines: DataFrame, stream: str) -> DataFrame:
 
 
 def object_status(checked: DataFrame) -> DataFrame:
-    """Lines and bad lines of each raw object. Partial counts are made before the shuffle."""
+    """Lines, bad lines and bytes of each raw object. Partial sums are made before the shuffle."""
     return checked.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("lines"), F.count("reason").alias("bad_lines")
+        F.count(F.lit(1)).alias("lines"), F.count("reason").alias("bad_lines"),
+        F.sum(F.octet_length("value")).alias("bytes"),
     )
 
 
 def project_records(checked: DataFrame, stream: str) -> DataFrame:
     """The fixed record fields, the whole line, and where the line came from.
 
-    ``date`` is the day of the event, or of the raw folder for records without a time.
+    ``date`` is the UTC day of the event, or of the raw folder for records without a time, and
+    ``event_ts`` its instant.
     """
-    folder = F.regexp_extract("source_file", r"/date=(\d{4}-\d\d-\d\d)/", 1).try_cast("date")
+    folder = folder_day(F.col("source_file")).try_cast("date")
     fields = stored_fields(stream)
-    record = F.from_json("value", ",".join(f"`{name}` string" for name in fields))
+    record = F.from_json("value", ",".join(f"`{name}` string" for name in fields), STRICT)
     return checked.withColumn("_record", record).select(
         *[F.col(f"_record.{name}").alias(name) for name in fields],
         F.col("value").alias("payload_json"),
         "source_file",
         F.current_date().cast("string").alias("compacted_on"),
+        event_time(F.col("_record.ts")).alias("event_ts"),
         F.coalesce(event_date(F.col("_record.ts")), folder).alias("date"),
     )
 
@@ -82,31 +92,37 @@ def compact_lines(
 ) -> None:
     """Store the lines of one batch, object by object, all or nothing.
 
-    An object with a bad line is not stored; all its lines go to the quarantine. With ``salvage``
-    the bad lines alone go there. The batch name makes the run repeatable: its output replaces
-    what an earlier attempt at the same batch has left. Objects are marked as compacted last, so
-    a run that dies halfway hides nothing from readers of the raw tier.
+    An object with a bad line is not stored and not marked as compacted, so it stays where it is,
+    readable, and is checked again by the next run. With ``salvage`` its sound lines are stored and
+    the bad lines alone go to the quarantine. The batch name makes the run repeatable: its output
+    replaces what an earlier attempt at the same batch has left. Objects are marked as compacted
+    last, so a run that dies halfway hides nothing from readers of the raw tier.
     """
     spark = lines.sparkSession
     checked = check_lines(lines, stream)
+    note_batch(spark, lake.attempts(stream), batch)
 
     # The verdict on each object must be known before its first row is written. It is one small
     # row per object, kept as a table; reading twice costs less than storing every parsed row.
     verdicts = work_area(spark, "object-status")
     object_status(checked).write.parquet(verdicts)
     status = spark.read.parquet(verdicts)
-    bad = ObjectSet(status.where("bad_lines > 0").select("source_file"))
     if salvage:
         stored = checked.where(F.col("reason").isNull())
         rejected = checked.where(F.col("reason").isNotNull())
-    else:
-        stored, rejected = bad.exclude(checked), bad.only(checked)
-
-    write_compacted(project_records(stored, stream), lake.compacted(stream), batch)
-    if bad.size:
         _replace_batch(set_aside(rejected), lake.quarantine(stream), batch)
+    else:
+        # Only objects that were judged, so none that has come since is stored without a mark.
+        sound = status.where("bad_lines = 0").select("source_file")
+        stored = checked.join(sound, "source_file", "left_semi")
+    size = status.agg(F.sum("bytes")).first()[0] or 0
+    write_compacted(project_records(stored, stream), lake.compacted(stream), batch, size)
     compacted = F.lit(True) if salvage else F.col("bad_lines") == 0
-    _replace_batch(status.withColumn("compacted", compacted), lake.object_status(stream), batch)
+    marks = status.drop("bytes").withColumns({
+        "compacted": compacted, "day": folder_day(F.col("source_file")),
+    })
+    _replace_batch(marks, lake.object_status(stream), batch, "day")
+    note_batch(spark, lake.completed(stream), batch)
 
 
 def compact_raw(
@@ -116,30 +132,88 @@ def compact_raw(
     batch: str | None = None,
     salvage: bool = False,
 ) -> None:
-    """Compact every raw object that has not been dealt with yet, as one batch.
+    """Compact every raw object that is not compacted yet, as one batch.
 
-    A batch that was named and died can be run again under its name; one that is complete cannot.
-    Without a raw tier there is nothing to do.
+    A run is noted before it starts. One that died is made good first, under its own name, so what
+    it has stored is replaced and not stored twice. A batch that is complete cannot be run again.
+    Without a raw tier there is nothing to do. Runs over one stream go one after the other.
     """
-    if not path_exists(spark, lake.raw(stream)):
-        return
-    batch = batch or uuid4().hex
-    if path_exists(spark, f"{lake.object_status(stream)}/batch={batch}"):
+    complete = batches(spark, lake.completed(stream))
+    if batch is not None and not complete.where(F.col("batch") == batch).isEmpty():
         raise ValueError(f"batch {batch!r} of {stream} is complete")
-    lines = read_raw_lines(spark, lake, stream)
-    compact_lines(known_objects(spark, lake, stream).exclude(lines), lake, stream, batch, salvage)
+    for died in unfinished(spark, lake, stream).collect():
+        compact_lines(open_lines(spark, lake, stream), lake, stream, died.batch, salvage)
+    lines = open_lines(spark, lake, stream)
+    if not lines.isEmpty() and complete.where(F.col("batch") == (batch or "")).isEmpty():
+        compact_lines(lines, lake, stream, batch or uuid4().hex, salvage)
+
+
+def clear_compacted(
+    spark: SparkSession, lake: Lake, stream: str, archive: bool = True
+) -> int:
+    """Move raw objects that are compacted to the archive, or delete them; how many there were.
+
+    Rejected objects stay. Objects now in the raw tier are listed, not opened, so the work follows
+    the tier and not its history.
+    """
+    path = F.col("_metadata.file_path")
+    try:
+        present = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(lake.raw(stream))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    names = present.select(path.alias("source_file"), folder_day(path).alias("day"))
+    gone = names.join(compacted_objects(spark, lake, stream), ["day", "source_file"], "left_semi")
+    return clear_away(gone, lake.raw(stream), lake.archive(stream) if archive else None)
+
+
+def read_quarantine(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
+    """The lines compaction could not store: all lines of rejected objects, as they are now, and
+    the bad lines that salvaging has set aside, but for those that a retry has stored."""
+    status = read_status(spark, lake, stream)
+    rejected = status.where("NOT compacted").select("source_file").distinct().join(
+        status.where("compacted").select("source_file"), "source_file", "left_anti"
+    )
+    lines = read_raw_lines(spark, lake, stream).join(rejected, "source_file", "left_semi")
+    return set_aside(check_lines(lines, stream)).union(_salvaged(spark, lake, stream).drop("batch"))
+
+
+def _salvaged(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
+    """Lines set aside by salvaging, without the batches that a retry has dealt with."""
+    lines = load(spark, strings((*QUARANTINE.names, "batch")), lake.quarantine(stream), "parquet")
+    dealt = batches(spark, lake.retried(stream))
+    return lines.join(dealt, "batch", "left_anti").select(*QUARANTINE.names, "batch")
 
 
 def retry_quarantine(
     spark: SparkSession, lake: Lake, stream: str, batch: str | None = None
 ) -> None:
-    """Check quarantined objects again, for use after the rules or the lines were mended."""
-    lines = read_quarantine(spark, lake, stream).select(F.col("line").alias("value"), "source_file")
-    # The lines are read from the tables this run adds to: fix them first.
-    copy = work_area(spark, "retry")
-    lines.write.parquet(copy)
-    compact_lines(spark.read.parquet(copy), lake, stream, batch or uuid4().hex)
+    """Check again what was set aside, for use after the rules or the objects were mended.
 
-
-def _replace_batch(rows: DataFrame, path: str, batch: str) -> None:
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch}")
+    Rejected objects are taken by an ordinary run. Salvaged lines that are sound now are stored,
+    the others set aside anew; the batch is named after those it deals with, so a retry that died
+    is replaced by the next.
+    """
+    compact_raw(spark, lake, stream, batch)
+    salvaged = _salvaged(spark, lake, stream)
+    names = sorted(r.batch for r in salvaged.select("batch").distinct().collect())
+    if not names:
+        return
+    again = "retry-" + sha256(",".join(names).encode()).hexdigest()[:32]
+    copy = work_area(spark, "retry")
+    lines = salvaged.select(F.col("line").alias("value"), "source_file")
+    check_lines(lines, stream).write.parquet(copy)
+    checked = spark.read.parquet(copy)
+    sound = checked.where(F.col("reason").isNull())
+    size = sound.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    write_compacted(project_records(sound, stream), lake.compacted(stream), again, size)
+    _replace_batch(set_aside(checked.where(F.col("reason").isNotNull())), lake.quarantine(stream), again)
+    note_batch(spark, lake.retried(stream), *names)
+
+
+def _replace_batch(rows: DataFrame, path: str, batch: str, *partitions: str) -> None:
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    if partitions:
+        writer = writer.partitionBy(*partitions)
+    writer.option("compression", "zstd").parquet(f"{path}/batch={batch}")

@@ -49,11 +49,12 @@ def schema_profile(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def available_dates(records: DataFrame, from_folders: bool = False) -> DataFrame:
-    """The days that records carry in ``ts``, in order.
+def available_dates(records: DataFrame, from_folders: bool = True) -> DataFrame:
+    """The days that there are records of, in order.
 
-    ``from_folders`` takes the days of the folders instead, without reading a record. They are the
-    same in a lake written by this package, but for records without a time.
+    They are those of the folders, so hardly a column is read. With ``from_folders`` off they come
+    from ``ts`` instead: the same in a lake written by this package, but for records without a
+    time, which lie in the folder of the day they were received.
     """
     day = F.col("date") if from_folders else event_date(F.col("ts"))
     return records.select(day.alias("date")).distinct().orderBy("date")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtarn.functions.json_text import register_json_functions
+from logtarn.functions.json_text import only_value, register_json_functions, with_members
 from logtarn.schemas import PAYLOAD_COLUMN, check_stream
 from logtarn.sources.lake import Lake, sources
 
@@ -29,19 +29,28 @@ def query(
     stream: str = "logs",
     scope: str = "all",
     args: dict | None = None,
+    extra_fields: tuple[str, ...] = (),
 ) -> DataFrame:
     """Run SQL over the chosen tiers of a stream."""
-    return query_sources(sources(spark, lake, stream, scope), text, args)
+    return query_sources(sources(spark, lake, stream, scope, extra_fields), text, args)
 
 
-def dump(spark: SparkSession, lake: Lake, stream: str = "logs", scope: str = "all") -> DataFrame:
-    """Every record of the chosen tiers."""
-    return query(spark, lake, f"SELECT * FROM {SOURCES}", stream, scope)
+def dump(
+    spark: SparkSession,
+    lake: Lake,
+    stream: str = "logs",
+    scope: str = "all",
+    nested: bool = True,
+    extra_fields: tuple[str, ...] = (),
+) -> DataFrame:
+    """Every record of the chosen tiers, the payload as nested data or else as JSON text."""
+    found = query(spark, lake, f"SELECT * FROM {SOURCES}", stream, scope, extra_fields=extra_fields)
+    return expand_payload(found, stream) if nested else found
 
 
 def payload(text: Column) -> Column:
-    """JSON text as a VARIANT, so that it nests in JSON output; other text stays text."""
-    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+    """JSON text as a VARIANT, so that it nests in JSON output; other text stays text, whole."""
+    return F.coalesce(F.try_parse_json(only_value(text)), text.cast("variant"))
 
 
 def expand_payload(records: DataFrame, stream: str) -> DataFrame:
@@ -52,15 +61,24 @@ def expand_payload(records: DataFrame, stream: str) -> DataFrame:
     return records.withColumn(name, payload(F.col(name)))
 
 
-def json_rows(records: DataFrame, stream: str | None = None) -> DataFrame:
+def json_rows(records: DataFrame, stream: str | None = "logs") -> DataFrame:
     """Each row as one JSON object in column ``json``, nulls included.
 
-    With ``stream`` given the payload nests instead of being a string of JSON.
+    The stream's payload nests, by splicing its checked text into the row; other text stays a
+    string. With ``stream`` None every column is written as it is.
     """
-    shown = expand_payload(records, stream) if stream else records
-    return shown.select(
-        F.to_json(F.struct(*shown.columns), {"ignoreNullFields": "false"}).alias("json")
+    keep_nulls = {"ignoreNullFields": "false"}
+    name = PAYLOAD_COLUMN[check_stream(stream)] if stream else None
+    kinds = dict(records.dtypes)
+    if kinds.get(name) != "string":
+        return records.select(F.to_json(F.struct(*records.columns), keep_nulls).alias("json"))
+    others = F.to_json(F.struct(*[c for c in records.columns if c != name]), keep_nulls)
+    as_text = F.to_json(F.struct(F.col(name).alias("t")), keep_nulls)
+    value = F.coalesce(
+        only_value(F.col(name)), F.substring(as_text, F.lit(6), F.length(as_text) - 6)
     )
+    member = F.concat(F.lit(f'"{name}":'), value)
+    return records.select(with_members(others, member).alias("json"))
 
 
 def between_dates(records: DataFrame, first: str | None, last: str | None) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtarn.functions.times import event_time, iso_text
+from logtarn.functions.times import event_time, iso_text, utc_date
 from logtarn.plans.inspect import dataset_schema
 from logtarn.plans.query import between_dates
 
@@ -20,6 +20,8 @@ ERROR_LEVELS = ("error", "err")
 
 #: Traces are numbered in slots of this many seconds; see :func:`trace_walk`.
 TRACE_SLOT_SECONDS = 1
+#: Slots of a trace for rows without a time, and the first of them, before all times.
+UNTIMED_SLOTS, UNTIMED_SLOT = 1024, -(2**62)
 
 
 @dataclass(frozen=True)
@@ -64,10 +66,17 @@ def _in_range(
     to_date: str | None = None,
 ) -> DataFrame:
     records = between_dates(with_event_time(records), from_date, to_date)
+    # Folders are days in UTC, or off by one where another writer has named them.
     if since is not None:
-        records = records.where(F.col("event_ts") >= F.lit(since).cast("timestamp"))
+        start = F.lit(since).cast("timestamp")
+        records = records.where(F.col("event_ts") >= start)
+        if "date" in records.columns:
+            records = records.where(F.col("date") >= F.date_sub(utc_date(start), 1))
     if until is not None:
-        records = records.where(F.col("event_ts") < F.lit(until).cast("timestamp"))
+        end = F.lit(until).cast("timestamp")
+        records = records.where(F.col("event_ts") < end)
+        if "date" in records.columns:
+            records = records.where(F.col("date") <= F.date_add(utc_date(end), 1))
     return records
 
 
@@ -142,27 +151,31 @@ def trace_walk(
     if trace_id is not None:
         tagged = tagged.where(F.col("trace_id") == trace_id)
 
-    micros = F.unix_micros("event_ts")
-    slot = F.floor(micros / F.lit(TRACE_SLOT_SECONDS * 1_000_000))
-    # Rows without a time come first, in a slot of their own.
-    rows = tagged.withColumn("slot", F.coalesce(slot, F.lit(-(2**62))))
-
+    # Rows without a time come first, in slots by a hash of their line.
+    slot = F.coalesce(
+        F.floor(F.unix_micros("event_ts") / F.lit(TRACE_SLOT_SECONDS * 1_000_000)),
+        F.lit(UNTIMED_SLOT) + F.pmod(F.xxhash64("payload_json"), F.lit(UNTIMED_SLOTS)),
+    )
     within = Window.partitionBy("trace_id", "slot").orderBy(
         "event_ts", "stream", "payload_json", "service_or_type"
     )
-    numbered = rows.withColumns({
+    numbered = tagged.withColumn("slot", slot).withColumns({
         "n": F.row_number().over(within),
         "previous": F.lag("event_ts").over(within),
     })
 
+    # The last row of a slot says all there is to know of it. Kept whole, its columns are those of
+    # the rows, so both come from one scan and one exchange.
+    whole = ("n", "event_ts", "stream", "service_or_type", "ts", "payload_json")
     along = Window.partitionBy("trace_id").orderBy("slot")
-    slots = rows.groupBy("trace_id", "slot").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("event_ts").alias("last")
-    ).select(
-        "trace_id",
-        "slot",
-        F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.lag("last").over(along).alias("last_before"),
+    slots = (
+        numbered.groupBy("trace_id", "slot").agg(F.max(F.struct(*whole)).alias("final"))
+        .select(
+            "trace_id",
+            "slot",
+            F.sum("final.n").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+            F.lag("final.event_ts").over(along).alias("last_before"),
+        )
     )
 
     previous = F.when(F.col("n") == 1, F.col("last_before")).otherwise(F.col("previous"))

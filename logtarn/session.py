@@ -1,8 +1,9 @@
 """Session settings and the shared work area."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -24,20 +25,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    """A setting for the jobs started inside the block only."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def work_area(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 
@@ -55,4 +42,6 @@ def work_area(spark: SparkSession, purpose: str) -> str:
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="logtarn-")
+    folder = tempfile.mkdtemp(prefix="logtarn-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -11,19 +12,22 @@ from pyspark.sql.types import (
     StringType,
     StructField,
     StructType,
+    TimestampType,
 )
 
+from logtarn.functions.json_text import object_fields, only_object
 from logtarn.functions.times import event_time
 from logtarn.schemas import check_scope, check_stream, record_fields, strings
-from logtarn.session import setting
-from logtarn.sources.objects import ObjectSet
+from logtarn.sources.objects import NO_DAY, folder_batch, folder_day, folder_hour
 
-#: One row per raw object that compaction has looked at.
+#: One row per raw object and run of compaction; ``day`` is that of the object's folder.
 OBJECT_STATUS = StructType([
     StructField("source_file", StringType(), True),
     StructField("lines", LongType(), True),
     StructField("bad_lines", LongType(), True),
     StructField("compacted", BooleanType(), True),
+    StructField("batch", StringType(), True),
+    StructField("day", StringType(), True),
 ])
 #: Lines set aside by compaction; ``reason`` is null for sound lines of a rejected object.
 QUARANTINE = strings(("line", "source_file", "reason"))
@@ -33,9 +37,14 @@ MALFORMED = "raw line is not a JSON object"
 
 @dataclass(frozen=True)
 class Lake:
-    """Folder layout: ``raw`` and ``daily`` hold the tiers, the rest is compaction's record."""
+    """Folder layout: ``raw`` and ``daily`` hold the tiers, the rest is compaction's record.
+
+    ``typed_times`` says that the compacted files have the instant in ``event_ts``, as those of
+    this package do; filters on it then skip row groups. For files of another program turn it off.
+    """
 
     root: str
+    typed_times: bool = True
 
     def raw(self, stream: str) -> str:
         return f"{self.root}/raw/{check_stream(stream)}"
@@ -52,21 +61,49 @@ class Lake:
     def archive(self, stream: str) -> str:
         return f"{self.root}/archive/{check_stream(stream)}"
 
+    def attempts(self, stream: str) -> str:
+        return f"{self.root}/attempts/{check_stream(stream)}"
+
+    def completed(self, stream: str) -> str:
+        return f"{self.root}/completed/{check_stream(stream)}"
+
+    def retried(self, stream: str) -> str:
+        return f"{self.root}/retried/{check_stream(stream)}"
+
     def checkpoint(self, name: str) -> str:
         return f"{self.root}/checkpoints/{name}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, on whichever file system it names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+def load(spark: SparkSession, schema: StructType, path: str, fmt: str, **options) -> DataFrame:
+    """All files under ``path``, an empty table when there are none yet. Starts no job."""
+    try:
+        return spark.read.schema(schema).options(**options).format(fmt).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
 
+def raw_lines(reader, path: str) -> DataFrame:
+    """Text lines, each with the object it comes from, for any reader, batch or streaming.
 
-def _read_tree(spark: SparkSession, schema: StructType, path: str, fmt: str, **options):
-    """All files under ``path``, an empty table when there are none yet."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).options(**options).format(fmt).load(path)
+    Lines end at a newline only. Folders of any depth are read, whoever laid them out.
+    """
+    return (
+        reader.options(recursiveFileLookup="true", lineSep="\n").schema("value string")
+        .format("text").load(path)
+        .select("value", F.col("_metadata.file_path").alias("source_file"))
+    )
+
+
+def read_raw_lines(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
+    """The raw tier as text lines, each with the object it comes from. Blank lines are kept."""
+    try:
+        return raw_lines(spark.read, lake.raw(stream))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "value string, source_file string")
 
 
 def read_raw(
@@ -78,66 +115,34 @@ def read_raw(
 ) -> DataFrame:
     """The raw tier: NDJSON objects, plain, gzip or zstd, whatever their extra fields.
 
-    Every field is read as text under a declared schema, so no pass over the data is needed to
-    infer one. Name the additional fields wanted in ``extra_fields``. A line that is not a JSON
-    object is kept: its text goes to ``payload_json`` and ``parse_error`` says so.
+    Every field is read as text; ``payload_json`` is the line, as in the compacted tier, so every
+    field can be reached. Name the additional fields wanted as columns in ``extra_fields``. A line
+    that is not exactly one JSON object is kept once: ``parse_error`` says so. Blank lines are left
+    out. The folder's day comes from the path, so that filters on ``date`` skip objects.
     """
     fields = record_fields(stream)
     extra = tuple(name for name in extra_fields if name not in fields)
-    schema = strings((*fields, *extra))
-    schema = (
-        schema.add("_corrupt_record", StringType())
-        .add("date", DateType())
-        .add("hour", StringType())
-    )
-    objects = _read_tree(
-        spark, schema, lake.raw(stream), "json",
-        mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record",
-    )
-    if skip_compacted and path_exists(spark, lake.raw(stream)):
+    lines = read_raw_lines(spark, lake, stream)
+    lines = lines.withColumn("day", folder_day(F.col("source_file")))
+    if skip_compacted:
         # An object is compacted before it is cleared away; until then it would be read twice.
-        objects = objects.withColumn("source_file", F.col("_metadata.file_path"))
-        objects = known_objects(spark, lake, stream, compacted=True).exclude(objects)
-    broken = F.col("_corrupt_record").isNotNull()
-    return objects.withColumns({
-        "payload_json": F.coalesce("payload_json", "_corrupt_record"),
-        "parse_error": F.when(broken, F.lit(MALFORMED)).otherwise(F.col("parse_error")),
-    }).select(*fields, *extra, "date", "hour")
-
-
-def read_raw_lines(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
-    """The raw tier as text lines, each with the object it comes from. Blank lines are kept."""
-    return raw_lines(spark.read, lake.raw(stream))
-
-
-def known_objects(
-    spark: SparkSession, lake: Lake, stream: str, compacted: bool = False
-) -> ObjectSet:
-    """The objects now in the raw tier that compaction has looked at, or has compacted.
-
-    The record of past objects grows for ever, the raw tier does not: the record is cut down to
-    the objects that are there, by listing them; their content is not opened.
-    """
-    present = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(lake.raw(stream))
-        .select(F.col("_metadata.file_path").alias("source_file"))
+        lines = lines.join(compacted_objects(spark, lake, stream), ["day", "source_file"], "left_anti")
+    members = [name for name in (*fields, *extra) if name != "payload_json"]
+    text = F.col("value")
+    read = lines.where(F.btrim(text, F.lit(" \t\r")) != "").withColumn(
+        "_record", only_object(text, dict.fromkeys(members, "string"))
     )
-    status = read_status(spark, lake, stream)
-    if compacted:
-        status = status.where("compacted")
-    # Tasks are cut by the size of the files, which are not read here: one per core will do.
-    with setting(spark, "spark.sql.files.maxPartitionBytes", "1t"):
-        return ObjectSet(present.join(status, "source_file", "left_semi"))
-
-
-def raw_lines(reader, path: str) -> DataFrame:
-    """The same for any reader, batch or streaming."""
-    return (
-        reader.option("recursiveFileLookup", "true")
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("source_file"))
+    record = {name: F.col(f"_record.{name}") for name in members}
+    record["payload_json"] = text
+    record["parse_error"] = F.when(F.col("_record").isNull(), F.lit(MALFORMED)).otherwise(
+        F.col("_record.parse_error")
+    )
+    if "source_file" in extra:
+        record["source_file"] = F.col("source_file")
+    return read.select(
+        *[record[name].alias(name) for name in (*fields, *extra)],
+        F.when(F.col("day") != NO_DAY, F.col("day")).try_cast("date").alias("date"),
+        folder_hour(F.col("source_file")).alias("hour"),
     )
 
 
@@ -147,26 +152,78 @@ def read_compacted(
     """The compacted tier: Parquet files, matched to the declared columns by name.
 
     A file that lacks a column gives nulls for it. Declaring the columns spares the reading of
-    every file's footer that merging inferred schemas needs.
+    every file's footer that merging inferred schemas needs. Fields in ``extra_fields`` that no
+    file has as a column come from the record's line.
     """
     fields = record_fields(stream)
     extra = tuple(name for name in extra_fields if name not in fields)
-    schema = strings((*fields, *extra)).add("date", DateType())
-    return _read_tree(spark, schema, lake.compacted(stream), "parquet").select(
-        *fields, *extra, "date"
+    schema = strings((*fields, *extra)).add("event_ts", TimestampType()).add("date", DateType())
+    schema = schema.add("batch", StringType())
+    records = load(spark, schema, lake.compacted(stream), "parquet")
+    # What a run has stored counts when the run is complete: its objects are raw until then.
+    records = records.join(unfinished(spark, lake, stream), "batch", "left_anti")
+    if extra:
+        line = object_fields(F.trim("payload_json"), dict.fromkeys(extra, "string"))
+        records = records.withColumn("_line", line)
+    instant = F.col("event_ts") if lake.typed_times else event_time(F.col("ts"))
+    return records.select(
+        *fields,
+        *[F.coalesce(F.col(name), F.col(f"_line.{name}")).alias(name) for name in extra],
+        "date",
+        instant.alias("event_ts"),
     )
 
 
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    """A record of batch names."""
+    return load(spark, strings(("batch",)), path, "parquet").distinct()
+
+
+def note_batch(spark: SparkSession, path: str, *names: str) -> None:
+    """Add names to a record of batches, in one file."""
+    rows = spark.createDataFrame([(name,) for name in names], strings(("batch",)))
+    rows.coalesce(1).write.mode("append").parquet(path)
+
+
+def unfinished(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
+    """Runs of compaction that have begun and are not complete."""
+    begun = batches(spark, lake.attempts(stream))
+    return begun.join(batches(spark, lake.completed(stream)), "batch", "left_anti")
+
+
 def read_status(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
-    """What compaction found in each raw object."""
-    return _read_tree(spark, OBJECT_STATUS, lake.object_status(stream), "parquet")
+    """What compaction found in each raw object, run by run, for runs that are complete."""
+    found = load(spark, OBJECT_STATUS, lake.object_status(stream), "parquet")
+    return found.join(batches(spark, lake.completed(stream)), "batch", "left_semi")
+
+
+def compacted_objects(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
+    """``day`` and ``source_file`` of the objects that are in the compacted tier."""
+    return read_status(spark, lake, stream).where("compacted").select("day", "source_file")
+
 
+def committed_batches(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
+    """The batches of the raw tier that are complete; ``batch`` is empty for other writers."""
+    ours = batches(spark, committed(lake.raw(stream)))
+    return ours.union(spark.createDataFrame([("",)], strings(("batch",))))
 
-def read_quarantine(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
-    """The lines compaction has set aside, without those of objects since found sound."""
-    lines = _read_tree(spark, QUARANTINE, lake.quarantine(stream), "parquet")
-    sound = read_status(spark, lake, stream).where("compacted AND bad_lines = 0")
-    return lines.join(sound, "source_file", "left_anti").select(*QUARANTINE.names)
+
+def committed(raw: str) -> str:
+    """The record of complete batches; the leading underscore hides it from readers of the tier."""
+    return f"{raw}/_committed"
+
+
+def open_lines(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
+    """The raw lines that compaction has to take: of complete batches and other writers' objects,
+    without the objects that are compacted. Objects that were rejected come again."""
+    lines = read_raw_lines(spark, lake, stream).withColumns({
+        "day": folder_day(F.col("source_file")), "batch": folder_batch(F.col("source_file")),
+    })
+    return (
+        lines.join(committed_batches(spark, lake, stream), "batch", "left_semi")
+        .join(compacted_objects(spark, lake, stream), ["day", "source_file"], "left_anti")
+        .select("value", "source_file")
+    )
 
 
 def sources(
@@ -176,18 +233,19 @@ def sources(
     scope: str = "all",
     extra_fields: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The chosen tiers of a stream as one relation, matched by column name.
+    """The chosen tiers of a stream as one relation, matched by column name. Starts no job.
 
-    Besides the record fields it has the partition columns ``date`` and ``hour`` and the instant
-    ``event_ts``. Filters on ``date`` prune the folders of both tiers.
+    Besides the record fields it has the day ``date`` (UTC) and ``hour`` of the folder and the
+    instant ``event_ts``. Filters on ``date`` skip the folders of both tiers.
     """
     check_stream(stream)
     tiers = []
     if check_scope(scope) in ("all", "compacted"):
         tiers.append(read_compacted(spark, lake, stream, extra_fields))
     if scope in ("all", "recent"):
-        tiers.append(read_raw(spark, lake, stream, extra_fields))
+        raw = read_raw(spark, lake, stream, extra_fields)
+        tiers.append(raw.withColumn("event_ts", event_time(F.col("ts"))))
     union = tiers[0]
     for tier in tiers[1:]:
         union = union.unionByName(tier, allowMissingColumns=True)
-    return union.withColumn("event_ts", event_time(F.col("ts")))
+    return union.select(*[c for c in union.columns if c != "event_ts"], "event_ts")

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtarn.functions.json_text import only_object
 from logtarn.functions.let import let
 from logtarn.schemas import HTTP_REQUEST
 from logtarn.sources.lake import raw_lines
@@ -34,7 +35,7 @@ def syslog_records(lines: DataFrame, line: str = "value", received: Column | Non
     the one that puts the time closest before ``received`` (default: now) is taken.
     """
     received = F.current_timestamp() if received is None else received
-    text = F.col(line)
+    text = F.rtrim(F.col(line), F.lit("\r"))
     carried = [c for c in lines.columns if c != line]
     decoded = F.when(F.rlike(text, F.lit(r"^<\d{1,3}>1 ")), _current_format(text)).when(
         F.rlike(text, F.lit(_OLD_HEADER)), _bsd_format(text, received)
@@ -111,14 +112,22 @@ def _bsd_format(text: Column, received: Column) -> Column:
 def _bsd_time(body: Column, received: Column) -> Column:
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(body, 1, 3))
     day = F.trim(F.substring(body, 5, 2))
-    # Written in December, received in January: last year's.
-    turned = (month == 12) & (F.month(received) == 1)
-    year = F.year(received) - F.when(turned, 1).otherwise(0)
-    written = F.concat_ws(
-        "-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")
+
+    def in_year(year: Column) -> Column:
+        written = F.concat_ws(
+            "-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")
+        )
+        return F.concat(written, F.lit("T"), F.substring(body, 8, 8), F.lit(".000000Z"))
+
+    # The last year in which it is a time before receipt, or at most a day after, since clocks
+    # differ. Four years back there has been a 29 February, but for the turn of some centuries.
+    def fits(stamp: Column) -> Column:
+        return stamp.try_cast("timestamp") <= received + F.expr("INTERVAL 1 DAY")
+
+    years = F.transform(
+        F.sequence(F.lit(-1), F.lit(8)), lambda back: in_year(F.year(received) - back)
     )
-    stamp = F.concat(written, F.lit("T"), F.substring(body, 8, 8), F.lit(".000000Z"))
-    return F.when(stamp.try_cast("timestamp").isNotNull(), stamp)
+    return F.get(F.filter(years, fits), F.lit(0))
 
 
 def read_syslog(spark: SparkSession, path: str) -> DataFrame:
@@ -131,12 +140,26 @@ def stream_syslog(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return syslog_records(raw_lines(spark.readStream.options(**options), path))
 
 
+def request_records(lines: DataFrame) -> DataFrame:
+    """Landed requests of JSON lines (``value``), one object each.
+
+    A line that is not one JSON object has its text in ``unread`` and nothing else. Blank lines
+    are left out.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in HTTP_REQUEST}
+    text = F.col("value")
+    read = lines.where(F.btrim(text, F.lit(" \t\r")) != "").withColumn("_r", only_object(text, fields))
+    return read.select(
+        *[F.col(f"_r.{name}").alias(name) for name in fields],
+        F.when(F.col("_r").isNull(), text).alias("unread"),
+    )
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """HTTP requests landed as JSON objects, one per line."""
-    return spark.read.option("recursiveFileLookup", "true").schema(HTTP_REQUEST).json(path)
+    return request_records(raw_lines(spark.read, path))
 
 
 def stream_requests(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The same over files as they land."""
-    reader = spark.readStream.options(**options).option("recursiveFileLookup", "true")
-    return reader.schema(HTTP_REQUEST).json(path)
+    return request_records(raw_lines(spark.readStream.options(**options), path))

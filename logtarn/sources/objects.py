@@ -1,35 +1,66 @@
-"""Leaving out, or picking out, the records of certain stored objects."""
+"""Raw objects: their names, where they lie, and clearing them away."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this many objects are named in the plan, where they prune the files to be opened.
-NAMED_OBJECTS = 1_000
-#: Up to this many are sent to every executor: some 50 MB of names. More are joined by shuffle.
-BROADCAST_OBJECTS = 200_000
-
-
-class ObjectSet:
-    """A set of object names, counted once to decide how it can be applied."""
-
-    def __init__(self, objects: DataFrame):
-        """``objects`` has the names in ``source_file``; it should be cheap to read twice."""
-        self.size = objects.count()
-        self._names = None
-        if self.size <= NAMED_OBJECTS:
-            self._names = [row.source_file for row in objects.collect()]
-        elif self.size <= BROADCAST_OBJECTS:
-            objects = F.broadcast(objects)
-        self._objects = objects
-
-    def exclude(self, records: DataFrame) -> DataFrame:
-        """The records of all other objects."""
-        if self._names is None:
-            return records.join(self._objects, "source_file", "left_anti")
-        return records.where(~F.col("source_file").isin(self._names)) if self.size else records
-
-    def only(self, records: DataFrame) -> DataFrame:
-        """The records of these objects."""
-        if self._names is None:
-            return records.join(self._objects, "source_file", "left_semi")
-        return records.where(F.col("source_file").isin(self._names))
+#: The day of an object outside any day's folder, in the record of objects.
+NO_DAY = "none"
+
+
+def folder_day(path: Column) -> Column:
+    """The day of the folder an object lies in, as text."""
+    day = F.regexp_extract(path, r"/date=(\d{4}-\d\d-\d\d)/", 1)
+    return F.when(day != "", day).otherwise(NO_DAY)
+
+
+def folder_hour(path: Column) -> Column:
+    return F.nullif(F.regexp_extract(path, r"/hour=(\d\d)/", 1), F.lit(""))
+
+
+def folder_batch(path: Column) -> Column:
+    """The batch of ours that wrote an object, empty for objects of other writers."""
+    return F.regexp_extract(path, r"/batch=([^/]+)/[^/]*$", 1)
+
+
+def clear_away(objects: DataFrame, root: str, archive: str | None = None) -> int:
+    """Delete objects (``source_file``), or move them below ``archive`` as they lie below ``root``.
+
+    Executors do it, each for its share of the names. An object that is gone already is no error,
+    so a run that died can be repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(_uri(unquote(name)))
+                if store.get_file_info(path).type == fs.FileType.NotFound:
+                    continue
+                if archive:
+                    _, base = fs.FileSystem.from_uri(_uri(root))
+                    _, kept = fs.FileSystem.from_uri(_uri(archive))
+                    target = kept.rstrip("/") + path[path.index(base.rstrip("/")) + len(base.rstrip("/")) :]
+                    store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    store.move(path, target)
+                else:
+                    store.delete_file(path)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    cleared = objects.select("source_file").mapInArrow(run, "n long")
+    return cleared.agg(F.sum("n")).first()[0] or 0
+
+
+def _uri(path: str) -> str:
+    """A path as the store's own library names it."""
+    scheme, mark, rest = path.partition(":")
+    if not mark or not rest.startswith("/"):
+        return f"file://{path}"
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return f"{scheme}:{rest}"

@@ -4,14 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtarn.functions.times import event_date, event_hour
-from logtarn.session import setting
+from logtarn.plans.query import json_rows
+from logtarn.sources.lake import batches, committed, note_batch
 
 RESULT_FORMATS = ("ndjson", "csv", "text")
 
-TARGET_SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-#: What goes into one compacted file, as shuffled; larger than the usual size of a task's input.
-COMPACTED_BYTES = "256m"
-
 
 def with_raw_partition(records: DataFrame, received: Column | None = None) -> DataFrame:
     """Add ``date`` and ``hour`` of the event, of its receipt when it has no time."""
@@ -24,51 +21,63 @@ def with_raw_partition(records: DataFrame, received: Column | None = None) -> Da
     })
 
 
-def write_raw(records: DataFrame, path: str, batch: str, spread: bool = True) -> None:
-    """Write normalised records to the raw tier as gzip NDJSON under ``date=/hour=``.
+def write_raw(records: DataFrame, path: str, batch: str) -> None:
+    """Write normalised records to the raw tier as gzip NDJSON under ``date=/hour=/batch=``.
 
-    Each batch has a folder of its own around these: writing it again replaces it, by a plain
-    overwrite that every file system's committer supports. A batch that spans many hours is rebalanced by hour
-    first (``spread``), so that it does not leave one file per task and hour; rebalancing splits
-    an hour that holds too much for one task. A micro-batch of a stream covers an hour or two and
-    is written as it comes.
+    The folders of day and hour are shared with other writers. A batch is written once: what an
+    attempt that died has left is replaced, and a batch that is marked complete is left alone,
+    however often it comes. Rebalancing by hour makes few objects of even size, one per hour
+    unless an hour holds too much for one task.
     """
+    spark = records.sparkSession
+    if not batches(spark, committed(path)).where(F.col("batch") == batch).isEmpty():
+        return
     if "date" not in records.columns:
         records = with_raw_partition(records)
-    if spread:
-        records = records.hint("rebalance", "date", "hour")
     (
-        records.write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("date", "hour")
+        records.hint("rebalance", "date", "hour").withColumn("batch", F.lit(batch))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date", "hour", "batch")
         .option("compression", "gzip")
         .option("ignoreNullFields", "false")
-        .json(f"{path}/batch={batch}")
+        .json(path)
     )
+    # Compaction takes complete batches only, so it never takes one that is yet to be replaced.
+    note_batch(spark, committed(path), batch)
+
 
+#: Raw text that goes into one compacted file, about.
+COMPACTED_BYTES = 256 << 20
 
-def write_compacted(records: DataFrame, path: str, batch: str) -> None:
+
+def write_compacted(records: DataFrame, path: str, batch: str, size: int) -> None:
     """Write records as zstd Parquet under ``date=``, replacing an earlier attempt at the batch.
 
-    Rebalancing by day makes few files of even size out of the many small inputs and splits a day
-    that is too large for one task. Sorted by time, a file's statistics let time filters skip
-    most of its row groups.
+    ``size`` is that of their text. Tasks of the scan are put together to some 256 MB each, which
+    needs no shuffle; each writes a file per day it has, few in a run over new objects. Sorted by
+    time, a file's statistics let filters on ``event_ts`` skip row groups.
     """
-    ordered = records.hint("rebalance", "date").sortWithinPartitions("date", "ts")
-    with setting(records.sparkSession, TARGET_SIZE, COMPACTED_BYTES):
-        (
-            ordered.write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("date")
-            .option("compression", "zstd")
-            .parquet(f"{path}/batch={batch}")
-        )
+    tasks = max(1, -(-size // COMPACTED_BYTES))
+    (
+        records.coalesce(tasks).sortWithinPartitions("date", "event_ts")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("date")
+        .option("compression", "zstd")
+        .parquet(f"{path}/batch={batch}")
+    )
 
 
-def write_result(result: DataFrame, path: str, fmt: str = "ndjson") -> None:
-    """Export a query result: ``ndjson``, ``csv`` with a header, or tab-separated ``text``."""
+def write_result(
+    result: DataFrame, path: str, fmt: str = "ndjson", stream: str | None = "logs"
+) -> None:
+    """Export a query result: ``ndjson``, ``csv`` with a header, or tab-separated ``text``.
+
+    In NDJSON the stream's payload column, if the result has it, nests.
+    """
     if fmt == "ndjson":
-        result.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        json_rows(result, stream).write.mode("overwrite").text(path)
     elif fmt == "csv":
         # Quotes are doubled, so that text with quotes, commas and line ends survives.
         (

@@ -1,57 +1,30 @@
 """Periodic compaction: raw tier to compacted tier."""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import SparkSession
 
-from logtarn.operators.compact import compact_lines
+from logtarn.operators.compact import clear_compacted, compact_raw
 from logtarn.schemas import STREAMS
-from logtarn.session import configure
-from logtarn.sources.lake import Lake, path_exists, raw_lines
-from logtarn.streaming.batches import batch_name
+from logtarn.sources.lake import Lake
 
 CLEAN_MODES = ("archive", "delete", "off")
 
 
 def compact_stream(
-    spark: SparkSession,
-    lake: Lake,
-    stream: str,
-    clean: str = "archive",
-    salvage: bool = False,
-    max_files_per_trigger: int = 100_000,
-) -> StreamingQuery:
-    """Compact the raw objects that are new since the last run, then stop.
-
-    Spark's checkpoint remembers which objects were taken. An object is never split over two
-    batches, and a batch that failed is attempted again under the same name, so its output is
-    replaced, not doubled. Objects are archived or deleted when the batch after theirs has
-    begun; until then readers leave them out by their status.
+    spark: SparkSession, lake: Lake, stream: str, clean: str = "archive", salvage: bool = False
+) -> None:
+    """Compact the raw objects of a stream that are not compacted yet.
+
+    Objects that earlier runs have compacted are cleared away first, those of this run by the next:
+    queries that began before it can go on reading them.
     """
     if clean not in CLEAN_MODES:
         raise ValueError(f"unknown clean mode: {clean!r}, expected one of {CLEAN_MODES}")
-    reader = (
-        spark.readStream.option("cleanSource", clean)
-        .option("maxFilesPerTrigger", str(max_files_per_trigger))
-    )
-    if clean == "archive":
-        reader = reader.option("sourceArchiveDir", lake.archive(stream))
-
-    def store(lines: DataFrame, number: int) -> None:
-        # A stream may run its batches in a session of its own, without adaptive execution.
-        configure(lines.sparkSession)
-        compact_lines(lines, lake, stream, batch_name(lines, number), salvage)
-
-    return (
-        raw_lines(reader, lake.raw(stream))
-        .writeStream.foreachBatch(store)
-        .option("checkpointLocation", lake.checkpoint(f"compact-{stream}"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    if clean != "off":
+        clear_compacted(spark, lake, stream, archive=clean == "archive")
+    compact_raw(spark, lake, stream, salvage=salvage)
 
 
 def run_compaction(spark: SparkSession, lake: Lake, **options) -> None:
     """One run over both streams; the first failure ends it. An empty stream is skipped."""
     for stream in STREAMS:
-        if path_exists(spark, lake.raw(stream)):
-            compact_stream(spark, lake, stream, **options).awaitTermination()
+        compact_stream(spark, lake, stream, **options)

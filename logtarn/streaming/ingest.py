@@ -37,7 +37,8 @@ def ingest_stream(
     """Write what lands to the raw tier, every minute or once over all that is there.
 
     The partition columns are computed on the stream, where the current time is fixed per batch,
-    so a repeated batch goes to the same folders and replaces its first attempt.
+    so a repeated batch goes to the same folders and replaces its first attempt. A batch that was
+    complete before the job died is not written again.
     """
     records = with_raw_partition(
         landed_stream(spark, landing, stream, maxFilesPerTrigger=str(max_files_per_trigger))
@@ -47,7 +48,7 @@ def ingest_stream(
     def store(batch: DataFrame, number: int) -> None:
         # A stream may run its batches in a session of its own, without adaptive execution.
         configure(batch.sparkSession)
-        write_raw(batch, path, batch_name(batch, number), spread=available_now)
+        write_raw(batch, path, batch_name(batch, number))
 
     trigger = (
         {"availableNow": True} if available_now else {"processingTime": f"{BATCH_SECONDS} seconds"}
