@@ -180,7 +180,8 @@ def trace_walk(
 
     previous = F.when(F.col("n") == 1, F.col("last_before")).otherwise(F.col("previous"))
     gap = F.unix_micros("event_ts") - F.unix_micros(previous)
-    return numbered.join(slots, ["trace_id", "slot"]).select(
+    # Every row has its slot; an outer join infers no filter that would set the two scans apart.
+    return numbered.join(slots, ["trace_id", "slot"], "left").select(
         "trace_id",
         (F.col("n") + F.coalesce("before", F.lit(0))).alias("hop"),
         "stream",

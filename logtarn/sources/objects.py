@@ -1,7 +1,7 @@
 """Raw objects: their names, where they lie, and clearing them away."""
 
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +38,7 @@ def clear_away(objects: DataFrame, root: str, archive: str | None = None) -> int
 
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                store, path = fs.FileSystem.from_uri(_uri(unquote(name)))
+                store, path = fs.FileSystem.from_uri(_uri(name))
                 if store.get_file_info(path).type == fs.FileType.NotFound:
                     continue
                 if archive:
@@ -56,10 +56,10 @@ def clear_away(objects: DataFrame, root: str, archive: str | None = None) -> int
 
 
 def _uri(path: str) -> str:
-    """A path as the store's own library names it."""
+    """A path as the store's own library names it. Names that Spark gives are encoded already."""
     scheme, mark, rest = path.partition(":")
     if not mark or not rest.startswith("/"):
-        return f"file://{path}"
+        return f"file://{quote(path)}"
     scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
     if scheme == "file":
         return "file:///" + rest.lstrip("/")

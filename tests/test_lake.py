@@ -8,14 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from logtarn import Lake, available_dates, dataset_schema, query, run_report
-from logtarn.operators.compact import compact_lines, compact_raw, retry_quarantine
+from logtarn.operators import compact
+from logtarn.operators.compact import compact_lines, compact_raw, read_quarantine, retry_quarantine
 from logtarn.plans.query import between_dates, dump, json_rows
 from logtarn.plans.reports import REPORTS, report_schema
 from logtarn.schemas import EVENT_FIELDS, LOG_FIELDS
-from logtarn.sources import objects
-from logtarn.sources.lake import (
-    read_compacted, read_quarantine, read_raw, read_raw_lines, read_status, sources,
-)
+from logtarn.sources import sinks
+from logtarn.sources.lake import read_compacted, read_raw, read_raw_lines, read_status, sources
 from logtarn.sources.sinks import write_raw, write_result
 from logtarn.streaming.compaction import compact_stream, run_compaction
 from logtarn.streaming.ingest import ingest_stream
@@ -60,11 +59,12 @@ def test_raw_objects_of_any_codec(spark, lake):
 
 @pytest.mark.parametrize("line", [
     '{"node_id":7}', "{oops", "", "   ", "[1]", "5", "null", '{"data":{"a":1}}', '{"ts":"1"} junk',
-    '{"ts":"1"},{"ts":"2"}', '{"ts":true}', '{"msg":["x"]}',
+    '{"ts":"1"},{"ts":"2"}', '{"ts":true}', '{"msg":["x"]}', "{'ts':'x'}", '{"n":NaN}', "[]",
 ])
 def test_a_bad_line_rejects_its_object(spark, lake, line):
-    frame = spark.createDataFrame([(GOOD, "good"), (GOOD, "bad"), (line, "bad")], "value string, source_file string")
-    compact_lines(frame, lake, "logs", "b")
+    put(lake, "good", GOOD)
+    put(lake, "bad", GOOD + "\n" + line + "\n")
+    compact_raw(spark, lake, "logs")
     assert names(read_compacted(spark, lake, "logs", ("source_file",))) == ["good"]
     rejected = read_quarantine(spark, lake, "logs").collect()
     assert sorted(r.line for r in rejected) == sorted([GOOD, line])
@@ -83,20 +83,16 @@ def test_lines_that_are_stored(spark, lake, line):
     assert row.ts in ("9", None, "2", "A")
 
 
-def test_large_object_sets_are_joined(spark, lake, monkeypatch):
-    rows = [(GOOD if n % 3 else "{", f"o{n % 30}") for n in range(300)]
-    frame = spark.createDataFrame(rows, "value string, source_file string")
-    results = []
-    for named, broadcast in ((1000, 1000), (1, 1000), (1, 1)):
-        monkeypatch.setattr(objects, "NAMED_OBJECTS", named)
-        monkeypatch.setattr(objects, "BROADCAST_OBJECTS", broadcast)
-        compact_lines(frame, lake, "logs", "b")
-        results.append((
-            names(read_compacted(spark, lake, "logs", ("source_file",))),
-            read_compacted(spark, lake, "logs").count(), read_quarantine(spark, lake, "logs").count(),
-        ))
-    assert results[0] == results[1] == results[2]
-    assert results[0][1:] == (200, 100)
+def test_sources_starts_no_job(spark, lake):
+    put(lake, "a.ndjson", GOOD)
+    compact_raw(spark, lake, "logs")
+    put(lake, "b.ndjson", GOOD)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    frame = sources(spark, lake, "logs", "all")
+    run_report("find-all-service-errors", frame, since="2024-01-01T00:00:00Z")
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert frame.count() == 2 and len(tracker.getJobIdsForGroup(None)) > before
 
 
 def test_compacted_files_are_few_and_sorted_by_time(spark, lake):
@@ -132,27 +128,97 @@ def test_compaction_takes_new_objects_once(spark, lake):
     compact_raw(spark, lake, "logs", "three")
     assert read_compacted(spark, lake, "logs").count() == 2
     assert sources(spark, lake, "logs", "recent").count() == 1
-    assert read_status(spark, lake, "logs").count() == 3
+    # The rejected object was looked at by each run.
+    seen = [Path(r.source_file).name for r in read_status(spark, lake, "logs").collect()]
+    assert sorted(seen) == ["a.ndjson", "bad.ndjson", "bad.ndjson", "bad.ndjson", "c.ndjson"]
 
 
-def test_pruned_scan_does_not_open_excluded_objects(spark, lake):
-    put(lake, "a.ndjson", GOOD)
-    compact_raw(spark, lake, "logs")
-    put(lake, "b.ndjson", GOOD)
-    plan = read_raw(spark, lake, "logs")._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan
-    assert read_raw(spark, lake, "logs").count() == 1
+def test_day_filters_skip_raw_objects(spark, lake):
+    for day in range(1, 8):
+        put(lake, "a.ndjson", GOOD, day=f"2024-01-0{day}")
+    found = between_dates(read_raw(spark, lake, "logs"), "2024-01-02", "2024-01-03")
+    assert found.count() == 2
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_metadata" in plan or "file_path" in plan
 
 
-def test_quarantine_retry(spark, lake, monkeypatch):
-    put(lake, "bad.ndjson", GOOD + '\n{"ts":5}')
+def test_quarantine_retry(spark, lake):
+    path = put(lake, "bad.ndjson", GOOD + '\n{"ts":5}')
     compact_raw(spark, lake, "logs", "one")
     retry_quarantine(spark, lake, "logs", "two")
-    assert read_quarantine(spark, lake, "logs").select("line").distinct().count() == 2
+    retry_quarantine(spark, lake, "logs")
+    assert read_quarantine(spark, lake, "logs").count() == 2
     assert read_compacted(spark, lake, "logs").count() == 0
-    monkeypatch.setattr("logtarn.operators.compact.is_text_or_null", lambda value: F.lit(True))
+    path.write_text(GOOD + '\n{"ts":"5"}')
     retry_quarantine(spark, lake, "logs", "three")
+    retry_quarantine(spark, lake, "logs", "four")
     assert read_quarantine(spark, lake, "logs").count() == 0
+    assert read_compacted(spark, lake, "logs").count() == sources(spark, lake, "logs").count() == 2
+
+
+def test_salvaged_lines_are_retried_once(spark, lake, monkeypatch):
+    put(lake, "bad.ndjson", GOOD + '\n{"ts":5}\n{')
+    compact_raw(spark, lake, "logs", "one", salvage=True)
+    retry_quarantine(spark, lake, "logs")
+    assert read_quarantine(spark, lake, "logs").count() == 2
+    monkeypatch.setattr(compact, "is_text_or_null", lambda value: F.lit(True))
+    retry_quarantine(spark, lake, "logs")
+    retry_quarantine(spark, lake, "logs")
+    assert [r.line for r in read_quarantine(spark, lake, "logs").collect()] == ["{"]
+    assert read_compacted(spark, lake, "logs").count() == 2
+
+
+def test_a_run_that_died_is_made_good(spark, lake, monkeypatch):
+    put(lake, "a.ndjson", GOOD)
+    real = compact.note_batch
+
+    def dies(session, path, *batch):
+        if path == lake.completed("logs"):
+            raise KeyboardInterrupt
+        real(session, path, *batch)
+
+    monkeypatch.setattr(compact, "note_batch", dies)
+    with pytest.raises(KeyboardInterrupt):
+        compact_raw(spark, lake, "logs")
+    assert sources(spark, lake, "logs").count() == 1
+    monkeypatch.setattr(compact, "note_batch", real)
+    put(lake, "b.ndjson", GOOD)
+    compact_raw(spark, lake, "logs", "next")
+    assert read_compacted(spark, lake, "logs").count() == sources(spark, lake, "logs").count() == 2
+
+
+def test_an_ingested_batch_that_died_is_stored_once(spark, lake, monkeypatch):
+    records = spark.createDataFrame([("2024-01-01T05:00:00Z", "a")], "ts string, msg string")
+    real = sinks.note_batch
+    monkeypatch.setattr(sinks, "note_batch", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        write_raw(records, lake.raw("logs"), "b1")
+    run_compaction(spark, lake)  # the batch isn't complete and isn't taken
+    assert sources(spark, lake, "logs").count() == 1
+    monkeypatch.setattr(sinks, "note_batch", real)
+    write_raw(records, lake.raw("logs"), "b1")
+    run_compaction(spark, lake)
+    write_raw(records, lake.raw("logs"), "b1")
+    assert sources(spark, lake, "logs").count() == read_compacted(spark, lake, "logs").count() == 1
+
+
+def test_rejected_objects_are_never_cleared(spark, lake):
+    put(lake, "good.ndjson", GOOD)
+    bad = put(lake, "a b+c%20d.ndjson", GOOD + "\n{")
+    for _ in range(3):
+        run_compaction(spark, lake, clean="delete")
+    assert bad.exists() and sources(spark, lake, "logs").count() == 3
+    bad.write_text(GOOD)
+    run_compaction(spark, lake, clean="delete")
+    run_compaction(spark, lake, clean="delete")
+    assert not bad.exists() and sources(spark, lake, "logs").count() == 2
+
+
+def test_lines_end_at_newlines_only(spark, lake):
+    put(lake, "a.ndjson", '{"ts":"1",\r"msg":"x"}\r\n{"ts":"2"}')
+    compact_raw(spark, lake, "logs")
+    assert {r.ts for r in read_compacted(spark, lake, "logs").collect()} == {"1", "2"}
 
 
 def test_salvage(spark, lake):
@@ -169,7 +235,7 @@ def test_streaming_compaction_repeats_nothing_and_archives(spark, lake):
     run_compaction(spark, lake)
     run_compaction(spark, lake)
     assert read_compacted(spark, lake, "logs").count() == 1
-    assert read_compacted(spark, lake, "events").columns == [*EVENT_FIELDS, "date"]
+    assert read_compacted(spark, lake, "events").columns == [*EVENT_FIELDS, "date", "event_ts"]
     put(lake, "b.ndjson", GOOD)
     run_compaction(spark, lake)
     put(lake, "c.ndjson", GOOD)
@@ -237,24 +303,56 @@ def test_queries(spark, lake):
     assert all("xname" in r for r in rows)
     one_day = between_dates(sources(spark, lake, "logs"), "2024-01-02", None)
     assert one_day.count() == 1
-    assert [str(r.date) for r in available_dates(sources(spark, lake, "logs")).collect()] == ["2024-01-01"]
-    folders = available_dates(sources(spark, lake, "logs"), from_folders=True).collect()
+    days = available_dates(sources(spark, lake, "logs"), from_folders=False).collect()
+    assert [str(r.date) for r in days] == ["2024-01-01"]
+    folders = available_dates(sources(spark, lake, "logs")).collect()
     assert [str(r.date) for r in folders] == ["2024-01-01", "2024-01-02"]
     schema = dataset_schema(sources(spark, lake, "logs")).collect()
     assert (schema[0].column_name, schema[0].column_type) == ("ts", "string")
 
 
-def test_filters_reach_the_scans_of_both_tiers(spark, lake):
+def test_filters_reach_the_scans(spark, lake):
     put(lake, "a.ndjson", GOOD)
     compact_raw(spark, lake, "logs")
     put(lake, "b.ndjson", GOOD, day="2024-01-02")
     found = between_dates(sources(spark, lake, "logs"), "2024-01-02", "2024-01-03")
-    plan = found.where("level = 'err'").select("msg")._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.splitlines() if "FileScan" in line]
-    assert len(scans) == 2
-    assert all("PartitionFilters: [isnotnull(date" in scan for scan in scans)
-    assert any("PushedFilters: [IsNotNull(level), EqualTo(level,err)]" in scan for scan in scans)
-    assert any(scan.endswith("ReadSchema: struct<level:string,msg:string>") for scan in scans)
+    assert found.count() == 1
+    compacted = sources(spark, lake, "logs", "compacted")
+    late = run_report("find-all-service-errors", compacted, since="2024-01-02T00:00:00Z").select("msg")
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    (scan,) = [line for line in plan.splitlines() if "FileScan parquet [level" in line]
+    assert "PartitionFilters: [isnotnull(date" in scan
+    assert "GreaterThanOrEqual(event_ts,2024-01-02 00:00:00.0)" in scan and "In(level" in scan
+    assert "ReadSchema: struct<level:string,msg:string,event_ts:timestamp>" in scan
+    assert late.count() == 0
+
+
+def test_trace_walk_scans_the_compacted_tier_once(spark, lake):
+    put(lake, "a.ndjson", GOOD.replace('"x":5', '"trace_id":"t"'))
+    compact_raw(spark, lake, "logs")
+    walked = run_report("trace-walk", sources(spark, lake, "logs", "compacted"))
+    walked.collect()
+    plan = walked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "trace_id" in line]
+    assert len(scans) == 1 and "ReusedExchange" in plan
+
+
+def test_since_implies_days_in_utc(spark, lake):
+    record = {"ts": "2024-01-01T23:30:00-05:00", "level": "err", "service": "smd"}
+    put(lake, "a.ndjson", json.dumps(record))
+    compact_raw(spark, lake, "logs")
+    found = run_report(
+        "find-all-service-errors", sources(spark, lake, "logs"),
+        since="2024-01-02T00:00:00Z", from_date="2024-01-02",
+    )
+    assert [str(r.date) for r in found.collect()] == ["2024-01-02"]
+
+
+def test_lakes_of_another_program(spark, tmp_path):
+    lake = Lake(str(tmp_path / "other"), typed_times=False)
+    old = spark.createDataFrame([("2024-01-01T00:00:00Z", "err")], "ts string, level string")
+    old.write.parquet(f"{lake.compacted('logs')}/date=2024-01-01")
+    found = run_report("find-all-service-errors", sources(spark, lake, "logs"), since="2024-01-01T00:00:00Z")
     assert found.count() == 1
 
 
@@ -307,7 +405,8 @@ def test_trace_walk_equals_an_undivided_window(spark):
         F.lit("smd").alias("service"), F.format_string("%05d", n).alias("payload_json"),
     )
     walked = trace_walk(records).orderBy("trace_id", "hop").collect()
-    whole = Window.partitionBy("trace_id").orderBy("event_ts", "payload_json")
+    untimed = F.when(F.col("event_ts").isNull(), F.pmod(F.xxhash64("payload_json"), F.lit(1024)))
+    whole = Window.partitionBy("trace_id").orderBy("event_ts", untimed, "payload_json")
     event_ts = F.col("ts").try_cast("timestamp")
     gap = F.unix_micros("event_ts") - F.unix_micros(F.lag("event_ts").over(whole))
     expected = records.withColumn("event_ts", event_ts).select(
