@@ -67,13 +67,16 @@ def main() -> None:
     rows = spark.read.parquet(records).count()
 
     # The round trip through both tiers, step by step: raw objects of an hour each, compaction.
-    trip = Lake(work_area(spark, "bench"))
+    # The better of two, each through a lake of its own; the first warms up.
+    trips = [Lake(work_area(spark, "bench")) for _ in range(2)]
+    steps = {
+        "roundtrip_write_raw": lambda trip: write_raw(lake_logs(spark, SF_DIR), trip.raw("logs"), "all"),
+        "roundtrip_compact": lambda trip: compact_raw(spark, trip, "logs"),
+        "roundtrip_read": lambda trip: run(read_compacted(spark, trip, "logs")),
+    }
     times: dict[str, float] = {
-        "roundtrip_write_raw": timed(
-            lambda: write_raw(lake_logs(spark, SF_DIR), trip.raw("logs"), "all"), 1
-        ),
-        "roundtrip_compact": timed(lambda: compact_raw(spark, trip, "logs"), 1),
-        "roundtrip_read": timed(lambda: run(read_compacted(spark, trip, "logs")), 1),
+        name: min(timed(lambda step=step, trip=trip: step(trip), 1) for trip in trips)
+        for name, step in steps.items()
     }
     times["compacted_roundtrip"] = round(sum(times.values()), 3)
     lake = two_tier_lake(spark, SF_DIR)
@@ -95,7 +98,7 @@ def main() -> None:
             F.substring("ts", 1, 10).between("2024-01-04", "2024-01-05")
         ),
         "dump_all": lambda: logs,
-        "row_json": lambda: json_rows(logs),
+        "row_json": lambda: json_rows(logs, None),
         "row_json_nested": lambda: json_rows(logs, "logs"),
     }
     for name, frame in queries.items():
