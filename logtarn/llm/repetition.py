@@ -25,7 +25,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 class Limits:
     """A document is kept if each share of its word characters stays at or below its limit."""
 
-    ngram_chars: tuple[tuple[int, float], ...] = ((5, 0.40), (8, 0.30), (10, 0.25))
+    ngram_chars: tuple[tuple[int, float], ...] = ((5, 0.45), (8, 0.42), (10, 0.40))
     line_chars: float = 0.30
     symbols_per_word: float = 0.20
 
