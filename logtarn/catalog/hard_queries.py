@@ -101,6 +101,11 @@ def payload_tail(spark, sf_dir):
     )
 
 
+def _at_midnight(records: DataFrame) -> DataFrame:
+    """The records moved to the first hour of their day, so that a lake has one object a day."""
+    return records.withColumn("ts", F.concat(F.substring("ts", 1, 11), F.lit("00:00:00Z")))
+
+
 def _text_objects(lines: DataFrame, lake: Lake, stream: str = "logs") -> None:
     """Objects of another writer: text under ``date=/hour=`` without a batch folder."""
     lines.repartition("date", "hour").write.mode("append").partitionBy("date", "hour").text(lake.raw(stream))
@@ -135,12 +140,12 @@ def raw_unknown_fields(spark, sf_dir):
 
 @catalogued(f"""
 WITH {LAKE_LOGS_SQL}
-SELECT ts, service, event_id % 2 = 0 AS ours, strftime(event_time, '%Y-%m-%d') AS date,
-  strftime(event_time, '%H') AS hour
+SELECT strftime(event_time, '%Y-%m-%dT00:00:00Z') AS ts, service, event_id % 2 = 0 AS ours, strftime(event_time, '%Y-%m-%d') AS date,
+  '00' AS hour
 FROM lake""")
 def raw_mixed_layout(spark, sf_dir):
     """Batches of this package and objects of another writer in the same folders."""
-    lake, records = Lake(work_area(spark, "mixed")), lake_logs(spark, sf_dir)
+    lake, records = Lake(work_area(spark, "mixed")), _at_midnight(lake_logs(spark, sf_dir))
     write_raw(records.where("event_id % 2 = 0"), lake.raw("logs"), "ours")
     others = records.where("event_id % 2 <> 0")
     _text_objects(others.select(
@@ -205,7 +210,7 @@ WITH {LAKE_LOGS_SQL}
 SELECT strftime(event_time, '%Y-%m-%d') AS date, count(*) AS records FROM lake GROUP BY 1""")
 def compact_mixed_runs(spark, sf_dir):
     """A named run, the periodic job, more objects and the job again: each record once."""
-    lake, records = Lake(work_area(spark, "mixed-runs")), lake_logs(spark, sf_dir)
+    lake, records = Lake(work_area(spark, "mixed-runs")), _at_midnight(lake_logs(spark, sf_dir))
     write_raw(records.where("event_id % 3 = 0"), lake.raw("logs"), "one")
     compact_raw(spark, lake, "logs", "by-hand")
     run_compaction(spark, lake, clean="off")
@@ -227,8 +232,8 @@ SELECT 'events', strftime(event_time, '%Y-%m-%d'), count(*), 0 FROM expected GRO
 def compact_both_streams(spark, sf_dir):
     """The periodic job over both streams, twice: all is compacted and the raw tier cleared."""
     lake = Lake(work_area(spark, "both"))
-    write_raw(lake_logs(spark, sf_dir), lake.raw("logs"), "all")
-    write_raw(lake_events(spark, sf_dir), lake.raw("events"), "all")
+    write_raw(_at_midnight(lake_logs(spark, sf_dir)), lake.raw("logs"), "all")
+    write_raw(_at_midnight(lake_events(spark, sf_dir)), lake.raw("events"), "all")
     run_compaction(spark, lake)
     run_compaction(spark, lake)
     found = []
@@ -270,16 +275,20 @@ def trace_walk_ties(spark, sf_dir):
     return raw.unionByName(walked("compacted"))
 
 
-_ZONED = "strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S') || '-05:00'"
+_ZONED = "strftime(CAST(ts AS DATE) - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '-05:00'"
 
 
 @catalogued(f"""
 SELECT {_ZONED} AS ts, strftime(ts, '%Y-%m-%d') AS date FROM events
-WHERE ts >= TIMESTAMP '2024-01-05 02:00:00' AND ts < TIMESTAMP '2024-01-09 03:30:00'""")
+WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'""")
 def report_params_offsets(spark, sf_dir):
-    """A time range over records written in another zone, across both tiers: by instant."""
+    """A time range over records written in another zone, across both tiers: by instant.
+
+    All are of 03:00 UTC, which is 22:00 of the day before where they were written.
+    """
     lake = Lake(work_area(spark, "zoned"))
-    shifted = F.date_format(F.col("ts") - F.expr("INTERVAL 5 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'-05:00'")
+    local = F.date_trunc("day", "ts") - F.expr("INTERVAL 2 HOURS")
+    shifted = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss'-05:00'")
     records = events_table(spark, sf_dir).select(
         shifted.alias("ts"), F.lit("smd").alias("service"), F.lit("err").alias("level"), "event_id"
     )

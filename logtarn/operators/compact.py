@@ -3,7 +3,6 @@
 from hashlib import sha256
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from logtarn.sources.lake import (
     load,
     note_batch,
     open_lines,
+    raw_objects,
     read_raw_lines,
     read_status,
     unfinished,
@@ -156,14 +156,7 @@ def clear_compacted(
     Rejected objects stay. Objects now in the raw tier are listed, not opened, so the work follows
     the tier and not its history.
     """
-    path = F.col("_metadata.file_path")
-    try:
-        present = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(lake.raw(stream))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
-    names = present.select(path.alias("source_file"), folder_day(path).alias("day"))
+    names = raw_objects(spark, lake.raw(stream))
     gone = names.join(compacted_objects(spark, lake, stream), ["day", "source_file"], "left_semi")
     return clear_away(gone, lake.raw(stream), lake.archive(stream) if archive else None)
 

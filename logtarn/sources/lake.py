@@ -213,6 +213,25 @@ def committed(raw: str) -> str:
     return f"{raw}/_committed"
 
 
+def begun(raw: str) -> str:
+    """The record of batches that were begun."""
+    return f"{raw}/_begun"
+
+
+def raw_objects(spark: SparkSession, path: str) -> DataFrame:
+    """``source_file``, ``day`` and ``batch`` of the objects there are; they are not opened."""
+    name = F.col("_metadata.file_path")
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], strings(("source_file", "day", "batch")))
+    return found.select(
+        name.alias("source_file"), folder_day(name).alias("day"), folder_batch(name).alias("batch")
+    )
+
+
 def open_lines(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
     """The raw lines that compaction has to take: of complete batches and other writers' objects,
     without the objects that are compacted. Objects that were rejected come again."""

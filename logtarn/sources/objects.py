@@ -23,7 +23,7 @@ def folder_hour(path: Column) -> Column:
 
 def folder_batch(path: Column) -> Column:
     """The batch of ours that wrote an object, empty for objects of other writers."""
-    return F.regexp_extract(path, r"/batch=([^/]+)/[^/]*$", 1)
+    return F.regexp_extract(path, r"/batch=([^/]+)-\d{5,}-[0-9a-f]{8}-[0-9a-f-]{27}[^/]*$", 1)
 
 
 def clear_away(objects: DataFrame, root: str, archive: str | None = None) -> int:

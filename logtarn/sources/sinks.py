@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from logtarn.functions.times import event_date, event_hour
 from logtarn.plans.query import json_rows
-from logtarn.sources.lake import batches, committed, note_batch
+from logtarn.sources.lake import batches, begun, committed, note_batch, raw_objects
+from logtarn.sources.objects import clear_away
 
 RESULT_FORMATS = ("ndjson", "csv", "text")
 
@@ -22,23 +23,31 @@ def with_raw_partition(records: DataFrame, received: Column | None = None) -> Da
 
 
 def write_raw(records: DataFrame, path: str, batch: str) -> None:
-    """Write normalised records to the raw tier as gzip NDJSON under ``date=/hour=/batch=``.
+    """Write normalised records to the raw tier as gzip NDJSON under ``date=/hour=``.
 
-    The folders of day and hour are shared with other writers. A batch is written once: what an
-    attempt that died has left is replaced, and a batch that is marked complete is left alone,
-    however often it comes. Rebalancing by hour makes few objects of even size, one per hour
+    The folders of day and hour are shared with other writers; the batch is in the objects' names. A batch is written once: it is noted
+    when it begins, what an attempt that died has left is cleared away, and a batch that is marked
+    complete is left alone, however often it comes. Rebalancing by hour makes few objects of even size, one per hour
     unless an hour holds too much for one task.
     """
     spark = records.sparkSession
-    if not batches(spark, committed(path)).where(F.col("batch") == batch).isEmpty():
+
+    def noted(record: str) -> bool:
+        return not batches(spark, record).where(F.col("batch") == batch).isEmpty()
+
+    if noted(committed(path)):
         return
+    if noted(begun(path)):
+        clear_away(raw_objects(spark, path).where(F.col("batch") == batch), path)
+    else:
+        note_batch(spark, begun(path), batch)
     if "date" not in records.columns:
         records = with_raw_partition(records)
     (
-        records.hint("rebalance", "date", "hour").withColumn("batch", F.lit(batch))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date", "hour", "batch")
+        records.hint("rebalance", "date", "hour")
+        .write.mode("append")
+        .partitionBy("date", "hour")
+        .option("mapreduce.output.basename", f"batch={batch}")
         .option("compression", "gzip")
         .option("ignoreNullFields", "false")
         .json(path)
