@@ -19,8 +19,8 @@ with more than ``MEMBERS`` members have their strings grouped by Spark instead,
 
 Strings are judged on the input. Null counts as empty; texts below ``length`` keep everything. A
 null ``doc_id`` comes after all others. Rows of one ``doc_id`` are one document as to what is
-earlier, but each is cut by itself. Content is compared by a 64-bit anchor and 32 more bits of the
-segment in step 1, byte by byte in step 2.
+earlier, but each is cut by itself. Content is compared by a 64-bit hash of the anchor and another
+of the whole segment in step 1, byte by byte in step 2.
 """
 
 from collections.abc import Iterator
@@ -89,7 +89,7 @@ def _unpacked(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in found]
 
 
-_ASKED = ("u8", "u4", "i8", "u4")  # anchor, content, change of the id, address
+_ASKED = ("u8", "u8", "i8", "u4")  # anchor, content, change of the id, address
 _TOLD = ("i8", "u4", "u1")  # id, address, whether it is to be cut out
 
 
@@ -140,7 +140,7 @@ def _asking(groups: int, common: np.ndarray):
             for piece in pieces(iter([batch]), 1):
                 _, _, found, address, _ = _located(piece, 1)
                 anchors.append(found.anchor)
-                contents.append((found.content >> np.uint64(32)).astype(np.uint32))
+                contents.append(found.content)
                 ids.append(piece.column(0).to_numpy()[found.text])
                 addresses.append(address)
             if not anchors:

@@ -26,6 +26,7 @@ from logtarn.llm import (
     urls,
     winnowing,
 )
+from logtarn.llm.anchors import segments
 from logtarn.llm.catalog import ORACLES, QUERIES
 from logtarn.llm.components import components
 from logtarn.llm.suffixes import ranks
@@ -201,6 +202,19 @@ def test_substrings_odd(odd, clashing, documents):
     assert cut_by_spark(documents.limit(0)) == []
 
 
+def test_substrings_tells_apart_contexts_whose_hashes_agree_in_part(spark, documents):
+    """One anchor in two contexts that differ throughout, found by a search of 720,000."""
+    rows = [
+        "smygdhupngpkzhaabixmjcic ebvpqtksee our page no 93nfsbevbebeqkyxk yvtoificojvmacmp",
+        "wqeofxrgvykjwnvwhxaoblsmqdj vesusee our page no 93zjxyvgqsaofoez nqkfqorecutdfvzok",
+    ]
+    found = [segments(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), substrings.LENGTH) for t in rows]
+    one, two = (int(f.content[0]) for f in found)
+    assert found[0].anchor[0] == found[1].anchor[0] and one >> 32 == two >> 32 and one != two
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], documents.schema)
+    assert sorted(cut_by_spark(frame)) == brute.cut_repeats([(i, t.encode()) for i, t in enumerate(rows)])
+
+
 # 5
 
 
