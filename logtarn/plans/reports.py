@@ -8,7 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtarn.functions.times import event_time, iso_text, utc_date
@@ -66,20 +67,29 @@ def _in_range(
     to_date: str | None = None,
 ) -> DataFrame:
     records = between_dates(with_event_time(records), from_date, to_date)
-    # Folders are days in UTC, or off by one where another writer has named them.
     if since is not None:
         start = F.lit(since).cast("timestamp")
         records = records.where(F.col("event_ts") >= start)
-        if "date" in records.columns:
-            records = records.where(F.col("date") >= F.date_sub(utc_date(start), 1))
+        records = _compacted_where(records, F.col("date") >= F.date_sub(utc_date(start), 1))
     if until is not None:
         end = F.lit(until).cast("timestamp")
         records = records.where(F.col("event_ts") < end)
-        if "date" in records.columns:
-            records = records.where(F.col("date") <= F.date_add(utc_date(end), 1))
+        records = _compacted_where(records, F.col("date") <= F.date_add(utc_date(end), 1))
     return records
 
 
+def _compacted_where(records: DataFrame, days: Column) -> DataFrame:
+    """Skips folders of the compacted tier, which are days of the event in UTC, or off by one where
+    another program has named them. Folders of the raw tier tell nothing of the event: they may be
+    of the day of receipt, or of no day. Records that don't say their tier stay as they are."""
+    try:
+        return records.where(~F.col("_compacted") | days)
+    except AnalysisException as error:
+        if not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            raise
+        return records
+
+
 def parse_errors(records: DataFrame, **time_range) -> DataFrame:
     """Records whose message or event could not be parsed."""
     return _in_range(records, **time_range).where(F.col("parse_error").isNotNull())

@@ -255,16 +255,19 @@ def sources(
     """The chosen tiers of a stream as one relation, matched by column name. Starts no job.
 
     Besides the record fields it has the day ``date`` (UTC) and ``hour`` of the folder and the
-    instant ``event_ts``. Filters on ``date`` skip the folders of both tiers.
+    instant ``event_ts``. Filters on ``date`` skip the folders of both tiers. Filters may also
+    name ``_compacted``, whether a row is of the compacted tier, which is not among the columns.
     """
     check_stream(stream)
     tiers = []
     if check_scope(scope) in ("all", "compacted"):
-        tiers.append(read_compacted(spark, lake, stream, extra_fields))
+        compacted = read_compacted(spark, lake, stream, extra_fields)
+        tiers.append(compacted.withColumn("_compacted", F.lit(True)))
     if scope in ("all", "recent"):
         raw = read_raw(spark, lake, stream, extra_fields)
-        tiers.append(raw.withColumn("event_ts", event_time(F.col("ts"))))
+        raw = raw.withColumn("event_ts", event_time(F.col("ts")))
+        tiers.append(raw.withColumn("_compacted", F.lit(False)))
     union = tiers[0]
     for tier in tiers[1:]:
         union = union.unionByName(tier, allowMissingColumns=True)
-    return union.select(*[c for c in union.columns if c != "event_ts"], "event_ts")
+    return union.select(*[c for c in union.columns if c not in ("event_ts", "_compacted")], "event_ts")

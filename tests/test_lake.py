@@ -354,6 +354,33 @@ def test_since_implies_days_in_utc(spark, lake):
     assert [str(r.date) for r in found.collect()] == ["2024-01-02"]
 
 
+def test_since_and_until_reach_raw_records_of_any_folder(spark, lake):
+    record = {"ts": "2024-01-01T03:00:00Z", "level": "err", "service": "smd"}
+    put(lake, "late.ndjson", json.dumps(record), day="2024-01-09")
+    (Path(lake.raw("logs")) / "bare.ndjson").write_text(json.dumps(record))
+    folder = Path(lake.raw("logs")) / "date=2023-12-01"
+    folder.mkdir()
+    (folder / "early.ndjson").write_text(json.dumps(record))
+
+    def found():
+        records = sources(spark, lake, "logs")
+        assert "_compacted" not in records.columns
+        ranged = run_report(
+            "find-all-service-errors", records, since="2024-01-01T00:00:00Z", until="2024-01-02T00:00:00Z"
+        )
+        assert ranged.columns == records.columns
+        return ranged
+
+    assert found().count() == 3
+    compact_raw(spark, lake, "logs")
+    put(lake, "next.ndjson", json.dumps(record), day="2024-02-01")
+    assert found().count() == 4
+    # The compacted tier is skipped by day, beside the raw one too.
+    plan = found()._jdf.queryExecution().executedPlan().toString()
+    (scan,) = [line for line in plan.splitlines() if "FileScan parquet [ts" in line]
+    assert "date#" in (days := scan.split("PartitionFilters: [")[1].split("]")[0]) and ">= 2023-12-31" in days
+
+
 def test_lakes_of_another_program(spark, tmp_path):
     lake = Lake(str(tmp_path / "other"), typed_times=False)
     old = spark.createDataFrame([("2024-01-01T00:00:00Z", "err")], "ts string, level string")
