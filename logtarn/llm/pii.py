@@ -3,13 +3,13 @@
 Generators propose overlapping spans of four kinds. The base patterns with their checks always
 count; the other candidates (dotted or spaced card numbers, national phone numbers, spelt-out
 addresses, long ip addresses) count if boosted trees score them above a threshold calibrated on
-rows that the trees have not seen. All of it is DataFrame functions and one narrow pass: a
+rows that the trees have not seen, of all documents. All of it is DataFrame functions and one narrow pass: a
 document's candidates stay in its row, and the trained trees become conditional expressions.
 
 There are no labels for personal data. Weak ones come from the candidates themselves: a checksum,
 range or length that holds, in clean bounds and, for the wider formats, beside a word that
-announces the kind. The trees are trained on candidates of about ``TRAIN_DOCUMENTS`` documents,
-grouped by their few-valued features; everything else covers all documents.
+announces the kind. Candidates of all documents are grouped by their few-valued features, so what
+is left is bounded: half of the texts, by a hash, fit the trees, the others set the thresholds.
 
 Null counts as empty, which has no spans. Each row is judged alone, so repeated rows and repeated
 or null ids need no care. Positions are code points, the end exclusive.
@@ -28,11 +28,9 @@ from logtarn.functions.let import let
 from logtarn.llm.registry import registered, table
 from logtarn.llm.stored import stored, unused
 
-#: Documents the trees are trained on, about: an even sample.
-TRAIN_DOCUMENTS = 4000
 TREES = 12
 TREE_DEPTH = 3
-#: Share of true spans that a threshold must reach on held-out candidates.
+#: Share of true spans that a threshold must reach on held-out candidates of the wide formats.
 PRECISION = 0.95
 CONTEXT_CHARS = 24
 
@@ -241,10 +239,8 @@ def _tree(lines: list[str]):
 
 
 def train(docs: DataFrame) -> Trees:
-    """Trees and thresholds from the weakly labelled candidates of a bounded sample."""
-    share = min(1.0, TRAIN_DOCUMENTS / max(docs.count(), 1))
-    sample = docs.select(F.coalesce("text", F.lit("")).alias("text")).sample(share, seed=1)
-    spans = sample.select(
+    """Trees and thresholds from the weakly labelled candidates of all documents."""
+    spans = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(
         "text", F.explode(F.concat(*_base(F.col("text")), *_wide(F.col("text")))).alias("span")
     )
     spans = spans.select(
@@ -253,7 +249,7 @@ def train(docs: DataFrame) -> Trees:
     ).select("f.*", "held_out")
     good = (F.col("holds") == 1) & (F.col("clean") == 1)
     good &= (F.col("wide") == 0) | (F.col("announced") == 1)
-    # Few-valued features: the table of their combinations is bounded whatever the sample holds.
+    # Few-valued features: the table of their combinations is bounded however many rows there are.
     cells = stored(
         spans.withColumn("label", good.cast("int")).groupBy(*FEATURES, "held_out", "label")
         .agg(F.count("*").cast("double").alias("weight")),
@@ -268,8 +264,13 @@ def train(docs: DataFrame) -> Trees:
     ).fit(fit)
     trees = tuple(_tree(t.toDebugString.split("\n")[1:]) for t in model.trees)
     found = Trees(trees, tuple(model.treeWeights), ())
+    # Thresholds are for wide candidates, so base ones have no part in them. A kind that has wide
+    # ones only where the trees were fitted goes by those.
+    wide = cells.where("wide = 1")
+    unseen = wide.groupBy("kind").agg(F.max("held_out").alias("unseen"))
     scored = (
-        cells.where("held_out").withColumn("score", found.score({c: F.col(c) for c in FEATURES}))
+        wide.join(unseen, "kind").where("held_out = unseen")
+        .withColumn("score", found.score({c: F.col(c) for c in FEATURES}))
         .groupBy("kind", "score")
         .agg(F.sum("weight").alias("all"), F.sum(F.col("weight") * F.col("label")).alias("good"))
         .collect()
@@ -278,7 +279,7 @@ def train(docs: DataFrame) -> Trees:
 
 
 def _threshold(scored, kind: int) -> float:
-    """The lowest score from which on the held-out candidates of a kind reach the precision."""
+    """The lowest score from which on the wide candidates of a kind reach the precision."""
     found, every, good = 2.0, 0.0, 0.0
     for row in sorted((r for r in scored if r.kind == kind), key=lambda r: -r.score):
         every, good = every + row["all"], good + row["good"]

@@ -251,6 +251,19 @@ def test_pii_trees_add_spans_and_leave_plain_text(spark, documents):
     assert pii.redacted(plain, trees).first() == plain.first()
 
 
+def test_pii_thresholds_cover_formats_of_few_documents(spark, documents):
+    """Of 40,000 documents 20 have a long ip address that is announced, and 20 one that is not."""
+    long = "concat_ws(':', transform(sequence(1, 8), k -> lower(hex(id * 7 + k * 4096))))"
+    rare = spark.range(20).selectExpr("id", f"concat('host ', {long}, ' up') AS text").union(
+        spark.range(20, 40).selectExpr("id", f"concat('ratio ', {long}, ' up') AS text")
+    )
+    plain = spark.range(40, 40_000).selectExpr("id", "concat('m', id, '@x.org ', id % 300, '.0.0.', id % 250) AS text")
+    docs = rare.union(plain)
+    trees = pii.train(docs)
+    found = pii.with_spans(rare, trees).collect()
+    assert [len(r.spans.added) for r in sorted(found, key=lambda r: r.id)] == [1] * 20 + [0] * 20
+
+
 def test_pii_redaction(spark, documents, odd, clashing):
     schema = documents.schema
     frame = spark.createDataFrame([(1, "x a@b.co y +1 (555) 123-4567 é 10.0.0.1.", "en", "s", 0), (2, None, "en", "s", 7)], schema)
