@@ -1,6 +1,8 @@
 """The queries of this subpackage; importing the modules registers them."""
 
 from logtarn.llm import (  # noqa: F401
+    importance,
+    linedup,
     merkle,
     pii,
     raking,
@@ -10,6 +12,7 @@ from logtarn.llm import (  # noqa: F401
     substrings,
     toxicity,
     urls,
+    vafile,
     winnowing,
 )
 from logtarn.llm.registry import ORACLES, QUERIES

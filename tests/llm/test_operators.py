@@ -43,7 +43,7 @@ def key(row):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     database = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         database.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     found = QUERIES[name](spark, DATA)
     columns = sorted(found.columns)
