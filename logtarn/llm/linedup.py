@@ -196,9 +196,10 @@ def repeated_lines(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     rest = frequent.where("NOT hot").select(
         F.col("h1").alias("j1"), F.col("h2").alias("j2"), "keeper"
     )
-    # What is decided by broadcast joins on by the hash of its text: spread out, and matching nothing.
+    # What is decided by broadcast joins on by a hash of its row: spread out, and matching nothing.
+    spread = F.xxhash64("doc_id", "t1")
     looked = lines.join(F.broadcast(hot), KEY, "left").withColumns({
-        "j1": F.when(F.col("hot_keeper").isNull(), F.col("h1")).otherwise(F.col("t1")),
+        "j1": F.when(F.col("hot_keeper").isNull(), F.col("h1")).otherwise(spread),
         "j2": F.when(F.col("hot_keeper").isNull(), F.col("h2")).otherwise(F.col("t2")),
     })
     keeper = F.coalesce(F.col("hot_keeper"), F.col("keeper"))
