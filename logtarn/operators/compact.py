@@ -13,16 +13,16 @@ from logtarn.session import work_area
 from logtarn.sources.lake import (
     QUARANTINE,
     Lake,
-    batches,
     compacted_objects,
     load,
-    note_batch,
     open_lines,
     raw_objects,
     read_raw_lines,
     read_status,
+    uncleared_runs,
     unfinished,
 )
+from logtarn.sources.marks import drop, drop_mark, exists, marks, put_mark, read_mark
 from logtarn.sources.objects import clear_away, folder_day
 from logtarn.sources.sinks import write_compacted
 
@@ -95,12 +95,12 @@ def compact_lines(
     An object with a bad line is not stored and not marked as compacted, so it stays where it is,
     readable, and is checked again by the next run. With ``salvage`` its sound lines are stored and
     the bad lines alone go to the quarantine. The batch name makes the run repeatable: its output
-    replaces what an earlier attempt at the same batch has left. Objects are marked as compacted
-    last, so a run that dies halfway hides nothing from readers of the raw tier.
+    replaces all that an earlier attempt at the same batch has left. What is stored, set aside and
+    marked as compacted counts at once, when the mark of the attempt is taken away.
     """
     spark = lines.sparkSession
+    put_mark(spark, lake.attempts(stream), batch)
     checked = check_lines(lines, stream)
-    note_batch(spark, lake.attempts(stream), batch)
 
     # The verdict on each object must be known before its first row is written. It is one small
     # row per object, kept as a table; reading twice costs less than storing every parsed row.
@@ -115,14 +115,44 @@ def compact_lines(
         # Only objects that were judged, so none that has come since is stored without a mark.
         sound = status.where("bad_lines = 0").select("source_file")
         stored = checked.join(sound, "source_file", "left_semi")
+        drop(spark, f"{lake.quarantine(stream)}/batch={batch}")
     size = status.agg(F.sum("bytes")).first()[0] or 0
     write_compacted(project_records(stored, stream), lake.compacted(stream), batch, size)
     compacted = F.lit(True) if salvage else F.col("bad_lines") == 0
-    marks = status.drop("bytes").withColumns({
+    found = status.drop("bytes").withColumns({
         "compacted": compacted, "day": folder_day(F.col("source_file")),
     })
-    _replace_batch(marks, lake.object_status(stream), batch, "day")
-    note_batch(spark, lake.completed(stream), batch)
+    _replace_batch(found, lake.object_status(stream), batch, "day")
+    drop(spark, verdicts)
+    put_mark(spark, lake.uncleared(stream), batch)
+    drop_mark(spark, lake.attempts(stream), batch)
+
+
+def settle(spark: SparkSession, lake: Lake, stream: str) -> None:
+    """Undo what runs that died have left, and delete what complete ones have replaced.
+
+    Nothing of a run counts before it is complete, so undoing it loses nothing: its objects are raw
+    still, the lines it retried are in quarantine still, the files it merged are there. Deleting can
+    itself be repeated, the mark goes last. Every run begins with this.
+    """
+    folders = (lake.compacted(stream), lake.object_status(stream), lake.quarantine(stream))
+    for batch in unfinished(spark, lake, stream):
+        for folder in folders:
+            drop(spark, f"{folder}/batch={batch}")
+        for record in (lake.uncleared(stream), lake.replaced(stream), lake.attempts(stream)):
+            drop_mark(spark, record, batch)
+    for batch in marks(spark, lake.replaced(stream)):
+        gone = read_mark(spark, lake.replaced(stream), batch)
+        for part in gone["parts"]:
+            of, _, day = part.partition("/")
+            drop(spark, f"{lake.compacted(stream)}/batch={of}/date={day or _NO_PARTITION}")
+        for of in gone["quarantined"]:
+            drop(spark, f"{lake.quarantine(stream)}/batch={of}")
+        drop_mark(spark, lake.replaced(stream), batch)
+
+
+#: Fixed value: the folder Spark writes rows to whose partition value is null.
+_NO_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def compact_raw(
@@ -134,17 +164,15 @@ def compact_raw(
 ) -> None:
     """Compact every raw object that is not compacted yet, as one batch.
 
-    A run is noted before it starts. One that died is made good first, under its own name, so what
-    it has stored is replaced and not stored twice. A batch that is complete cannot be run again.
-    Without a raw tier there is nothing to do. Runs over one stream go one after the other.
+    A run that died is undone first, see :func:`settle`; its objects are taken by this one. A batch
+    that is complete cannot be run again. Without a raw tier there is nothing to do. Runs over one
+    stream go one after the other.
     """
-    complete = batches(spark, lake.completed(stream))
-    if batch is not None and not complete.where(F.col("batch") == batch).isEmpty():
+    settle(spark, lake, stream)
+    if batch is not None and exists(spark, f"{lake.object_status(stream)}/batch={batch}"):
         raise ValueError(f"batch {batch!r} of {stream} is complete")
-    for died in unfinished(spark, lake, stream).collect():
-        compact_lines(open_lines(spark, lake, stream), lake, stream, died.batch, salvage)
     lines = open_lines(spark, lake, stream)
-    if not lines.isEmpty() and complete.where(F.col("batch") == (batch or "")).isEmpty():
+    if not lines.isEmpty():
         compact_lines(lines, lake, stream, batch or uuid4().hex, salvage)
 
 
@@ -156,9 +184,15 @@ def clear_compacted(
     Rejected objects stay. Objects now in the raw tier are listed, not opened, so the work follows
     the tier and not its history.
     """
+    runs, compacted = uncleared_runs(spark, lake, stream), compacted_objects(spark, lake, stream)
+    if compacted is None:
+        return 0
     names = raw_objects(spark, lake.raw(stream))
-    gone = names.join(compacted_objects(spark, lake, stream), ["day", "source_file"], "left_semi")
-    return clear_away(gone, lake.raw(stream), lake.archive(stream) if archive else None)
+    gone = names.join(compacted, ["day", "source_file"], "left_semi")
+    cleared = clear_away(gone, lake.raw(stream), lake.archive(stream) if archive else None)
+    for batch in runs:
+        drop_mark(spark, lake.uncleared(stream), batch)
+    return cleared
 
 
 def read_quarantine(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
@@ -173,10 +207,16 @@ def read_quarantine(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
 
 
 def _salvaged(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
-    """Lines set aside by salvaging, without the batches that a retry has dealt with."""
+    """Lines set aside by complete runs, without the batches that a retry has dealt with."""
     lines = load(spark, strings((*QUARANTINE.names, "batch")), lake.quarantine(stream), "parquet")
-    dealt = batches(spark, lake.retried(stream))
-    return lines.join(dealt, "batch", "left_anti").select(*QUARANTINE.names, "batch")
+    begun = unfinished(spark, lake, stream)
+    dealt = [
+        name
+        for retry in marks(spark, lake.replaced(stream)) if retry not in begun
+        for name in read_mark(spark, lake.replaced(stream), retry)["quarantined"]
+    ]
+    hidden = [*begun, *dealt]
+    return lines.where(~F.col("batch").isin(*hidden)) if hidden else lines
 
 
 def retry_quarantine(
@@ -184,9 +224,9 @@ def retry_quarantine(
 ) -> None:
     """Check again what was set aside, for use after the rules or the objects were mended.
 
-    Rejected objects are taken by an ordinary run. Salvaged lines that are sound now are stored,
-    the others set aside anew; the batch is named after those it deals with, so a retry that died
-    is replaced by the next.
+    Rejected objects are taken by an ordinary run. Salvaged lines that are sound now are stored, the
+    others set aside anew, as a run of its own that stands for the batches it deals with: until it
+    is complete these count and it does not, from then on it does and they don't.
     """
     compact_raw(spark, lake, stream, batch)
     salvaged = _salvaged(spark, lake, stream)
@@ -194,6 +234,7 @@ def retry_quarantine(
     if not names:
         return
     again = "retry-" + sha256(",".join(names).encode()).hexdigest()[:32]
+    put_mark(spark, lake.attempts(stream), again)
     copy = work_area(spark, "retry")
     lines = salvaged.select(F.col("line").alias("value"), "source_file")
     check_lines(lines, stream).write.parquet(copy)
@@ -202,7 +243,9 @@ def retry_quarantine(
     size = sound.agg(F.sum(F.octet_length("value"))).first()[0] or 0
     write_compacted(project_records(sound, stream), lake.compacted(stream), again, size)
     _replace_batch(set_aside(checked.where(F.col("reason").isNotNull())), lake.quarantine(stream), again)
-    note_batch(spark, lake.retried(stream), *names)
+    drop(spark, copy)
+    put_mark(spark, lake.replaced(stream), again, parts=[], quarantined=names)
+    drop_mark(spark, lake.attempts(stream), again)
 
 
 def _replace_batch(rows: DataFrame, path: str, batch: str, *partitions: str) -> None:

@@ -18,6 +18,7 @@ from pyspark.sql.types import (
 from logtarn.functions.json_text import object_fields, only_object
 from logtarn.functions.times import event_time
 from logtarn.schemas import check_scope, check_stream, record_fields, strings
+from logtarn.sources.marks import marks, read_mark
 from logtarn.sources.objects import NO_DAY, folder_batch, folder_day, folder_hour
 
 #: One row per raw object and run of compaction; ``day`` is that of the object's folder.
@@ -62,13 +63,17 @@ class Lake:
         return f"{self.root}/archive/{check_stream(stream)}"
 
     def attempts(self, stream: str) -> str:
+        """Marks of the runs that have begun and are not complete. What a run has written counts
+        from the moment its mark is gone."""
         return f"{self.root}/attempts/{check_stream(stream)}"
 
-    def completed(self, stream: str) -> str:
-        return f"{self.root}/completed/{check_stream(stream)}"
+    def uncleared(self, stream: str) -> str:
+        """Marks of the runs whose objects may still be in the raw tier."""
+        return f"{self.root}/uncleared/{check_stream(stream)}"
 
-    def retried(self, stream: str) -> str:
-        return f"{self.root}/retried/{check_stream(stream)}"
+    def replaced(self, stream: str) -> str:
+        """Marks of the runs that stand for parts of earlier ones, with the names of these."""
+        return f"{self.root}/replaced/{check_stream(stream)}"
 
     def checkpoint(self, name: str) -> str:
         return f"{self.root}/checkpoints/{name}"
@@ -124,9 +129,9 @@ def read_raw(
     extra = tuple(name for name in extra_fields if name not in fields)
     lines = read_raw_lines(spark, lake, stream)
     lines = lines.withColumn("day", folder_day(F.col("source_file")))
+    lines = _of_complete_batches(lines, open_batches(spark, lake.raw(stream)))
     if skip_compacted:
-        # An object is compacted before it is cleared away; until then it would be read twice.
-        lines = lines.join(compacted_objects(spark, lake, stream), ["day", "source_file"], "left_anti")
+        lines = _not_compacted(lines, lake, stream)
     members = [name for name in (*fields, *extra) if name != "payload_json"]
     text = F.col("value")
     read = lines.where(F.btrim(text, F.lit(" \t\r")) != "").withColumn(
@@ -159,9 +164,7 @@ def read_compacted(
     extra = tuple(name for name in extra_fields if name not in fields)
     schema = strings((*fields, *extra)).add("event_ts", TimestampType()).add("date", DateType())
     schema = schema.add("batch", StringType())
-    records = load(spark, schema, lake.compacted(stream), "parquet")
-    # What a run has stored counts when the run is complete: its objects are raw until then.
-    records = records.join(unfinished(spark, lake, stream), "batch", "left_anti")
+    records = stored_parts(spark, lake, stream, load(spark, schema, lake.compacted(stream), "parquet"))
     if extra:
         line = object_fields(F.trim("payload_json"), dict.fromkeys(extra, "string"))
         records = records.withColumn("_line", line)
@@ -174,48 +177,89 @@ def read_compacted(
     )
 
 
-def batches(spark: SparkSession, path: str) -> DataFrame:
-    """A record of batch names."""
-    return load(spark, strings(("batch",)), path, "parquet").distinct()
+def unfinished(spark: SparkSession, lake: Lake, stream: str) -> list[str]:
+    """Runs of compaction that have begun and are not complete: at most those that died."""
+    return marks(spark, lake.attempts(stream))
 
 
-def note_batch(spark: SparkSession, path: str, *names: str) -> None:
-    """Add names to a record of batches, in one file."""
-    rows = spark.createDataFrame([(name,) for name in names], strings(("batch",)))
-    rows.coalesce(1).write.mode("append").parquet(path)
-
-
-def unfinished(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
-    """Runs of compaction that have begun and are not complete."""
-    begun = batches(spark, lake.attempts(stream))
-    return begun.join(batches(spark, lake.completed(stream)), "batch", "left_anti")
+def stored_parts(spark: SparkSession, lake: Lake, stream: str, records: DataFrame) -> DataFrame:
+    """Of a table by ``batch`` and ``date``, what counts: not what unfinished runs have written, nor
+    what a complete one has replaced. Names are few and folders are skipped by them; no join."""
+    begun = unfinished(spark, lake, stream)
+    if begun:
+        # Files of other programs lie in no run's folder.
+        records = records.where(F.col("batch").isNull() | ~F.col("batch").isin(*begun))
+    gone = sorted({
+        part
+        for name in marks(spark, lake.replaced(stream)) if name not in begun
+        for part in read_mark(spark, lake.replaced(stream), name)["parts"]
+    })
+    if gone:
+        part = F.concat_ws("/", F.col("batch"), F.coalesce(F.col("date").cast("string"), F.lit("")))
+        records = records.where(F.col("batch").isNull() | ~part.isin(*gone))
+    return records
 
 
 def read_status(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
     """What compaction found in each raw object, run by run, for runs that are complete."""
     found = load(spark, OBJECT_STATUS, lake.object_status(stream), "parquet")
-    return found.join(batches(spark, lake.completed(stream)), "batch", "left_semi")
+    begun = unfinished(spark, lake, stream)
+    return found.where(~F.col("batch").isin(*begun)) if begun else found
+
+
+def uncleared_runs(spark: SparkSession, lake: Lake, stream: str) -> list[str]:
+    """Complete runs whose objects may still be in the raw tier, as a rule the last one."""
+    begun = set(unfinished(spark, lake, stream))
+    return [name for name in marks(spark, lake.uncleared(stream)) if name not in begun]
+
+
+def compacted_objects(spark: SparkSession, lake: Lake, stream: str) -> DataFrame | None:
+    """``day`` and ``source_file`` of the raw objects that are in the compacted tier as well; None
+    if there are none. Objects that were cleared away are not looked up."""
+    runs = uncleared_runs(spark, lake, stream)
+    if not runs:
+        return None
+    found = load(spark, OBJECT_STATUS, lake.object_status(stream), "parquet")
+    return found.where(F.col("batch").isin(*runs) & F.col("compacted")).select("day", "source_file")
+
 
+def _not_compacted(lines: DataFrame, lake: Lake, stream: str) -> DataFrame:
+    """An object is compacted before it is cleared away; until then it would be read twice."""
+    compacted = compacted_objects(lines.sparkSession, lake, stream)
+    return lines if compacted is None else lines.join(compacted, ["day", "source_file"], "left_anti")
 
-def compacted_objects(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
-    """``day`` and ``source_file`` of the objects that are in the compacted tier."""
-    return read_status(spark, lake, stream).where("compacted").select("day", "source_file")
 
+def _of_complete_batches(lines: DataFrame, unready: list[str]) -> DataFrame:
+    """Objects of batches that are still written, or whose writer died, do not count yet."""
+    return lines.where(~folder_batch(F.col("source_file")).isin(*unready)) if unready else lines
 
-def committed_batches(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
-    """The batches of the raw tier that are complete; ``batch`` is empty for other writers."""
-    ours = batches(spark, committed(lake.raw(stream)))
-    return ours.union(spark.createDataFrame([("",)], strings(("batch",))))
 
+def open_mark(raw: str) -> str:
+    """Marks of batches being written; the leading underscore hides it from readers of the tier."""
+    return f"{raw}/_open"
 
-def committed(raw: str) -> str:
-    """The record of complete batches; the leading underscore hides it from readers of the tier."""
-    return f"{raw}/_committed"
 
+def done_mark(raw: str) -> str:
+    """Marks of complete batches: the last of each numbered sequence, and those without a number."""
+    return f"{raw}/_done"
 
-def begun(raw: str) -> str:
-    """The record of batches that were begun."""
-    return f"{raw}/_begun"
+
+def sequence(batch: str) -> tuple[str, int | None]:
+    """A batch name without its number, and the number."""
+    name, _, number = batch.rpartition("-")
+    return (name, int(number)) if name and number.isdecimal() else (batch, None)
+
+
+def is_done(spark: SparkSession, raw: str, batch: str) -> bool:
+    """Whether a batch is complete. In a sequence, all are up to the last that was marked."""
+    name, number = sequence(batch)
+    done = [sequence(mark) for mark in marks(spark, done_mark(raw))]
+    return any(n == name and (k is None if number is None else k is not None and k >= number) for n, k in done)
+
+
+def open_batches(spark: SparkSession, raw: str) -> list[str]:
+    """The batches of the raw tier that are not complete."""
+    return [name for name in marks(spark, open_mark(raw)) if not is_done(spark, raw, name)]
 
 
 def raw_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -235,14 +279,9 @@ def raw_objects(spark: SparkSession, path: str) -> DataFrame:
 def open_lines(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
     """The raw lines that compaction has to take: of complete batches and other writers' objects,
     without the objects that are compacted. Objects that were rejected come again."""
-    lines = read_raw_lines(spark, lake, stream).withColumns({
-        "day": folder_day(F.col("source_file")), "batch": folder_batch(F.col("source_file")),
-    })
-    return (
-        lines.join(committed_batches(spark, lake, stream), "batch", "left_semi")
-        .join(compacted_objects(spark, lake, stream), ["day", "source_file"], "left_anti")
-        .select("value", "source_file")
-    )
+    lines = read_raw_lines(spark, lake, stream).withColumn("day", folder_day(F.col("source_file")))
+    lines = _of_complete_batches(lines, open_batches(spark, lake.raw(stream)))
+    return _not_compacted(lines, lake, stream).select("value", "source_file")
 
 
 def sources(

@@ -13,12 +13,21 @@ NO_DAY = "none"
 
 def folder_day(path: Column) -> Column:
     """The day of the folder an object lies in, as text."""
-    day = F.regexp_extract(path, r"/date=(\d{4}-\d\d-\d\d)/", 1)
-    return F.when(day != "", day).otherwise(NO_DAY)
+    # The first folder of the name is the day's as a rule; only other paths are searched through.
+    first = F.substring(path, F.instr(path, "/date=") + 6, F.lit(11))
+    searched = F.regexp_extract(path, r"/date=(\d{4}-\d\d-\d\d)/", 1)
+    return (
+        F.when(first.rlike(r"^\d{4}-\d\d-\d\d/$"), F.substring(first, 1, 10))
+        .when(searched != "", searched).otherwise(NO_DAY)
+    )
 
 
 def folder_hour(path: Column) -> Column:
-    return F.nullif(F.regexp_extract(path, r"/hour=(\d\d)/", 1), F.lit(""))
+    first = F.substring(path, F.instr(path, "/hour=") + 6, F.lit(3))
+    searched = F.regexp_extract(path, r"/hour=(\d\d)/", 1)
+    return (
+        F.when(first.rlike(r"^\d\d/$"), F.substring(first, 1, 2)).otherwise(F.nullif(searched, F.lit("")))
+    )
 
 
 def folder_batch(path: Column) -> Column:

@@ -1,11 +1,12 @@
 """Where records and results are written."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtarn.functions.times import event_date, event_hour
 from logtarn.plans.query import json_rows
-from logtarn.sources.lake import batches, begun, committed, note_batch, raw_objects
+from logtarn.sources.lake import done_mark, is_done, open_mark, raw_objects, sequence
+from logtarn.sources.marks import drop_mark, marks, put_mark
 from logtarn.sources.objects import clear_away
 
 RESULT_FORMATS = ("ndjson", "csv", "text")
@@ -25,22 +26,21 @@ def with_raw_partition(records: DataFrame, received: Column | None = None) -> Da
 def write_raw(records: DataFrame, path: str, batch: str) -> None:
     """Write normalised records to the raw tier as gzip NDJSON under ``date=/hour=``.
 
-    The folders of day and hour are shared with other writers; the batch is in the objects' names. A batch is written once: it is noted
-    when it begins, what an attempt that died has left is cleared away, and a batch that is marked
-    complete is left alone, however often it comes. Rebalancing by hour makes few objects of even size, one per hour
-    unless an hour holds too much for one task.
+    The folders of day and hour are shared with other writers; the batch is in the objects' names.
+    A batch is written once: it counts when it is marked complete, what an attempt that died has
+    left is cleared away, and a complete batch is left alone, however often it comes. Of batches
+    that are numbered in sequence, as those of a stream, the last one's mark stands for all.
+    Rebalancing by hour makes few objects of even size, one per hour unless an hour holds too much
+    for one task.
     """
     spark = records.sparkSession
-
-    def noted(record: str) -> bool:
-        return not batches(spark, record).where(F.col("batch") == batch).isEmpty()
-
-    if noted(committed(path)):
+    if is_done(spark, path, batch):
+        drop_mark(spark, open_mark(path), batch)
         return
-    if noted(begun(path)):
+    if batch in marks(spark, open_mark(path)):
         clear_away(raw_objects(spark, path).where(F.col("batch") == batch), path)
     else:
-        note_batch(spark, begun(path), batch)
+        put_mark(spark, open_mark(path), batch)
     if "date" not in records.columns:
         records = with_raw_partition(records)
     (
@@ -52,8 +52,20 @@ def write_raw(records: DataFrame, path: str, batch: str) -> None:
         .option("ignoreNullFields", "false")
         .json(path)
     )
-    # Compaction takes complete batches only, so it never takes one that is yet to be replaced.
-    note_batch(spark, committed(path), batch)
+    _complete(spark, path, batch)
+
+
+def _complete(spark: SparkSession, path: str, batch: str) -> None:
+    """From here on the batch counts; readers and compaction take complete batches only."""
+    earlier = [
+        mark for mark in marks(spark, done_mark(path))
+        if sequence(mark)[0] == sequence(batch)[0] and sequence(mark)[1] is not None and mark != batch
+    ]
+    put_mark(spark, done_mark(path), batch)
+    drop_mark(spark, open_mark(path), batch)
+    if sequence(batch)[1] is not None:
+        for mark in earlier:
+            drop_mark(spark, done_mark(path), mark)
 
 
 #: Raw text that goes into one compacted file, about.

@@ -15,6 +15,7 @@ from logtarn.plans.reports import REPORTS, report_schema
 from logtarn.schemas import EVENT_FIELDS, LOG_FIELDS
 from logtarn.sources import sinks
 from logtarn.sources.lake import read_compacted, read_raw, read_raw_lines, read_status, sources
+from logtarn.sources.marks import drop_mark, marks, put_mark, read_mark
 from logtarn.sources.sinks import write_raw, write_result
 from logtarn.streaming.compaction import compact_stream, run_compaction
 from logtarn.streaming.ingest import ingest_stream
@@ -169,44 +170,166 @@ def test_salvaged_lines_are_retried_once(spark, lake, monkeypatch):
     assert read_compacted(spark, lake, "logs").count() == 2
 
 
-def test_a_run_that_died_is_made_good(spark, lake, monkeypatch):
-    put(lake, "a.ndjson", GOOD)
-    real = compact.note_batch
-
-    def dies(session, path, *batch):
-        if path == lake.completed("logs"):
-            raise KeyboardInterrupt
-        real(session, path, *batch)
-
-    monkeypatch.setattr(compact, "note_batch", dies)
-    with pytest.raises(KeyboardInterrupt):
-        compact_raw(spark, lake, "logs")
-    assert sources(spark, lake, "logs").count() == 1
-    monkeypatch.setattr(compact, "note_batch", real)
-    put(lake, "b.ndjson", GOOD)
-    compact_raw(spark, lake, "logs", "next")
-    assert read_compacted(spark, lake, "logs").count() == sources(spark, lake, "logs").count() == 2
+class Died(BaseException):
+    pass
+
+
+def dies_at(monkeypatch, step, modules):
+    """Let the step with this number fail, of all that writes, marks or deletes; whether it came."""
+    reached, real = [0], {}
+
+    def counted(function):
+        def run(*args, **options):
+            reached[0] += 1
+            if reached[0] == step:
+                raise Died
+            return function(*args, **options)
+
+        return run
+
+    for module, names in modules.items():
+        for name in names:
+            real[module, name] = getattr(module, name)
+            monkeypatch.setattr(module, name, counted(real[module, name]))
+    return reached
+
+
+@pytest.fixture
+def one_part(spark):
+    """Many small runs; a shuffle in one part each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+STEPS = {compact: ("put_mark", "drop_mark", "drop", "write_compacted", "_replace_batch", "object_status")}
 
 
-def test_an_ingested_batch_that_died_is_stored_once(spark, lake, monkeypatch):
+def seen(spark, lake):
+    """Every line of the stream and how often it is there, in tiers and quarantine together."""
+    lines = sources(spark, lake, "logs").select("payload_json").union(
+        read_quarantine(spark, lake, "logs").join(
+            read_raw(spark, lake, "logs").select(F.col("payload_json").alias("line")), "line", "left_anti"
+        ).select("line")
+    )
+    return sorted(r.payload_json for r in lines.collect())
+
+
+@pytest.mark.parametrize("salvage", [False, True])
+def test_a_run_that_dies_at_any_step_loses_and_doubles_nothing(spark, tmp_path, one_part, salvage):
+    lines = [GOOD, GOOD.replace("smd", "bss"), '{"ts":5}', '{"ts":"7"}']
+    step, finished = 0, False
+    while not finished:
+        step += 1
+        lake = Lake(str(tmp_path / f"lake-{step}"))
+        put(lake, "a.ndjson", "\n".join(lines[:1]))
+        put(lake, "b.ndjson", "\n".join(lines[1:3]))
+        with pytest.MonkeyPatch.context() as patch:
+            reached = dies_at(patch, step, STEPS)
+            try:
+                compact_raw(spark, lake, "logs", salvage=salvage)
+            except Died:
+                pass
+            finished = reached[0] < step
+        assert seen(spark, lake) == sorted(lines[:3])
+        put(lake, "c.ndjson", lines[3])
+        # The next run may be of the other kind.
+        compact_raw(spark, lake, "logs", salvage=not salvage)
+        assert seen(spark, lake) == sorted(lines)
+    assert step > 6
+
+
+def test_a_retry_that_dies_at_any_step_loses_and_doubles_nothing(spark, tmp_path, one_part):
+    lines = [GOOD, '{"ts":5}', "{"]
+    step, finished = 0, False
+    while not finished:
+        step += 1
+        lake = Lake(str(tmp_path / f"lake-{step}"))
+        put(lake, "a.ndjson", "\n".join(lines))
+        compact_raw(spark, lake, "logs", "one", salvage=True)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(compact, "is_text_or_null", lambda value: F.lit(True))
+            reached = dies_at(patch, step, STEPS)
+            try:
+                retry_quarantine(spark, lake, "logs")
+            except Died:
+                pass
+            finished = reached[0] < step
+        put(lake, "late.ndjson", '{"ts":"8"}\n{"ts":8}')
+        with pytest.MonkeyPatch.context() as patch:
+            compact_raw(spark, lake, "logs", "two", salvage=True)
+            patch.setattr(compact, "is_text_or_null", lambda value: F.lit(True))
+            retry_quarantine(spark, lake, "logs")
+            retry_quarantine(spark, lake, "logs")
+        assert seen(spark, lake) == sorted([*lines, '{"ts":"8"}', '{"ts":8}'])
+        assert [r.line for r in read_quarantine(spark, lake, "logs").collect()] == ["{"]
+    assert step > 6
+
+
+def test_an_ingested_batch_that_dies_at_any_step_is_stored_once(spark, tmp_path, one_part):
     records = spark.createDataFrame([("2024-01-01T05:00:00Z", "a")], "ts string, msg string")
-    real = sinks.note_batch
-
-    def dies(session, path, *batch):
-        if path.endswith("_committed"):
-            raise KeyboardInterrupt
-        real(session, path, *batch)
-
-    monkeypatch.setattr(sinks, "note_batch", dies)
-    with pytest.raises(KeyboardInterrupt):
-        write_raw(records, lake.raw("logs"), "b1")
-    run_compaction(spark, lake)  # the batch isn't complete and isn't taken
-    assert sources(spark, lake, "logs").count() == 1
-    monkeypatch.setattr(sinks, "note_batch", real)
-    write_raw(records, lake.raw("logs"), "b1")
-    run_compaction(spark, lake)
-    write_raw(records, lake.raw("logs"), "b1")
-    assert sources(spark, lake, "logs").count() == read_compacted(spark, lake, "logs").count() == 1
+    step, finished = 0, False
+    while not finished:
+        step += 1
+        lake = Lake(str(tmp_path / f"lake-{step}"))
+        write_raw(records, lake.raw("logs"), "b-1")
+        with pytest.MonkeyPatch.context() as patch:
+            reached = dies_at(patch, step, {sinks: ("put_mark", "drop_mark", "with_raw_partition")})
+            try:
+                write_raw(records, lake.raw("logs"), "b-2")
+            except Died:
+                pass
+            finished = reached[0] < step
+        # A batch that is not complete is neither read nor compacted.
+        assert sources(spark, lake, "logs").count() in (1, 2)
+        run_compaction(spark, lake)
+        assert sources(spark, lake, "logs").count() in (1, 2)
+        for _ in range(2):
+            write_raw(records, lake.raw("logs"), "b-2")
+            run_compaction(spark, lake)
+        assert sources(spark, lake, "logs").count() == read_compacted(spark, lake, "logs").count() == 2
+    assert step > 3
+
+
+def test_marks_do_not_grow_with_the_batches(spark, lake):
+    records = spark.createDataFrame([("2024-01-01T05:00:00Z", "a")], "ts string, msg string")
+    raw = lake.raw("logs")
+    for number in range(9, 13):
+        write_raw(records, raw, f"query-{number}")
+        write_raw(records, raw, f"query-{number}")
+    write_raw(records, raw, "other-3")
+    write_raw(records, raw, "plain")
+    write_raw(records, raw, "query-9")  # long complete
+    assert marks(spark, f"{raw}/_done") == ["other-3", "plain", "query-12"]
+    assert marks(spark, f"{raw}/_open") == []
+    assert read_raw(spark, lake, "logs").count() == 6
+    for _ in range(3):
+        run_compaction(spark, lake)
+    assert marks(spark, lake.attempts("logs")) == marks(spark, lake.uncleared("logs")) == []
+
+
+def test_marks(spark, tmp_path):
+    folder = str(tmp_path / "a b" / "marks")
+    assert marks(spark, folder) == []
+    for name in ("x/y z", "100%", "ü"):
+        put_mark(spark, folder, name, n=1)
+        put_mark(spark, folder, name, n=2, of=["a"])
+    assert marks(spark, folder) == sorted(["x/y z", "100%", "ü"])
+    assert read_mark(spark, folder, "100%") == {"n": 2, "of": ["a"]}
+    drop_mark(spark, folder, "x/y z")
+    drop_mark(spark, folder, "x/y z")
+    assert marks(spark, folder) == ["100%", "ü"]
+
+
+def test_reads_of_a_settled_lake_join_nothing(spark, lake):
+    put(lake, "a.ndjson", GOOD)
+    for _ in range(2):
+        run_compaction(spark, lake)
+    put(lake, "b.ndjson", GOOD)
+    found = sources(spark, lake, "logs")
+    assert found.count() == 2
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rejected_objects_are_never_cleared(spark, lake):
