@@ -23,9 +23,12 @@ from logtarn.sources.lake import (
     unfinished,
 )
 from logtarn.sources.marks import drop, drop_mark, exists, marks, put_mark, read_mark
-from logtarn.sources.objects import clear_away, folder_day
+from logtarn.sources.objects import clear_away, folder_batch, folder_day
 from logtarn.sources.sinks import write_compacted
 
+#: Batches that readers leave out by name; the objects of more are looked up.
+LISTED_BATCHES = 4096
+
 BLANK = "blank line"
 NOT_OBJECT = "not one JSON object"
 
@@ -123,11 +126,20 @@ def compact_lines(
         "compacted": compacted, "day": folder_day(F.col("source_file")),
     })
     _replace_batch(found, lake.object_status(stream), batch, "day")
+    names = _whole_batches(found)
+    others = found.where(F.col("compacted") & ~folder_batch(F.col("source_file")).isin(*names))
+    put_mark(spark, lake.uncleared(stream), batch, batches=names, others=not others.isEmpty())
     drop(spark, verdicts)
-    put_mark(spark, lake.uncleared(stream), batch)
     drop_mark(spark, lake.attempts(stream), batch)
 
 
+def _whole_batches(status: DataFrame) -> list[str]:
+    """Batches of the raw tier of which every object was compacted, up to :data:`LISTED_BATCHES`."""
+    of = status.groupBy(folder_batch(F.col("source_file")).alias("of"))
+    whole = of.agg(F.bool_and("compacted").alias("whole")).where("whole AND of <> ''")
+    return sorted(row.of for row in whole.select("of").limit(LISTED_BATCHES).collect())
+
+
 def settle(spark: SparkSession, lake: Lake, stream: str) -> None:
     """Undo what runs that died have left, and delete what complete ones have replaced.
 
@@ -184,11 +196,11 @@ def clear_compacted(
     Rejected objects stay. Objects now in the raw tier are listed, not opened, so the work follows
     the tier and not its history.
     """
-    runs, compacted = uncleared_runs(spark, lake, stream), compacted_objects(spark, lake, stream)
-    if compacted is None:
+    runs = uncleared_runs(spark, lake, stream)
+    if not runs:
         return 0
     names = raw_objects(spark, lake.raw(stream))
-    gone = names.join(compacted, ["day", "source_file"], "left_semi")
+    gone = names.join(compacted_objects(spark, lake, stream), ["day", "source_file"], "left_semi")
     cleared = clear_away(gone, lake.raw(stream), lake.archive(stream) if archive else None)
     for batch in runs:
         drop_mark(spark, lake.uncleared(stream), batch)

@@ -1,0 +1,8 @@
+"""Landed input, the tiers, sinks and the record of what is under way."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# What runs in Python workers travels with the job, so executors need no copy of the library.
+register_pickle_by_value(sys.modules[__name__])

@@ -134,8 +134,11 @@ def read_raw(
         lines = _not_compacted(lines, lake, stream)
     members = [name for name in (*fields, *extra) if name != "payload_json"]
     text = F.col("value")
-    read = lines.where(F.btrim(text, F.lit(" \t\r")) != "").withColumn(
-        "_record", only_object(text, dict.fromkeys(members, "string"))
+    # Made a row of its own by a generator, the record is parsed once: a filter on a field stays
+    # above it, where an ordinary projection would be repeated below the filter.
+    record = only_object(text, dict.fromkeys(members, "string"))
+    read = lines.where(F.btrim(text, F.lit(" \t\r")) != "").select(
+        "*", F.explode(F.array(record)).alias("_record")
     )
     record = {name: F.col(f"_record.{name}") for name in members}
     record["payload_json"] = text
@@ -213,20 +216,31 @@ def uncleared_runs(spark: SparkSession, lake: Lake, stream: str) -> list[str]:
     return [name for name in marks(spark, lake.uncleared(stream)) if name not in begun]
 
 
-def compacted_objects(spark: SparkSession, lake: Lake, stream: str) -> DataFrame | None:
-    """``day`` and ``source_file`` of the raw objects that are in the compacted tier as well; None
-    if there are none. Objects that were cleared away are not looked up."""
-    runs = uncleared_runs(spark, lake, stream)
-    if not runs:
-        return None
+def compacted_objects(spark: SparkSession, lake: Lake, stream: str) -> DataFrame:
+    """``day`` and ``source_file`` of the raw objects that are in the compacted tier as well.
+    Objects that were cleared away are not looked up."""
     found = load(spark, OBJECT_STATUS, lake.object_status(stream), "parquet")
+    runs = uncleared_runs(spark, lake, stream)
     return found.where(F.col("batch").isin(*runs) & F.col("compacted")).select("day", "source_file")
 
 
 def _not_compacted(lines: DataFrame, lake: Lake, stream: str) -> DataFrame:
-    """An object is compacted before it is cleared away; until then it would be read twice."""
-    compacted = compacted_objects(lines.sparkSession, lake, stream)
-    return lines if compacted is None else lines.join(compacted, ["day", "source_file"], "left_anti")
+    """An object is compacted before it is cleared away; until then it would be read twice.
+
+    Batches of ours that were compacted whole are told by name: their objects are left out when
+    files are listed. Only objects of other writers, and of batches that were compacted in part,
+    are looked up one by one.
+    """
+    spark = lines.sparkSession
+    runs = [read_mark(spark, lake.uncleared(stream), run) for run in uncleared_runs(spark, lake, stream)]
+    whole = sorted({batch for run in runs for batch in run["batches"]})
+    batch = folder_batch(F.col("source_file"))
+    if whole:
+        lines = lines.where(~batch.isin(*whole))
+    if not any(run["others"] for run in runs):
+        return lines
+    others = compacted_objects(spark, lake, stream)
+    return lines.join(others.where(~batch.isin(*whole)) if whole else others, ["day", "source_file"], "left_anti")
 
 
 def _of_complete_batches(lines: DataFrame, unready: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Where records and results are written."""
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,7 +9,8 @@ from logtarn.functions.times import event_date, event_hour
 from logtarn.plans.query import json_rows
 from logtarn.sources.lake import done_mark, is_done, open_mark, raw_objects, sequence
 from logtarn.sources.marks import drop_mark, marks, put_mark
-from logtarn.sources.objects import clear_away
+from logtarn.sources.ndjson_zstd import FORMAT, NdjsonZstd
+from logtarn.sources.objects import clear_away, store_settings
 
 RESULT_FORMATS = ("ndjson", "csv", "text")
 
@@ -23,8 +26,11 @@ def with_raw_partition(records: DataFrame, received: Column | None = None) -> Da
     })
 
 
-def write_raw(records: DataFrame, path: str, batch: str) -> None:
-    """Write normalised records to the raw tier as gzip NDJSON under ``date=/hour=``.
+def write_raw(records: DataFrame, path: str, batch: str, compression: str = "zstd") -> None:
+    """Write normalised records to the raw tier as NDJSON under ``date=/hour=``.
+
+    Objects are ``.ndjson.zst``, as other tools of the lake write and read them; with ``gzip``
+    Spark's own writer makes ``.json.gz``, for stores that only Spark reaches.
 
     The folders of day and hour are shared with other writers; the batch is in the objects' names.
     A batch is written once: it counts when it is marked complete, what an attempt that died has
@@ -43,15 +49,25 @@ def write_raw(records: DataFrame, path: str, batch: str) -> None:
         put_mark(spark, open_mark(path), batch)
     if "date" not in records.columns:
         records = with_raw_partition(records)
-    (
-        records.hint("rebalance", "date", "hour")
-        .write.mode("append")
-        .partitionBy("date", "hour")
-        .option("mapreduce.output.basename", f"batch={batch}")
-        .option("compression", "gzip")
-        .option("ignoreNullFields", "false")
-        .json(path)
-    )
+    records = records.hint("rebalance", "date", "hour")
+    if compression == "zstd":
+        fields = [F.col(f"`{name}`") for name in records.columns if name not in ("date", "hour")]
+        line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+        spark.dataSource.register(NdjsonZstd)
+        (
+            records.select("date", "hour", line.alias("value")).sortWithinPartitions("date", "hour")
+            .write.format(FORMAT).mode("append")
+            .options(path=path, batch=batch, settings=json.dumps(store_settings(spark))).save()
+        )
+    else:
+        (
+            records.write.mode("append")
+            .partitionBy("date", "hour")
+            .option("mapreduce.output.basename", f"batch={batch}")
+            .option("compression", compression)
+            .option("ignoreNullFields", "false")
+            .json(path)
+        )
     _complete(spark, path, batch)
 
 

@@ -2,6 +2,7 @@ import gzip
 import json
 from pathlib import Path
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
@@ -16,6 +17,8 @@ from logtarn.schemas import EVENT_FIELDS, LOG_FIELDS
 from logtarn.sources import sinks
 from logtarn.sources.lake import read_compacted, read_raw, read_raw_lines, read_status, sources
 from logtarn.sources.marks import drop_mark, marks, put_mark, read_mark
+from logtarn.sources.ndjson_zstd import ObjectWriter
+from logtarn.sources.objects import open_store, store_settings
 from logtarn.sources.sinks import write_raw, write_result
 from logtarn.streaming.compaction import compact_stream, run_compaction
 from logtarn.streaming.ingest import ingest_stream
@@ -569,3 +572,85 @@ def test_trace_walk_equals_an_undivided_window(spark):
         "trace_id", F.row_number().over(whole).alias("hop"), "ts", (gap / 1_000_000).alias("gap"),
     ).orderBy("trace_id", "hop").collect()
     assert [(r.trace_id, r.hop, r.ts, r.gap_seconds) for r in walked] == [tuple(r) for r in expected]
+
+
+def test_batches_compacted_whole_are_left_out_by_name(spark, lake, monkeypatch):
+    def records(*times):
+        return spark.createDataFrame([(t, "a") for t in times], "ts string, msg string")
+
+    write_raw(records("2024-01-01T05:00:00Z", "2024-01-01T06:00:00Z"), lake.raw("logs"), "b-1")
+    write_raw(records("2024-01-01T05:30:00Z"), lake.raw("logs"), "b-2")
+    flawed = next(Path(lake.raw("logs")).rglob("batch=b-2-*"))
+    with pa.CompressedOutputStream(str(flawed), "zstd") as out:
+        out.write(b'{"ts":5}\n')
+    compact_raw(spark, lake, "logs", "one")
+    assert read_mark(spark, lake.uncleared("logs"), "one") == {"batches": ["b-1"], "others": False}
+    found = read_raw(spark, lake, "logs")
+    assert [r.ts for r in found.collect()] == ["5"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert found.inputFiles() and sources(spark, lake, "logs").count() == 3
+    # Beyond the listed names, and for other writers, objects are looked up.
+    monkeypatch.setattr(compact, "LISTED_BATCHES", 0)
+    write_raw(records("2024-01-02T05:30:00Z"), lake.raw("logs"), "b-3")
+    put(lake, "foreign.ndjson", GOOD)
+    compact_raw(spark, lake, "logs", "two")
+    assert read_mark(spark, lake.uncleared("logs"), "two") == {"batches": [], "others": True}
+    assert sources(spark, lake, "logs").count() == 5 and read_raw(spark, lake, "logs").count() == 1
+    assert compact.clear_compacted(spark, lake, "logs") == 4
+    assert sources(spark, lake, "logs").count() == 5
+
+
+def test_raw_objects_are_zstd_that_other_engines_read(spark, lake):
+    rows = [(f"2024-01-0{1 + k % 3}T0{k % 4}:00:00Z", f"é\n{k}", None) for k in range(200)]
+    records = spark.createDataFrame(rows, "ts string, msg string, xname string").repartition(5)
+    write_raw(records, lake.raw("logs"), "b-7")
+    objects = [p for p in Path(lake.raw("logs")).rglob("*") if p.is_file() and "_done" not in str(p)]
+    assert objects and all(p.name.endswith(".ndjson.zst") and p.name.startswith("batch=b-7-") for p in objects)
+    found = duckdb.sql(
+        f"SELECT ts, msg, xname, date, hour FROM read_json('{lake.raw('logs')}/**/*.ndjson.zst', "
+        "columns={ts: 'VARCHAR', msg: 'VARCHAR', xname: 'VARCHAR'}, hive_partitioning=true)"
+    ).fetchall()
+    assert sorted(r[:3] for r in found) == sorted(rows)
+    assert all(f"{r[3]}T{r[4]:0>2}" == r[0][:13] for r in found)
+    assert sorted((r.ts, r.msg, r.xname) for r in read_raw(spark, lake, "logs").collect()) == sorted(rows)
+
+
+def test_a_failed_write_leaves_nothing_behind(spark, lake):
+    records = spark.range(100).selectExpr(
+        "format_string('2024-01-01T%02d:00:00Z', id % 20) AS ts", "if(id = 77, raise_error('x'), 'a') AS msg"
+    ).repartition(4)
+    with pytest.raises(Exception, match="x"):
+        write_raw(records, lake.raw("logs"), "b")
+    left = [p for p in Path(lake.raw("logs")).rglob("*") if p.is_file() and "/_open/" not in str(p)]
+    assert left == [] and read_raw(spark, lake, "logs").count() == 0
+    write_raw(records.withColumn("msg", F.lit("a")), lake.raw("logs"), "b")
+    assert read_raw(spark, lake, "logs").count() == 100
+
+
+def test_objects_of_attempts_that_were_not_committed_vanish(tmp_path):
+    writer = ObjectWriter(str(tmp_path), "b", {})
+    rows = pa.RecordBatch.from_pydict({"date": ["d", "d"], "hour": ["01", "02"], "value": ["{}", "[1]"]})
+    writer.write(iter([rows]))  # an attempt that was killed
+    twice = writer.write(iter([rows, rows.slice(1)]))
+    writer.commit([twice, None, writer.write(iter([]))])
+    files = sorted(p for p in tmp_path.rglob("*") if p.is_file())
+    assert sorted(str(p.relative_to(tmp_path)) for p in files) == sorted(twice.names)
+    with pa.input_stream(str(files[1]), compression="zstd") as text:
+        assert text.read() == b"[1]\n[1]\n"
+    assert [p.name for p in tmp_path.iterdir() if p.name != "date=d"] == ["_staging"]
+
+
+def test_store_settings_follow_the_session(spark, monkeypatch):
+    conf = {"spark.hadoop.fs.s3a.endpoint": "http://store:9000", "spark.hadoop.fs.s3a.access.key": "k",
+            "spark.hadoop.fs.s3a.secret.key": "s"}
+    for key, value in conf.items():
+        spark.conf.set(key.removeprefix("spark.hadoop."), value)
+    try:
+        found = store_settings(spark)
+        assert found["endpoint_override"] == "http://store:9000" and found["access_key"] == "k"
+        store, path = open_store("s3a://bucket/a%20b/c", found)
+        assert store.type_name == "s3" and path == "bucket/a b/c"
+    finally:
+        for key in conf:
+            spark.conf.unset(key.removeprefix("spark.hadoop."))
