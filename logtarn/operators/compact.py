@@ -13,6 +13,7 @@ from logtarn.session import work_area
 from logtarn.sources.lake import (
     QUARANTINE,
     Lake,
+    catalogue_fields,
     compacted_objects,
     load,
     open_lines,
@@ -185,6 +186,7 @@ def compact_raw(
         raise ValueError(f"batch {batch!r} of {stream} is complete")
     lines = open_lines(spark, lake, stream)
     if not lines.isEmpty():
+        catalogue_fields(spark, lake, stream)
         compact_lines(lines, lake, stream, batch or uuid4().hex, salvage)
 
 

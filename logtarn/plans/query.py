@@ -29,7 +29,7 @@ def query(
     stream: str = "logs",
     scope: str = "all",
     args: dict | None = None,
-    extra_fields: tuple[str, ...] = (),
+    extra_fields: tuple[str, ...] | str = (),
 ) -> DataFrame:
     """Run SQL over the chosen tiers of a stream."""
     return query_sources(sources(spark, lake, stream, scope, extra_fields), text, args)
@@ -41,7 +41,7 @@ def dump(
     stream: str = "logs",
     scope: str = "all",
     nested: bool = True,
-    extra_fields: tuple[str, ...] = (),
+    extra_fields: tuple[str, ...] | str = (),
 ) -> DataFrame:
     """Every record of the chosen tiers, the payload as nested data or else as JSON text."""
     found = query(spark, lake, f"SELECT * FROM {SOURCES}", stream, scope, extra_fields=extra_fields)

@@ -18,7 +18,7 @@ from pyspark.sql.types import (
 from logtarn.functions.json_text import object_fields, only_object
 from logtarn.functions.times import event_time
 from logtarn.schemas import check_scope, check_stream, record_fields, strings
-from logtarn.sources.marks import marks, read_mark
+from logtarn.sources.marks import marks, put_mark, read_mark
 from logtarn.sources.objects import NO_DAY, folder_batch, folder_day, folder_hour
 
 #: One row per raw object and run of compaction; ``day`` is that of the object's folder.
@@ -35,6 +35,11 @@ QUARANTINE = strings(("line", "source_file", "reason"))
 
 MALFORMED = "raw line is not a JSON object"
 
+#: Stands for all the fields in the stream's catalogue, see :func:`catalogued_fields`.
+CATALOGUED = "catalogued"
+#: Columns that readers add, so no field of a record may have these names.
+RESERVED = ("date", "hour", "event_ts", "batch", "_compacted", "source_file", "compacted_on")
+
 
 @dataclass(frozen=True)
 class Lake:
@@ -115,7 +120,7 @@ def read_raw(
     spark: SparkSession,
     lake: Lake,
     stream: str,
-    extra_fields: tuple[str, ...] = (),
+    extra_fields: tuple[str, ...] | str = (),
     skip_compacted: bool = True,
 ) -> DataFrame:
     """The raw tier: NDJSON objects, plain, gzip or zstd, whatever their extra fields.
@@ -126,7 +131,7 @@ def read_raw(
     out. The folder's day comes from the path, so that filters on ``date`` skip objects.
     """
     fields = record_fields(stream)
-    extra = tuple(name for name in extra_fields if name not in fields)
+    extra = _wanted(spark, lake, stream, extra_fields)
     lines = read_raw_lines(spark, lake, stream)
     lines = lines.withColumn("day", folder_day(F.col("source_file")))
     lines = _of_complete_batches(lines, open_batches(spark, lake.raw(stream)))
@@ -155,7 +160,7 @@ def read_raw(
 
 
 def read_compacted(
-    spark: SparkSession, lake: Lake, stream: str, extra_fields: tuple[str, ...] = ()
+    spark: SparkSession, lake: Lake, stream: str, extra_fields: tuple[str, ...] | str = ()
 ) -> DataFrame:
     """The compacted tier: Parquet files, matched to the declared columns by name.
 
@@ -164,7 +169,7 @@ def read_compacted(
     file has as a column come from the record's line.
     """
     fields = record_fields(stream)
-    extra = tuple(name for name in extra_fields if name not in fields)
+    extra = _wanted(spark, lake, stream, extra_fields)
     schema = strings((*fields, *extra)).add("event_ts", TimestampType()).add("date", DateType())
     schema = schema.add("batch", StringType())
     records = stored_parts(spark, lake, stream, load(spark, schema, lake.compacted(stream), "parquet"))
@@ -180,6 +185,44 @@ def read_compacted(
     )
 
 
+def fields_mark(raw: str) -> str:
+    """Marks of the fields that records of the tier have beyond the declared ones."""
+    return f"{raw}/_fields"
+
+
+def catalogued_fields(spark: SparkSession, lake: Lake, stream: str) -> tuple[str, ...]:
+    """The fields that writers of the stream have beyond the record's: those of our own batches, as
+    they are written, and those that compaction or :func:`catalogue_fields` met. No file is read."""
+    return tuple(marks(spark, fields_mark(lake.raw(stream))))
+
+
+def note_fields(spark: SparkSession, raw: str, stream_fields: tuple[str, ...], names: list[str]) -> None:
+    """Add names to a stream's catalogue. Column names differ by more than case, so of several
+    spellings the first stays."""
+    known = {name.lower() for name in (*stream_fields, *RESERVED, *marks(spark, fields_mark(raw)))}
+    for name in names:
+        if name and name.lower() not in known:
+            known.add(name.lower())
+            put_mark(spark, fields_mark(raw), name)
+
+
+def catalogue_fields(spark: SparkSession, lake: Lake, stream: str) -> None:
+    """Note the fields of objects in the raw tier that other programs wrote; ours are noted when
+    written, so their objects are not read. A record has few fields: their names, distinct
+    over all lines before the shuffle, meet on the driver."""
+    lines = read_raw_lines(spark, lake, stream).where(folder_batch(F.col("source_file")) == "")
+    keys = lines.select(F.explode(F.json_object_keys("value")).alias("field")).distinct().orderBy("field")
+    note_fields(spark, lake.raw(stream), record_fields(stream), [row.field for row in keys.collect()])
+
+
+def _wanted(
+    spark: SparkSession, lake: Lake, stream: str, extra_fields: tuple[str, ...] | str
+) -> tuple[str, ...]:
+    if extra_fields == CATALOGUED:
+        return catalogued_fields(spark, lake, stream)
+    return tuple(name for name in extra_fields if name not in record_fields(stream))
+
+
 def unfinished(spark: SparkSession, lake: Lake, stream: str) -> list[str]:
     """Runs of compaction that have begun and are not complete: at most those that died."""
     return marks(spark, lake.attempts(stream))
@@ -276,16 +319,21 @@ def open_batches(spark: SparkSession, raw: str) -> list[str]:
     return [name for name in marks(spark, open_mark(raw)) if not is_done(spark, raw, name)]
 
 
-def raw_objects(spark: SparkSession, path: str) -> DataFrame:
-    """``source_file``, ``day`` and ``batch`` of the objects there are; they are not opened."""
-    name = F.col("_metadata.file_path")
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``length`` of the files below a folder; they are not opened."""
     try:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], strings(("source_file", "day", "batch")))
-    return found.select(
+        return spark.createDataFrame([], "file string, length long")
+    return found.select(F.col("_metadata.file_path").alias("file"), "length")
+
+
+def raw_objects(spark: SparkSession, path: str) -> DataFrame:
+    """``source_file``, ``day`` and ``batch`` of the objects there are; they are not opened."""
+    name = F.col("file")
+    return list_files(spark, path).select(
         name.alias("source_file"), folder_day(name).alias("day"), folder_batch(name).alias("batch")
     )
 
@@ -303,10 +351,13 @@ def sources(
     lake: Lake,
     stream: str = "logs",
     scope: str = "all",
-    extra_fields: tuple[str, ...] = (),
+    extra_fields: tuple[str, ...] | str = (),
 ) -> DataFrame:
     """The chosen tiers of a stream as one relation, matched by column name. Starts no job.
 
+    ``extra_fields`` names fields beyond the record's, or is :data:`CATALOGUED`: then every field
+    that any writer of the stream has is a column, null where a record lacks it.
+
     Besides the record fields it has the day ``date`` (UTC) and ``hour`` of the folder and the
     instant ``event_ts``. Filters on ``date`` skip the folders of both tiers. Filters may also
     name ``_compacted``, whether a row is of the compacted tier, which is not among the columns.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logtarn.functions.times import event_date, event_hour
 from logtarn.plans.query import json_rows
-from logtarn.sources.lake import done_mark, is_done, open_mark, raw_objects, sequence
+from logtarn.schemas import EVENT_FIELDS, LOG_FIELDS
+from logtarn.sources.lake import done_mark, is_done, note_fields, open_mark, raw_objects, sequence
 from logtarn.sources.marks import drop_mark, marks, put_mark
 from logtarn.sources.ndjson_zstd import FORMAT, NdjsonZstd
 from logtarn.sources.objects import clear_away, store_settings
@@ -49,6 +50,8 @@ def write_raw(records: DataFrame, path: str, batch: str, compression: str = "zst
         put_mark(spark, open_mark(path), batch)
     if "date" not in records.columns:
         records = with_raw_partition(records)
+    fields = [name for name in records.columns if name not in ("date", "hour")]
+    note_fields(spark, path, (), [name for name in fields if name not in (*LOG_FIELDS, *EVENT_FIELDS)])
     records = records.hint("rebalance", "date", "hour")
     if compression == "zstd":
         fields = [F.col(f"`{name}`") for name in records.columns if name not in ("date", "hour")]
@@ -92,18 +95,32 @@ def write_compacted(records: DataFrame, path: str, batch: str, size: int) -> Non
     """Write records as zstd Parquet under ``date=``, replacing an earlier attempt at the batch.
 
     ``size`` is that of their text. Tasks of the scan are put together to some 256 MB each, which
-    needs no shuffle; each writes a file per day it has, few in a run over new objects. Sorted by
-    time, a file's statistics let filters on ``event_ts`` skip row groups.
+    needs no shuffle; each writes a file per day it has, few in a run over new objects.
     """
-    tasks = max(1, -(-size // COMPACTED_BYTES))
-    (
-        records.coalesce(tasks).sortWithinPartitions("date", "event_ts")
+    write_parquet(records.coalesce(max(1, -(-size // COMPACTED_BYTES))), path, batch)
+
+
+#: Fields looked up by value. Their values lie all over a file, so its statistics exclude nothing.
+LOOKED_UP = ("trace_id", "xname")
+
+
+def write_parquet(records: DataFrame, path: str, batch: str) -> None:
+    """Write the partitions of compacted records as files of a batch, in place of any it has.
+
+    Each is sorted by time, so that its statistics let filters on ``event_ts`` skip row groups;
+    Bloom filters do the same for lookups by :data:`LOOKED_UP`.
+    """
+    writer = (
+        records.sortWithinPartitions("date", "event_ts")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("date")
         .option("compression", "zstd")
-        .parquet(f"{path}/batch={batch}")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
     )
+    for field in LOOKED_UP:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{field}", "true")
+    writer.parquet(f"{path}/batch={batch}")
 
 
 def write_result(

@@ -9,13 +9,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from logtarn import Lake, available_dates, dataset_schema, query, run_report
-from logtarn.operators import compact
+from logtarn.operators import compact, merge
 from logtarn.operators.compact import compact_lines, compact_raw, read_quarantine, retry_quarantine
+from logtarn.operators.merge import merge_small
 from logtarn.plans.query import between_dates, dump, json_rows
 from logtarn.plans.reports import REPORTS, report_schema
 from logtarn.schemas import EVENT_FIELDS, LOG_FIELDS
 from logtarn.sources import sinks
-from logtarn.sources.lake import read_compacted, read_raw, read_raw_lines, read_status, sources
+from logtarn.sources.lake import (
+    CATALOGUED,
+    catalogue_fields,
+    catalogued_fields,
+    read_compacted,
+    read_raw,
+    read_raw_lines,
+    read_status,
+    sources,
+)
 from logtarn.sources.marks import drop_mark, marks, put_mark, read_mark
 from logtarn.sources.ndjson_zstd import ObjectWriter
 from logtarn.sources.objects import open_store, store_settings
@@ -654,3 +664,122 @@ def test_store_settings_follow_the_session(spark, monkeypatch):
     finally:
         for key in conf:
             spark.conf.unset(key.removeprefix("spark.hadoop."))
+
+
+def runs_of_days(lake, runs):
+    """Small runs over the same three days, each line its own, some without a time."""
+    frames, n = [], 0
+    for run in range(runs):
+        rows = []
+        for day in range(1, 4):
+            n += 1
+            rows.append((json.dumps({"ts": f"2024-01-0{day}T0{run}:00:00Z", "trace_id": f"t{n}"}), f"f/date=2024-01-0{day}/{run}"))
+        rows.append((json.dumps({"msg": f"no time {run}"}), f"g/{run}"))
+        frames.append(rows)
+    return frames
+
+
+def store_runs(spark, lake, runs):
+    for k, rows in enumerate(runs_of_days(lake, runs)):
+        compact_lines(spark.createDataFrame(rows, "value string, source_file string"), lake, "logs", f"run{k}")
+
+
+def lines_of(frame):
+    return sorted(r.payload_json for r in frame.collect())
+
+
+def test_small_files_of_several_runs_are_merged(spark, lake, one_part):
+    store_runs(spark, lake, 5)
+    before = lines_of(read_compacted(spark, lake, "logs"))
+    running = read_compacted(spark, lake, "logs")  # a query that began earlier
+    assert merge_small(spark, lake, "logs") == 20
+    assert lines_of(read_compacted(spark, lake, "logs")) == before == lines_of(running)
+    assert merge_small(spark, lake, "logs") == 0  # deletes what was replaced
+    files = [p for p in Path(lake.compacted("logs")).rglob("*.parquet")]
+    assert len(files) == 4 and {p.parent.parent.name[:12] for p in files} == {"batch=merge-"}
+    assert lines_of(read_compacted(spark, lake, "logs")) == before
+    assert marks(spark, lake.replaced("logs")) == []
+    one = read_compacted(spark, lake, "logs").where("date = DATE'2024-01-02'").orderBy("event_ts").collect()
+    assert [r.trace_id for r in one] == ["t2", "t5", "t8", "t11", "t14"]
+    # Large parts stay; what is small is laid out in files of the size.
+    store_runs(spark, lake, 2)
+    largest = max(p.stat().st_size for p in files)
+    assert merge_small(spark, lake, "logs", size=largest // 4) == 0
+    assert len(lines_of(read_compacted(spark, lake, "logs"))) == 20 + 8
+
+
+def test_merging_in_several_runs(spark, lake, one_part, monkeypatch):
+    store_runs(spark, lake, 3)
+    before = lines_of(read_compacted(spark, lake, "logs"))
+    monkeypatch.setattr(merge, "PARTS", 5)
+    assert merge_small(spark, lake, "logs") == 12
+    assert len(marks(spark, lake.replaced("logs"))) == 4
+    assert lines_of(read_compacted(spark, lake, "logs")) == before
+
+
+def test_merging_that_dies_at_any_step_loses_and_doubles_nothing(spark, tmp_path, one_part):
+    step, finished = 0, False
+    while not finished:
+        step += 1
+        lake = Lake(str(tmp_path / f"lake-{step}"))
+        store_runs(spark, lake, 2)
+        before = lines_of(read_compacted(spark, lake, "logs"))
+        with pytest.MonkeyPatch.context() as patch:
+            reached = dies_at(patch, step, {merge: ("put_mark", "drop_mark", "write_parquet")})
+            try:
+                merge_small(spark, lake, "logs")
+            except Died:
+                pass
+            finished = reached[0] < step
+        assert lines_of(read_compacted(spark, lake, "logs")) == before
+        merge_small(spark, lake, "logs")
+        assert lines_of(read_compacted(spark, lake, "logs")) == before
+    assert step > 3
+
+
+def test_all_fields_of_all_writers_are_columns(spark, lake):
+    ours = spark.createDataFrame([("2024-01-01T05:00:00Z", "a", 7)], "ts string, msg string, `odd name` int")
+    write_raw(ours, lake.raw("logs"), "b-1")
+    put(lake, "one.ndjson", '{"ts":"1","Rack":"r1","ODD NAME":"x","date":"mine"}\n{oops\n[1]\n')
+    put(lake, "two.ndjson.zst", '{"ts":"2","rack":"r2","deep":{"a":1}}\n')
+    catalogue_fields(spark, lake, "logs")
+    assert catalogued_fields(spark, lake, "logs") == ("Rack", "deep", "odd name")
+    for _ in range(2):  # raw, and then compacted but for the flawed object
+        found = sources(spark, lake, "logs", extra_fields=CATALOGUED)
+        assert found.columns == [*LOG_FIELDS, "Rack", "deep", "odd name", "date", "hour", "event_ts"]
+        rows = {r.ts: r for r in found.collect()}
+        assert (rows["1"].Rack, rows["2"].Rack, rows["2"].deep) == ("r1", None, '{"a":1}')
+        assert rows["2024-01-01T05:00:00Z"]["odd name"] == "7"
+        wide = query(spark, lake, "select * from SOURCES where deep is not null", extra_fields=CATALOGUED)
+        assert wide.count() == 1
+        compact_raw(spark, lake, "logs")
+
+
+def test_lookups_skip_row_groups(spark, lake):
+    lines = [json.dumps({"ts": f"2024-01-01T00:{k // 60 % 60:02d}:{k % 60:02d}Z", "trace_id": f"t{k * 7919 % 5000:05d}"})
+             for k in range(5000)]
+    put(lake, "a.ndjson", "\n".join(lines))
+    spark.conf.set("parquet.block.size", 20_000)
+    try:
+        compact_raw(spark, lake, "logs")
+    finally:
+        spark.conf.unset("parquet.block.size")
+
+    def read(trace):
+        found = run_report("trace-walk", sources(spark, lake, "logs", "compacted"), trace_id=trace)
+        rows = found.collect()
+        plan, scanned = [found._jdf.queryExecution().executedPlan()], 0
+        while plan:
+            node = plan.pop()
+            if "AdaptiveSparkPlan" in node.nodeName():
+                plan.append(node.executedPlan())
+            elif "QueryStage" in node.nodeName():
+                plan.append(node.plan())
+            elif node.nodeName().startswith("Scan"):
+                scanned = max(scanned, node.metrics().get("numOutputRows").get().value())
+            children = node.children()
+            plan += [children.apply(k) for k in range(children.size())]
+        return len(rows), scanned
+
+    assert read("t02500") == (1, read("t02500")[1]) and 0 < read("t02500")[1] < 2500
+    assert read("t02500x") == (0, 0)
