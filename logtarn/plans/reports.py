@@ -21,6 +21,8 @@ ERROR_LEVELS = ("error", "err")
 
 #: Traces are numbered in slots of this many seconds; see :func:`trace_walk`.
 TRACE_SLOT_SECONDS = 1
+#: Slots are put in order by blocks of this power of two of them, a little over an hour.
+TRACE_BLOCK_BITS = 12
 #: Slots of a trace for rows without a time, and the first of them, before all times.
 UNTIMED_SLOTS, UNTIMED_SLOT = 1024, -(2**62)
 
@@ -149,9 +151,11 @@ def trace_walk(
     """The hops of each trace through logs and events, numbered in time order.
 
     A window over a whole trace would put all rows of a busy trace into one task. So a trace is
-    cut into slots of time, rows are numbered within each slot, and only one row per slot - its
-    row count and last time - is put in order over the whole trace. Adding what came before the
-    slot gives the very numbers and gaps of the undivided window.
+    cut into slots of time, and these into blocks. Rows are numbered within each slot; one row per
+    slot - its row count and last time - is put in order within its block, and one row per block
+    over the whole trace. Adding what came before the slot in its block, and before the block, gives
+    the very numbers and gaps of the undivided window. No task gets more than the rows of a slot,
+    the slots of a block or the blocks of a trace, a few thousand for a year.
     """
     tagged = _trace_rows(_in_range(records, **time_range), "logs", "service")
     if events is not None:
@@ -177,15 +181,27 @@ def trace_walk(
     # The last row of a slot says all there is to know of it. Kept whole, its columns are those of
     # the rows, so both come from one scan and one exchange.
     whole = ("n", "event_ts", "stream", "service_or_type", "ts", "payload_json")
-    along = Window.partitionBy("trace_id").orderBy("slot")
-    slots = (
-        numbered.groupBy("trace_id", "slot").agg(F.max(F.struct(*whole)).alias("final"))
-        .select(
-            "trace_id",
-            "slot",
-            F.sum("final.n").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-            F.lag("final.event_ts").over(along).alias("last_before"),
-        )
+    slots = numbered.groupBy("trace_id", "slot").agg(F.max(F.struct(*whole)).alias("final"))
+    slots = slots.select(
+        "trace_id", "slot", F.shiftright("slot", TRACE_BLOCK_BITS).alias("block"),
+        F.col("final.n").alias("rows"), F.col("final.event_ts").alias("last"),
+    )
+    before = _before(slots, ["trace_id", "block"], "slot").join(
+        _before(
+            slots.groupBy("trace_id", "block").agg(
+                F.sum("rows").alias("rows"), F.max_by("last", "slot").alias("last")
+            ),
+            ["trace_id"],
+            "block",
+        ).select("trace_id", "block", F.col("before").alias("blocks"), F.col("last_before").alias("last_block")),
+        ["trace_id", "block"],
+        "left",
+    )
+    slots = before.select(
+        "trace_id", "slot",
+        (F.coalesce("before", F.lit(0)) + F.coalesce("blocks", F.lit(0))).alias("before"),
+        # The first slot of a block comes after the last of the block before.
+        F.when(F.col("before").isNull(), F.col("last_block")).otherwise(F.col("last_before")).alias("last_before"),
     )
 
     previous = F.when(F.col("n") == 1, F.col("last_before")).otherwise(F.col("previous"))
@@ -202,6 +218,16 @@ def trace_walk(
     )
 
 
+def _before(parts: DataFrame, group: list[str], order: str) -> DataFrame:
+    """``before``, the rows of the parts of a group before each, null at the first, and
+    ``last_before``, the last time of the part before."""
+    along = Window.partitionBy(*group).orderBy(order)
+    return parts.withColumns({
+        "before": F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, -1)),
+        "last_before": F.lag("last").over(along),
+    })
+
+
 def _trace_rows(records: DataFrame, stream: str, label: str) -> DataFrame:
     line = F.col("payload_json") if "payload_json" in records.columns else F.lit(None)
     return records.where(F.col("trace_id").isNotNull()).select(

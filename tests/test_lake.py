@@ -783,3 +783,57 @@ def test_lookups_skip_row_groups(spark, lake):
 
     assert read("t02500") == (1, read("t02500")[1]) and 0 < read("t02500")[1] < 2500
     assert read("t02500x") == (0, 0)
+
+
+def test_trace_walk_by_blocks_of_any_size(spark, monkeypatch):
+    from logtarn.plans import reports
+
+    seconds = F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") * 37 % 3000)
+    records = spark.range(1500).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 9)).alias("trace_id"),
+        F.date_format(F.timestamp_seconds(seconds + F.lit(1_700_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.lit("smd").alias("service"), F.format_string("%05d", "id").alias("payload_json"),
+    )
+    found = []
+    for bits in (62, 12, 3, 0):  # a block for all, some, and one for each slot
+        monkeypatch.setattr(reports, "TRACE_BLOCK_BITS", bits)
+        found.append(sorted(map(tuple, reports.trace_walk(records).collect()), key=str))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 1500
+
+
+def listed(path, **programs):
+    table = [{"index": name.replace("_", "-"), "value": value} for name, value in programs.items()]
+    path.write_text(json.dumps({"version": 1, "nomatch": "0", "type": "string", "table": table}))
+
+
+def test_a_changed_allow_list_takes_effect_in_the_next_batch(spark, lake, tmp_path):
+    landing, table = tmp_path / "landing", tmp_path / "lookup.json"
+    landing.mkdir()
+    listed(table, smd="1", my_app="0")
+    line = "<27>1 2024-01-01T05:00:00Z h {} - - - nid=1\n"
+
+    def ingest(name):
+        (landing / name).write_text(line.format("smd") + line.format("my-app") + line.format("other"))
+        ingest_stream(spark, lake, "logs", str(landing), available_now=True, allow_list=str(table)).awaitTermination()
+        return sorted(r.service for r in read_raw(spark, lake, "logs").collect())
+
+    assert ingest("one.log") == ["smd"]
+    listed(table, my_app="1")
+    assert ingest("two.log") == ["my-app", "smd"]
+    table.write_text('{"table":[{"index":"smd","value":"1"},{"index":"smd","value":"0"}]}')
+    assert ingest("three.log") == ["my-app", "smd", "smd"]
+
+
+def test_a_backlog_is_taken_in_batches_of_bounded_bytes(spark, lake, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    line = "<27>1 2024-01-01T05:00:00Z h smd - - - nid=1\n"
+    for k in range(6):
+        (landing / f"{k}.log").write_text(line * 100)
+    size = len(line) * 100
+    running = ingest_stream(
+        spark, lake, "logs", str(landing), available_now=True, max_bytes_per_trigger=2 * size
+    )
+    running.awaitTermination()
+    taken = [p["numInputRows"] for p in running.recentProgress if p["numInputRows"]]
+    assert taken == [200, 200, 200] and read_raw(spark, lake, "logs").count() == 600
