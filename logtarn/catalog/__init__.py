@@ -7,6 +7,7 @@ from logtarn.catalog import (  # noqa: F401
     log_queries,
     report_queries,
 )
+from logtarn.catalog import state_queries  # noqa: E402, F401, isort: skip
 from logtarn.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

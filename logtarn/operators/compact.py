@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logtarn.functions.json_text import STRICT, is_text_or_null, only_object
 from logtarn.functions.times import event_date, event_time
+from logtarn.plans.totals import write_totals
 from logtarn.schemas import record_fields, strings
 from logtarn.session import work_area
 from logtarn.sources.lake import (
@@ -122,6 +123,7 @@ def compact_lines(
         drop(spark, f"{lake.quarantine(stream)}/batch={batch}")
     size = status.agg(F.sum("bytes")).first()[0] or 0
     write_compacted(project_records(stored, stream), lake.compacted(stream), batch, size)
+    write_totals(spark, lake, stream, batch)
     compacted = F.lit(True) if salvage else F.col("bad_lines") == 0
     found = status.drop("bytes").withColumns({
         "compacted": compacted, "day": folder_day(F.col("source_file")),
@@ -148,9 +150,9 @@ def settle(spark: SparkSession, lake: Lake, stream: str) -> None:
     still, the lines it retried are in quarantine still, the files it merged are there. Deleting can
     itself be repeated, the mark goes last. Every run begins with this.
     """
-    folders = (lake.compacted(stream), lake.object_status(stream), lake.quarantine(stream))
+    written = (lake.compacted(stream), lake.totals(stream), lake.object_status(stream), lake.quarantine(stream))
     for batch in unfinished(spark, lake, stream):
-        for folder in folders:
+        for folder in written:
             drop(spark, f"{folder}/batch={batch}")
         for record in (lake.uncleared(stream), lake.replaced(stream), lake.attempts(stream)):
             drop_mark(spark, record, batch)
@@ -256,6 +258,7 @@ def retry_quarantine(
     sound = checked.where(F.col("reason").isNull())
     size = sound.agg(F.sum(F.octet_length("value"))).first()[0] or 0
     write_compacted(project_records(sound, stream), lake.compacted(stream), again, size)
+    write_totals(spark, lake, stream, again)
     _replace_batch(set_aside(checked.where(F.col("reason").isNotNull())), lake.quarantine(stream), again)
     drop(spark, copy)
     put_mark(spark, lake.replaced(stream), again, parts=[], quarantined=names)

@@ -64,6 +64,9 @@ class Lake:
     def quarantine(self, stream: str) -> str:
         return f"{self.root}/quarantine/{check_stream(stream)}"
 
+    def totals(self, stream: str) -> str:
+        return f"{self.root}/totals/{check_stream(stream)}"
+
     def archive(self, stream: str) -> str:
         return f"{self.root}/archive/{check_stream(stream)}"
 
@@ -84,7 +87,7 @@ class Lake:
         return f"{self.root}/checkpoints/{name}"
 
 
-def load(spark: SparkSession, schema: StructType, path: str, fmt: str, **options) -> DataFrame:
+def load(spark: SparkSession, schema: StructType | str, path: str, fmt: str, **options) -> DataFrame:
     """All files under ``path``, an empty table when there are none yet. Starts no job."""
     try:
         return spark.read.schema(schema).options(**options).format(fmt).load(path)

@@ -68,3 +68,11 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a file or folder with all in it; none is no error."""
     store, where = _store(spark, path)
     store.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, in order."""
+    store, where = _store(spark, path)
+    if not store.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in store.listStatus(where) if s.isDirectory())
