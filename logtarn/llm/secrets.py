@@ -5,6 +5,7 @@ Long hex strings have no keyword and are found as runs of marked bytes. Tokens t
 checksum or a decodable structure count beyond the base kinds only if it holds.
 
 Texts are scanned as bytes, a megabyte at a time; positions are code points, the end exclusive.
+Texts of any length are read in linear time.
 Null or empty text has no secrets. Rows are judged alone, so repeats and null ids need no care.
 """
 
@@ -48,11 +49,14 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++"),
     "pem": re.compile(
         r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----\s([A-Za-z0-9+/=\s]+)-----END \1-----"
     ),
 }
+#: What a token's first part runs through. Where the token fails, so it does from any keyword
+#: further on in the same run, which are not tried again: a run of keywords is read once.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]++")}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -126,6 +130,8 @@ def find(column: pa.Array, words: ahocorasick.Automaton) -> list[list[tuple[int,
             free[kind] = match.end()
             if VALID[kind](match):
                 spans.append((at, start, KINDS.index(kind), match.end()))
+        elif kind in RUNS:
+            free[kind] = RUNS[kind].match(text, start, int(ends[at + 1])).end()
     begin, end = runs(HEX[data], ends)
     long = end - begin >= HEX_LENGTH
     begin, end = begin[long], end[long]

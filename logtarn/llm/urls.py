@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtarn.functions.let import let
 from logtarn.llm.registry import registered, table
 from logtarn.llm.stored import stored
 from logtarn.llm.winnowing import LOWER, UPPER
@@ -46,13 +47,16 @@ def _behind_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
+def keys_of(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
     """All strings an entry that fits this host and path can be: each domain it lies in, with the
-    beginning of the path at each length that entries have."""
+    beginning of the path at each length that entries have. No entry's host has more than
+    ``most_labels`` labels, so longer domains are not made: the work for a host of any number of
+    labels is that of reading it."""
     labels = F.split(host, r"\.", -1)
-    domains = F.transform(
-        labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")
-    )
+    tail = F.slice(labels, F.greatest(F.size(labels) - most_labels + 1, F.lit(1)), F.lit(most_labels))
+    domains = let(tail, lambda tail: F.transform(
+        tail, lambda _, i: F.array_join(F.slice(tail, i + 1, F.size(tail)), ".")
+    ))
     starts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     keys = F.flatten(
         F.transform(
@@ -124,11 +128,13 @@ def judged(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """
     entries = stored(entries.select("key", "path_length", "action").distinct(), "entries")
     lengths = [r.path_length for r in entries.select("path_length").distinct().collect()]
+    entry_host = F.substring("key", F.lit(1), F.length("key") - F.col("path_length"))
+    most_labels = entries.agg(F.max(F.size(F.split(entry_host, r"\.", -1)))).first()[0] or 0
     located = pages.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
     places = stored(located.select("host", "path").distinct(), "places")
-    with_keys = places.select("host", "path", F.explode(keys_of(F.col("host"), F.col("path"), lengths)).alias("key"))
+    with_keys = places.select("host", "path", F.explode(keys_of(F.col("host"), F.col("path"), lengths, most_labels)).alias("key"))
     keys = stored(with_keys.select("key").distinct(), "keys")
     most = max(keys.count(), entries.count())
     bits = max(LEAST_BITS, (most // ENTRIES).bit_length())
