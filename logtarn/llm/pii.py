@@ -310,13 +310,21 @@ def _spans(text: Column, trees: Trees) -> Column:
         return F.filter(with_score, lambda c: c["score"] >= threshold(c))
 
     def best(scored: Column) -> Column:
-        better = lambda a, b: (a["score"] > b["score"]) | (
-            (a["score"] == b["score"])
-            & (F.struct(a["start"], a["kind"], a["end"]) < F.struct(b["start"], b["kind"], b["end"]))
-        )
-        return F.filter(
-            scored, lambda c: ~F.exists(scored, lambda o: _overlap(o, c) & better(o, c))
-        )
+        # In the order of their scores, each unless it overlaps one that is taken: what is dropped
+        # itself stands in nobody's way.
+        ordered = F.array_sort(F.transform(
+            scored,
+            lambda c: F.struct(
+                (-c["score"]).alias("worse"), c["start"].alias("start"), c["kind"].alias("kind"),
+                c["end"].alias("end"),
+            ),
+        ))
+        return let(ordered, lambda ordered: F.aggregate(
+            ordered,
+            F.slice(ordered, 1, 0),
+            lambda taken, c: F.when(F.exists(taken, lambda o: _overlap(o, c)), taken)
+            .otherwise(F.concat(taken, F.array(c))),
+        ))
 
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     return let(

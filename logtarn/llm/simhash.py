@@ -99,10 +99,14 @@ def near_copies(
 def without_near_copies(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """The documents with one of each component, the one of the smallest id."""
+    """The documents with one of each component, the one of the smallest id.
+
+    Where rows share that id, each of their different texts stays, linked or not: the id does not
+    say which of them the component is named after.
+    """
     found = near_copies(docs, shingle_words, max_bits)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
