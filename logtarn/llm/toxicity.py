@@ -2,21 +2,25 @@
 
 The lexicon is learned from labelled documents: words, and beginnings of words, that toxic
 documents have far more often than others. The trie of the lexicon is crossed with the automaton
-that allows one edit (after the first letter, in words of five letters or more), and the product is
-made deterministic, so all words of a megabyte of texts run through one table side by side. The
-window around a hit tells abuse from quotation: quotation marks on both sides, words of reporting,
-words of address. A document's hits are summed up in a few figures, which a logistic regression
-turns into a score.
-
-Training takes about ``TOXIC`` toxic and ``OTHER`` other labelled documents, those of the
-smallest id hashes outside the held-out fifth; scoring covers all documents and whole texts. Neither
-labels nor language, source or id enter a score. Null or empty text has no hits and gets the score
-of a text without hits. Without labels of both kinds there is no lexicon, and every score is near 1
-if all labels say toxic, else near 0. Rows may repeat; each is scored alone. A null id is never
-held out.
+that allows edits (one in words of five letters or more, two from nine on; a letter put in, left
+out or changed, or two neighbours swapped, at any place), and the product is made deterministic, so
+all words of a megabyte of texts run through one table side by side. Words are runs of letters,
+marks and digits by their Unicode category, and may have single symbols between letters. The window
+around a hit tells abuse from quotation: quotation marks that open before and close after it, words
+of reporting, words of address. A document's hits are summed up in a few figures, which a logistic
+regression turns into a score.
+
+The lexicon counts all labelled documents outside the held-out fifth, one of near copies. The
+weights are fitted on about ``TOXIC`` toxic and ``OTHER`` other ones of these, and on copies of the
+toxic ones whose terms are misspelled or addressed to someone (still toxic) or quoted (not).
+Scoring covers all documents and whole texts. Neither labels nor language, source or id enter a
+score. Null or empty text has no hits and gets the score of a text without hits. Without labels of
+both kinds there is no lexicon, and every score is near 1 if all labels say toxic, else near 0.
+Rows may repeat; each is scored alone. A null id is never held out.
 """
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +39,15 @@ TOXIC = 3000
 OTHER = 6000
 TERMS = 256
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Least log-odds of a word and of a stem, and the share of toxic texts that must have it.
+#: Least log-odds of a word and of a stem, by so many standard errors, and the share of toxic
+#: texts that must have it.
+ERRORS = 1.5
 LOG_ODDS, STEM_LOG_ODDS = 3.0, 2.0
-SHARE, STEM_SHARE = 0.01, 0.02
-FUZZY_LENGTH = 5
+SHARE, STEM_SHARE = 0.005, 0.02
+#: Letters that a word must have for one edit, and for two.
+FUZZY_LENGTHS = (5, 9)
+#: Symbols that stand for a letter between two others.
+INNER = "!$@*"
 CONTEXT_CHARS = 40
 FOLDS = 5
 
@@ -66,12 +75,18 @@ class Machine:
     weight: np.ndarray
 
 
+def word_points() -> np.ndarray:
+    """Marks the code points that words consist of: letters, marks and digits."""
+    return np.array([unicodedata.category(chr(p))[0] in "LMN" for p in range(0x110000)])
+
+
 def machine(lexicon: Lexicon) -> Machine:
-    """The lexicon's trie crossed with automata for one edit."""
+    """The lexicon's trie crossed with the automata for edits."""
     children: list[dict[str, int]] = [{}]
     ends: dict[int, float] = {}
     stems: dict[int, float] = {}
-    fuzzy: set[int] = set()  # nodes on the way to a word long enough for an edit
+    spare = [0]  # edits that a word through a node may have
+    allowed: dict[int, int] = {}  # and that the word ending at a node may have
     for entries, mark in ((lexicon.words, ends), (lexicon.stems, stems)):
         for word, weight in sorted(entries.items()):
             node, path = 0, [0]
@@ -79,41 +94,60 @@ def machine(lexicon: Lexicon) -> Machine:
                 if letter not in children[node]:
                     children[node][letter] = len(children)
                     children.append({})
+                    spare.append(0)
                 node = children[node][letter]
                 path.append(node)
             mark[node] = weight
-            if mark is ends and len(word) >= FUZZY_LENGTH:
-                fuzzy.update(path)
-
-    def closed(states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        """With the letters of the trie that an edit leaves out."""
-        left_out = {
-            (child, 1)
-            for node, edits in states
-            if edits == 0 and node
-            for child in children[node].values()
-            if child in fuzzy
-        }
-        return frozenset(states | left_out)
-
-    def after(states: frozenset[tuple[int, int]], letter: str) -> frozenset[tuple[int, int]]:
+            if mark is ends:
+                allowed[node] = sum(len(word) >= least for least in FUZZY_LENGTHS)
+                for step in path:
+                    spare[step] = max(spare[step], allowed[node])
+
+    # A state of one automaton: the node reached, the edits made, and the first of two swapped
+    # letters if it is still to come.
+    def closed(states: set[tuple[int, int, str]]) -> frozenset[tuple[int, int, str]]:
+        """With the letters of the trie that an edit leaves out, without what fewer edits reach."""
+        waiting = list(states)
+        while waiting:
+            node, edits, awaited = waiting.pop()
+            for child in children[node].values() if not awaited else ():
+                left_out = (child, edits + 1, "")
+                if spare[child] > edits and left_out not in states:
+                    states.add(left_out)
+                    waiting.append(left_out)
+        return frozenset(s for s in states if not any((s[0], e, s[2]) in states for e in range(s[1])))
+
+    def after(states: frozenset[tuple[int, int, str]], letter: str) -> frozenset[tuple[int, int, str]]:
         reached = set()
-        for node, edits in states:
+        for node, edits, awaited in states:
+            if awaited:
+                if letter == awaited:
+                    reached.add((node, edits, ""))
+                continue
             if node in stems and not edits:
-                reached.add((node, 0))  # whatever follows a stem
+                reached.add((node, 0, ""))  # whatever follows a stem
             child = children[node].get(letter)
-            if child is not None and (not edits or child in fuzzy):
-                reached.add((child, edits))
-            if not edits and node and node in fuzzy:
-                reached.add((node, 1))
-                reached |= {(c, 1) for x, c in children[node].items() if x != letter and c in fuzzy}
+            if child is not None and (not edits or spare[child] >= edits):
+                reached.add((child, edits, ""))
+            if spare[node] <= edits:
+                continue
+            reached.add((node, edits + 1, ""))
+            for other, child in children[node].items():
+                if other == letter:
+                    continue
+                if spare[child] > edits:
+                    reached.add((child, edits + 1, ""))
+                swapped = children[child].get(letter)
+                if swapped is not None and spare[swapped] > edits:
+                    reached.add((swapped, edits + 1, other))
         return closed(reached)
 
     letters = sorted({letter for node in children for letter in node})
-    classes = np.zeros(0x110000, np.int16)
+    classes = np.where(word_points(), 0, -1).astype(np.int16)
     classes[[ord(x) for x in letters]] = np.arange(1, len(letters) + 1)
-    numbers = {frozenset(): 0, frozenset({(0, 0)}): 1}
-    rows, waiting = {0: [0] * (len(letters) + 1)}, [frozenset({(0, 0)})]
+    start = closed({(0, 0, "")})
+    numbers = {frozenset(): 0, start: 1}
+    rows, waiting = {0: [0] * (len(letters) + 1)}, [start]
     while waiting:
         state = waiting.pop()
         row = []
@@ -126,16 +160,19 @@ def machine(lexicon: Lexicon) -> Machine:
         rows[numbers[state]] = row
     kind, weight = np.zeros(len(numbers), np.int8), np.zeros(len(numbers))
     for state, number in numbers.items():
-        found = [(1, ends[n]) for n, e in state if n in ends and not e]
-        found += [(2, stems[n]) for n, e in state if n in stems and not e]
-        found += [(3, ends[n]) for n, e in state if n in ends and e and n in fuzzy]
+        plain = [(n, e) for n, e, awaited in state if not awaited]
+        found = [(1, ends[n]) for n, e in plain if n in ends and not e]
+        found += [(2, stems[n]) for n, e in plain if n in stems and not e]
+        found += [(3, ends[n]) for n, e in plain if n in ends and 0 < e <= allowed[n]]
         if found:
             best = min(k for k, _ in found)
             kind[number], weight[number] = best, max(w for k, w in found if k == best)
     return Machine(np.array([rows[n] for n in range(len(numbers))], np.int32), classes, kind, weight)
 
 
-def _letters(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _letters(
+    column: pa.Array, in_words: np.ndarray
+) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased texts, their code points end to end, text ends, begin and end of words."""
     column = pc.utf8_lower(column.fill_null("").cast(pa.large_string()))
     data, ends = utf8(column)
@@ -143,52 +180,138 @@ def _letters(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     before = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=before[1:])
     ends = before[ends]
-    inside = ((points >= 97) & (points <= 122)) | (points >= 0xC0)
+    inside = in_words[points]
+    inner = np.flatnonzero(np.isin(points, [ord(x) for x in INNER]))
+    inner = inner[(inner > 0) & (inner < len(points) - 1)]
+    inner = inner[inside[inner - 1] & inside[inner + 1]]
+    at = owner(inner, ends)
+    inside[inner[(inner > ends[at]) & (inner + 1 < ends[at + 1])]] = True
     return column, points, ends, *runs(inside, ends)
 
 
-#: Hits and hits per hundred words, by sort; then shares of hits by context.
+#: Hits and hits per hundred words, by sort; then shares of hits by context. Densities and the
+#: strongest term leave out hits in quotation marks.
 FIGURES = (
     "exact", "stems", "misspelled", "exact_density", "stem_density", "misspelled_density",
-    "strongest", "quoted", "reported", "addressed",
+    "strongest", "addressed", "quoted", "reported",
 )
-#: Figures up to here never speak for a clean text.
+#: Figures up to here never speak for a clean text, the others never for a toxic one.
 EVIDENCE = FIGURES.index("quoted")
 
 
-def figures(column: pa.Array, automaton: Machine) -> np.ndarray:
-    """A row of figures for each text."""
-    texts, points, ends, begin, end = _letters(column)
-    found = np.zeros((len(texts), len(FIGURES)))
+def in_quotes(left: str, word: str, right: str) -> bool:
+    """Whether the last quotation mark before a word opens and the first one after it closes."""
+    around = left + word + right
+    marks = [
+        i for i, x in enumerate(around)
+        if x in QUOTES and not (0 < i < len(around) - 1 and around[i - 1].isalnum() and around[i + 1].isalnum())
+    ]
+    opening = max((i for i in marks if i < len(left)), default=None)
+    closing = min((i for i in marks if i >= len(left) + len(word)), default=None)
+    if opening is None or closing is None:
+        return False
+    return not (opening and around[opening - 1].isalnum()) and not around[opening + 1].isspace() and (
+        not around[closing - 1].isspace() and not around[closing + 1 : closing + 2].isalnum()
+    )
+
+
+@dataclass(frozen=True)
+class Hits:
+    """Terms found in texts: the text of each, its sort and weight, begin and end in code points."""
+
+    points: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray  # of each text
+    doc: np.ndarray
+    kind: np.ndarray
+    weight: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+
+def hits(column: pa.Array, automaton: Machine) -> Hits:
+    """Runs all words of the texts through the automaton."""
+    texts, points, ends, begin, end = _letters(column, automaton.classes >= 0)
     state = np.ones(len(begin), np.int32)
     active = np.arange(len(begin))
-    classes = automaton.classes[points]
+    classes = np.maximum(automaton.classes[points], 0)
     step = 0
     while len(active):
         state[active] = automaton.table[state[active], classes[begin[active] + step]]
         step += 1
         active = active[(state[active] > 0) & (begin[active] + step < end[active])]
-    hits = np.flatnonzero(automaton.kind[state])
-    if not len(hits):
+    found = np.flatnonzero(automaton.kind[state])
+    return Hits(
+        points, ends, np.bincount(owner(begin, ends), minlength=len(texts)), owner(begin[found], ends),
+        automaton.kind[state[found]], automaton.weight[state[found]], begin[found], end[found],
+    )
+
+
+def figures(column: pa.Array, automaton: Machine) -> np.ndarray:
+    """A row of figures for each text."""
+    hit, texts = hits(column, automaton), len(column)
+    found = np.zeros((texts, len(FIGURES)))
+    if not len(hit.doc):
         return found
-    doc, kind = owner(begin[hits], ends), automaton.kind[state[hits]]
-    words = np.maximum(np.bincount(owner(begin, ends), minlength=len(texts)), 1)
+    context = np.zeros((len(hit.doc), 3))
+    for i, (at, a, b) in enumerate(zip(hit.doc.tolist(), hit.begin.tolist(), hit.end.tolist(), strict=True)):
+        low, high = max(a - CONTEXT_CHARS, hit.ends[at]), min(b + CONTEXT_CHARS, hit.ends[at + 1])
+        left, word, right = (
+            hit.points[x:y].tobytes().decode("utf-32-le") for x, y in ((low, a), (a, b), (b, high))
+        )
+        quoted = in_quotes(left, word, right)
+        addressed = not quoted and bool(re.search(ADDRESS, left + " " + right))
+        context[i] = addressed, quoted, bool(re.search(REPORTING, left))
+    words, outside = np.maximum(hit.words, 1), context[:, 1] == 0
     for k in (1, 2, 3):
-        count = np.bincount(doc, kind == k, len(texts))
-        found[:, k - 1], found[:, k + 2] = np.log1p(count), np.log1p(100 * count / words)
-    np.maximum.at(found[:, 6], doc, automaton.weight[state[hits]] * np.where(kind == 3, 0.5, 1))
-    for at, a, b in zip(doc.tolist(), begin[hits].tolist(), end[hits].tolist(), strict=True):
-        low, high = max(a - CONTEXT_CHARS, ends[at]), min(b + CONTEXT_CHARS, ends[at + 1])
-        left = points[low:a].tobytes().decode("utf-32-le")
-        right = points[b:high].tobytes().decode("utf-32-le")
-        quoted = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
-        found[at, 7] += quoted
-        found[at, 8] += bool(re.search(REPORTING, left))
-        found[at, 9] += bool(re.search(ADDRESS, left + " " + right))
-    found[:, 7:] /= np.maximum(np.bincount(doc, minlength=len(texts)), 1)[:, None]
+        of_sort = hit.kind == k
+        count = np.bincount(hit.doc, of_sort & outside, texts)
+        found[:, k - 1] = np.log1p(np.bincount(hit.doc, of_sort, texts))
+        found[:, k + 2] = np.log1p(100 * count / words)
+    np.maximum.at(found[:, 6], hit.doc, hit.weight * np.where(hit.kind == 3, 0.5, 1) * outside)
+    np.add.at(found[:, 7:], hit.doc, context)
+    found[:, 7:] /= np.maximum(np.bincount(hit.doc, minlength=texts), 1)[:, None]
     return found
 
 
+def misspelt(word: str, variant: int) -> str:
+    """The word with one edit in its middle."""
+    at = len(word) // 2
+    return (
+        word[:at] + word[at + 1 :],
+        word[:at] + "x" + word[at + 1 :],
+        word[:at] + "x" + word[at:],
+        word[: at - 1] + word[at] + word[at - 1] + word[at + 1 :],
+    )[variant % 4]
+
+
+def rewritten(column: pa.Array, automaton: Machine, change) -> tuple[pa.Array, np.ndarray]:
+    """The texts with each hit replaced by ``change(word, number of the hit)``, and which have hits."""
+    hit = hits(column, automaton)
+    out, changed = [], np.bincount(hit.doc, minlength=len(column)) > 0
+    first = np.searchsorted(hit.doc, np.arange(len(column) + 1))
+    for at in range(len(column)):
+        parts, done = [], hit.ends[at]
+        for i in range(first[at], first[at + 1]):
+            a, b = hit.begin[i], hit.end[i]
+            parts.append(hit.points[done:a].tobytes().decode("utf-32-le"))
+            parts.append(change(hit.points[a:b].tobytes().decode("utf-32-le"), i - first[at] + at))
+            done = b
+        parts.append(hit.points[done : hit.ends[at + 1]].tobytes().decode("utf-32-le"))
+        out.append("".join(parts))
+    return pa.array(out, pa.string()), changed
+
+
+#: What a copy weighs beside a labelled text.
+COPY_WEIGHT = 0.1
+#: Copies of toxic texts to learn from, and whether the copy is toxic.
+COPIES = (
+    (lambda word, i: misspelt(word, i) if len(word) >= FUZZY_LENGTHS[0] else word, 1),
+    (lambda word, i: f"you {word}", 1),
+    (lambda word, i: f"“{word}”" if i % 2 else f"said “{word}”", 0),
+)
+
+
 @dataclass(frozen=True)
 class Model:
     automaton: Machine
@@ -207,32 +330,26 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text`` and ``toxic`` of the training documents."""
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text`` and ``toxic`` of all labelled documents outside the held-out fold, one of near copies."""
     usable = (
         labels.where(fold(F.col("doc_id")) != 0).where("toxic IN (0, 1)")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    usable = stored(usable, "usable")
-    sizes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, TOXIC / max(sizes.get(1, 0), 1)).otherwise(OTHER / max(sizes.get(0, 0), 1))
-    place = F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)
-    # About TOXIC + OTHER ids, whatever the input.
-    ids = F.broadcast(stored(usable.where(place < share), "labelled"))
     return stored(
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
-        # Of near copies, which mostly share their smallest shingle hash, one is enough.
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id")
+        # Near copies mostly share their smallest shingle hash.
         .withColumn("copy", F.coalesce(F.array_min(minima(words_of(F.col("text")))), F.xxhash64("text")))
         .groupBy("copy").agg(F.min("text").alias("text"), F.min_by("toxic", "text").cast("int").alias("toxic"))
         .select("text", "toxic"),
-        "training",
+        "labelled",
     )
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], in_words: np.ndarray) -> Iterator[pa.RecordBatch]:
     """How many toxic and other texts have each word and each beginning of a word."""
     for batch in pieces(batches, 0):
-        _, points, ends, begin, end = _letters(batch.column(0))
+        _, points, ends, begin, end = _letters(batch.column(0), in_words)
         toxic = batch.column(1).to_numpy()
         doc = owner(begin, ends)
         for size in (0, *STEMS):
@@ -257,27 +374,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Terms of the largest log-odds, at most TERMS of each sort."""
-    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
+def learn_lexicon(labelled: DataFrame, n_toxic: int, n_other: int) -> Lexicon:
+    """Terms of the largest log-odds, at most TERMS of each sort, from all labelled texts."""
     if not n_toxic or not n_other:
         return Lexicon({}, {})
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
+    sure = F.col("odds") - ERRORS * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
+    in_words = np.packbits(word_points())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counted(batches, np.unpackbits(in_words).astype(bool))
+
     counted = (
-        sample.mapInArrow(_counted, "term string, stem boolean, toxic long, other long")
+        labelled.mapInArrow(run, "term string, stem boolean, toxic long, other long")
         .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         .withColumn("odds", odds)
     )
-    frequent = counted.where(F.col("toxic") >= max(3, SHARE * n_toxic))
+    frequent = counted.where(F.col("toxic") >= max(5, SHARE * n_toxic))
     words = (
-        frequent.where(~F.col("stem") & (F.col("odds") >= LOG_ODDS))
+        frequent.where(~F.col("stem") & (sure >= LOG_ODDS))
         .orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
     )
     # What a stem stands for, up to a point: a longer one is rarer, a shorter one less telling.
     gain = F.col("toxic") * F.least("odds", F.lit(LOG_ODDS))
     candidates = (
-        frequent.where(F.col("stem") & (F.col("odds") >= STEM_LOG_ODDS))
+        frequent.where(F.col("stem") & (sure >= STEM_LOG_ODDS))
         .where(F.col("toxic") >= max(5, STEM_SHARE * n_toxic))
         .orderBy(F.desc(gain), F.length("term"), "term").limit(TERMS).collect()
     )
@@ -292,31 +413,51 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon, automaton and weights from the bounded sample."""
-    sample = _sample(docs, labels)
-    automaton = machine(learn_lexicon(sample))
+    """Lexicon and automaton from all labelled documents, weights from the bounded sample."""
+    labelled = _labelled(docs, labels)
+    sizes = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
+    automaton = machine(learn_lexicon(labelled, n_toxic, n_other))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 0):
-            rows = figures(batch.column(0), automaton)
+            toxic = batch.filter(pc.equal(batch.column(1), 1)).column(0)
+            rows, marks = [figures(batch.column(0), automaton)], [batch.column(1).to_numpy()]
+            weight = [np.ones(batch.num_rows)]
+            for change, mark in COPIES:
+                texts, changed = rewritten(toxic, automaton, change)
+                rows.append(figures(texts, automaton)[changed])
+                marks.append(np.full(changed.sum(), mark))
+                weight.append(np.full(changed.sum(), COPY_WEIGHT))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(rows), pa.list_(pa.float64())), batch.column(1)], ["figures", "toxic"]
+                [
+                    pa.array(list(np.concatenate(rows)), pa.list_(pa.float64())),
+                    pa.array(np.concatenate(marks).astype(np.int32)),
+                    pa.array(np.concatenate(weight)),
+                ],
+                ["figures", "toxic", "weight"],
             )
 
-    rows = sample.mapInArrow(run, "figures array<double>, toxic int").collect()
+    share = F.when(F.col("toxic") == 1, TOXIC / max(n_toxic, 1)).otherwise(OTHER / max(n_other, 1))
+    place = F.xxhash64("text").bitwiseAND((1 << 30) - 1) / float(1 << 30)
+    # About TOXIC * (1 + len(COPIES)) + OTHER rows of figures, whatever the input.
+    made = "figures array<double>, toxic int, weight double"
+    rows = labelled.where(place < share).mapInArrow(run, made).collect()
     x = np.array([r.figures for r in rows]).reshape(len(rows), len(FIGURES))
-    return Model(automaton, *_fitted(x, np.array([r.toxic for r in rows], float)))
+    y, weight = np.array([r.toxic for r in rows], float), np.array([r.weight for r in rows], float)
+    return Model(automaton, *_fitted(x, y, weight))
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton's method, both classes weighing the same.
 
-    Evidence whose weight would be negative is left out.
+    Evidence whose weight would be negative, and quotation whose weight would be positive, is left out.
     """
     if not len(y) or y.min() == y.max():
         return np.zeros(x.shape[1]), (5.0 if len(y) and y[0] else -5.0)
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * len(y) / 1000
+    toxic = np.average(y, weights=weight)
+    share = np.where(y == 1, 0.5 / toxic, 0.5 / (1 - toxic)) * weight * len(y) / 1000
     weights = np.zeros(x1.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(30):
@@ -327,11 +468,12 @@ def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarra
         weights -= move
         if np.abs(move).max() < 1e-8:
             break
-    against = np.flatnonzero(weights[:EVIDENCE] < -1e-6)
+    sign = np.where(np.arange(x.shape[1]) < EVIDENCE, 1, -1)
+    against = np.flatnonzero(weights[:-1] * sign < -1e-6)
     if len(against):
         x = x.copy()
         x[:, against] = 0
-        return _fitted(x, y, ridge)
+        return _fitted(x, y, weight, ridge)
     return weights[:-1], float(weights[-1])
 
 

@@ -279,25 +279,38 @@ def test_pii_redaction(spark, documents, odd, clashing):
 # 6
 
 
-def test_automaton_is_one_edit_of_the_lexicon():
-    words = {"moron": 3.0, "trash": 2.0, "scum": 4.0, "idiot": 5.0}
-    lexicon = toxicity.Lexicon(words, {"lostr": 2.5})
-    automaton = toxicity.machine(lexicon)
+def test_automaton_is_the_edits_of_the_lexicon():
+    words = {"moron": 3.0, "trash": 2.0, "scum": 4.0, "idiot": 5.0, "worthless": 3.0, "worthies": 2.0}
+    automaton = toxicity.machine(toxicity.Lexicon(words, {"lostr": 2.5}))
     chance = random.Random(2)
-    tried = ["moron", "morn", "moroon", "mroon", "boron", "trsh", "scun", "lostrung", "lostr", "lost", "idi"]
-    for _ in range(400):
+    tried = [
+        "moron", "morn", "moroon", "mroon", "boron", "trsh", "scun", "lostrung", "lostr", "lost", "idi", "idoit",
+        "st0pid", "id1ot", "xmoron", "oron", "worhtles", "wrothlses", "owrthless", "worthie", "worthiest",
+    ]
+    for _ in range(800):
         word = list(chance.choice([*words]))
-        for _ in range(chance.randrange(3)):
-            at = chance.randrange(1, len(word))
-            word[at : at + chance.randrange(2)] = chance.choice(["", "a", "t", "zz"])
+        for _ in range(chance.randrange(4)):
+            at = chance.randrange(len(word))
+            if chance.random() < 0.3:
+                word[at : at + 2] = word[at : at + 2][::-1]
+            else:
+                word[at : at + chance.randrange(2)] = chance.choice(["", "a", "t", "zz"])
         tried.append("".join(word))
-    for word in tried:
+    for word in [w for w in tried if w]:
         found = toxicity.figures(pa.array([word]), automaton)[0]
-        near = any(len(w) >= 5 and w[0] == word[0] and brute.edits(w, word) == 1 for w in words)
+        near = any(brute.edits(w, word) <= (len(w) >= 5) + (len(w) >= 9) for w in words)
         kind = "exact" if word in words else "stems" if word.startswith("lostr") else "misspelled" if near else None
         assert [n for n, v in zip(toxicity.FIGURES[:3], found, strict=False) if v] == ([kind] if kind else []), word
 
 
+def test_words_end_at_marks_and_keep_digits():
+    automaton = toxicity.machine(toxicity.Lexicon({"moron": 3.0, "idiot": 3.0, "été": 3.0}, {}))
+    texts = ["“moron”", "moron—", "a、moron。", "id!ot", "m0ron", "idiot!", "ÉTÉ", "m‑oron", "moron!", "!", "$x", None, "12"]
+    found = toxicity.figures(pa.array(texts), automaton)
+    assert found[:, 0].astype(bool).tolist() == [True, True, True, False, False, True, True, False, True] + [False] * 4
+    assert [t for t, v in zip(texts, found[:, 2], strict=True) if v] == ["id!ot", "m0ron", "m‑oron"]
+
+
 def test_context_tells_quotation_from_abuse():
     automaton = toxicity.machine(toxicity.Lexicon({"moron": 3.0}, {}))
     found = toxicity.figures(pa.array(['he said "what a moron" twice', "you moron", None]), automaton)
@@ -306,12 +319,46 @@ def test_context_tells_quotation_from_abuse():
     assert names["addressed"].tolist() == [0, 1, 0]
 
 
+def test_quotation_marks_open_before_and_close_after():
+    told = {
+        ('he is "a ', "moron", '" they say'): True, ("« ", "moron", " »"): False, ("«", "moron", "»"): True,
+        ('"yes" you ', "moron", ' "no"'): False, ("l’ami ", "moron", " d’ici"): False, ('"', "moron", ""): False,
+        ("“", "moron", "”"): True, ("", "moron", ""): False,
+    }
+    for around, quoted in told.items():
+        assert toxicity.in_quotes(*around) == quoted, around
+
+
+@pytest.fixture(scope="module")
+def taught(spark):
+    data = DATA.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.train(docs, labels)
+
+
+def test_toxicity_by_spelling_and_context(spark, taught):
+    """Misspelled terms count, quotation lowers the score, clean words stay clean."""
+    clean = (
+        "the meeting is on monday and we will talk about the plans for next year with all of the teams "
+        "who worked on the bridge over the river near the old town hall"
+    )
+    said = ["you idiot", "you idoit", "you id1ot", "you are wortless", "he said “idiot”", "it is said that “idoit” is a word", ""]
+    plain, *rest = taught.score(pa.array([clean, *(f"{clean} {s} {clean}" for s in said)]))
+    exact, swapped, digit, two, quoted, quoted_misspelt, none = rest
+    assert min(exact, swapped, digit, two) >= 0.5, rest
+    assert quoted < exact and quoted_misspelt < swapped and max(plain, none) < 0.5, rest
+    weights = dict(zip(toxicity.FIGURES, taught.weights, strict=True))
+    assert weights["misspelled"] + weights["misspelled_density"] > 0.1
+    assert weights["quoted"] + weights["reported"] < -0.1
+
+
 def test_toxicity_held_out(spark):
     data = DATA.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{data}/labels.parquet")
     rows = QUERIES["op6_toxicity"](spark, data).join(labels, "doc_id").where("held_out").collect()
     right = [r for r in rows if r.predicted == r.toxic]
     caught = [r.predicted for r in rows if r.toxic]
+    print("held out", len(rows), "right", len(right), "toxic", len(caught), "caught", sum(caught))
     assert len(right) > 0.97 * len(rows) and sum(caught) > 0.9 * len(caught)
     for r in rows[:200]:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
