@@ -6,13 +6,19 @@ addresses, long ip addresses) count if boosted trees score them above a threshol
 rows that the trees have not seen, of all documents. All of it is DataFrame functions and one narrow pass: a
 document's candidates stay in its row, and the trained trees become conditional expressions.
 
-There are no labels for personal data. Weak ones come from the candidates themselves: a checksum,
-range or length that holds, in clean bounds and, for the wider formats, beside a word that
-announces the kind. Candidates of all documents are grouped by their few-valued features, so what
-is left is bounded: half of the texts, by a hash, fit the trees, the others set the thresholds.
+There are no labels for personal data, so truth is planted: each document gives windows of its text
+into which personal data of each kind is written in the wide formats, and windows into which
+look-alikes are (numbers whose checksum fails, dates, versions, ratios, order numbers), with words
+around that announce or deny more or less reliably. Trees see format and neighbouring words of the
+candidates that the generators find there, not what was planted. Candidates of all documents are
+grouped by their few-valued features, so what is left is bounded: half of the windows, by a hash,
+fit the trees, the others set the thresholds. ``measured`` tells recall and precision on the others.
+Without any document there are no trees, and base spans alone count.
 
 Null counts as empty, which has no spans. Each row is judged alone, so repeated rows and repeated
-or null ids need no care. Positions are code points, the end exclusive.
+or null ids need no care. Positions are code points, the end exclusive. Very long
+texts are judged whole; a text's candidates are compared with each other, so one text with tens of
+thousands of them is slow.
 """
 
 import re
@@ -28,8 +34,9 @@ from logtarn.functions.let import let
 from logtarn.llm.registry import registered, table
 from logtarn.llm.stored import stored, unused
 
-TREES = 12
+TREES = 16
 TREE_DEPTH = 3
+STEP = 0.3
 #: Share of true spans that a threshold must reach on held-out candidates of the wide formats.
 PRECISION = 0.95
 CONTEXT_CHARS = 24
@@ -56,7 +63,7 @@ WIDE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[a-z0-9-]{1,63}+"
     r"(?: ?[(\[]dot[)\]] ?[a-z0-9-]{1,63}+){1,8}+",
     "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}+:){7}+[0-9a-f]{1,4}+(?![0-9a-f:])",
-    "card": r"(?<![0-9.])[0-9]{4}+(?:[. /][0-9]{4}+){3}+(?![0-9.])",
+    "card": r"(?<![0-9])(?<![0-9]\.)[0-9]{4}+(?:[. /][0-9]{4}+){3}+(?!\.?[0-9])",
     "phone": r"(?<![0-9+(])(?:\([0-9]{2,5}\)|[0-9]{2,5}+)(?:[ ./-]{1,2}[0-9]{2,5}+){2,4}+(?![0-9])",
 }
 WIDE_HINT = {
@@ -73,9 +80,12 @@ ANNOUNCED = {
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
+DENIED = r"(?i)order|invoice|serial|isbn|version|date|total|page|ratio|score|\bno\b|\bnr\b|\bref\b"
+
 FEATURES = (
-    "kind", "wide", "digits", "holds", "announced", "clean", "separators", "one_separator", "prefix",
-)
+    "kind", "digits", "holds", "announced", "denied", "clean", "separators", "one_separator", "prefix",
+    "first_group", "last_group", "leading_zero", "letters",
+)
 _SPANS = "array<struct<start:int,kind:int,end:int,wide:int,found:string>>"
 
 
@@ -166,7 +176,7 @@ def _base_holds(span: Column) -> Column:
 
 
 def _features(span: Column, text: Column) -> dict[str, Column]:
-    """Few-valued features of format and context."""
+    """Few-valued features of format and neighbouring words, for a wide candidate."""
     found, kind = span["found"], span["kind"]
     before = F.substring(
         text, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)) + 1,
@@ -182,24 +192,26 @@ def _features(span: Column, text: Column) -> dict[str, Column]:
     checked = _by_kind(
         kind,
         lambda k: {
-            "email": found.rlike(r"(?i)[a-z]{2,}$"),
-            "ip": F.when(span["wide"] == 1, F.lit(True)).otherwise(_holds("ip", found)),
+            "email": found.rlike(r"(?i)[\])] ?(?:com|net|org|edu|gov|info|[a-z]{2})$"),
+            "ip": F.lit(True),
             "card": _holds("card", found),
-            "phone": F.when(
-                span["wide"] == 1, F.length(digits).between(9, 13)
-            ).otherwise(_holds("phone", found)),
+            "phone": F.length(digits).between(9, 13),
         }[k],
     )
     return {
         "kind": kind,
-        "wide": span["wide"],
         "digits": F.least(F.length(digits), F.lit(20)),
         "holds": checked.cast("int"),
         "announced": _by_kind(kind, lambda k: before.rlike(ANNOUNCED[k])).cast("int"),
+        "denied": before.rlike(DENIED).cast("int"),
         "clean": (~around.rlike("[A-Za-z0-9]")).cast("int"),
         "separators": F.least(F.length(marks), F.lit(6)),
         "one_separator": (F.length(marks) == F.length(F.regexp_extract(marks, r"^(.)\1*$", 0))).cast("int"),
         "prefix": F.when(found.startswith("+"), 2).when(found.startswith("("), 1).otherwise(0),
+        "first_group": F.least(F.length(F.regexp_extract(found, "[A-Za-z0-9]+", 0)), F.lit(6)),
+        "last_group": F.least(F.length(F.regexp_extract(found, "[A-Za-z0-9]+$", 0)), F.lit(6)),
+        "leading_zero": digits.startswith("0").cast("int"),
+        "letters": F.least(F.length(F.regexp_replace(found, "[^A-Za-z]", "")), F.lit(4)),
     }
 
 
@@ -211,8 +223,8 @@ class Trees:
     weights: tuple[float, ...]
     thresholds: tuple[float, ...]
 
-    def score(self, features: dict[str, Column]) -> Column:
-        """Probability that a candidate is personal data."""
+    def score(self, features: dict[str, Column] | Column) -> Column:
+        """Probability that a candidate is personal data, from its features by name."""
 
         def value(node) -> Column:
             if isinstance(node, float):
@@ -238,38 +250,151 @@ def _tree(lines: list[str]):
     return (int(feature), float(threshold), low, _tree(lines))
 
 
+#: What planted personal data and look-alikes are made of.
+ANNOUNCING = {
+    "email": ("mail", "e-mail:", "contact", "write to"),
+    "ip": ("ip", "host", "server", "address"),
+    "card": ("card", "visa", "credit card", "Karte"),
+    "phone": ("phone", "tel.", "call", "mobil", "fax:"),
+}
+DENYING = ("order", "invoice", "serial", "version", "date", "total", "page", "ratio", "score", "ref")
+NAMES = ("anna", "j.smith", "office", "luis", "marie", "k_weber", "sales", "tom")
+PLACES = ("post", "example", "my-host", "firma", "lab", "shop24", "univ", "corner")
+DOMAINS = ("com", "net", "org", "de", "fr", "es", "info", "museum")
+NO_DOMAINS = ("7", "12", "x", "notation", "plots3", "product")
+LEFT_CHARS, RIGHT_CHARS = 40, 16
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Windows of all texts with something planted in each, eight to a text.
+
+    ``window``, ``kind``, ``truth`` (personal data or a look-alike), ``start`` and ``end`` of what is
+    planted, and ``held_out``. All of it follows from the texts.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def cut(text: Column, seed: Column, n: Column) -> Column:
+        at = F.pmod(seed, F.length(text) + 1).cast("int")
+        return F.struct(
+            (n % len(KINDS)).alias("kind"), (n >= len(KINDS)).alias("truth"), seed.alias("seed"),
+            F.substring(text, F.greatest(at - LEFT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(LEFT_CHARS))).alias("left"),
+            F.substring(text, at + 1, F.lit(RIGHT_CHARS)).alias("right"),
+        )
+
+    cuts = docs.select(
+        F.explode(
+            let(F.struct(text.alias("text"), F.xxhash64(text).alias("seed")), lambda t: F.transform(
+                F.sequence(F.lit(0), F.lit(2 * len(KINDS) - 1)),
+                lambda n: let(F.xxhash64(t["seed"], n), lambda seed: cut(t["text"], seed, n)),
+            ))
+        ).alias("cut")
+    ).select("cut.*")
+
+    draws = iter(range(1000))
+    drawn = lambda below: F.pmod(F.xxhash64("seed", F.lit(next(draws))), F.lit(below))
+    pick = lambda values: F.element_at(
+        F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (drawn(len(values)) + 1).cast("int")
+    )
+    digits = lambda n: F.lpad(drawn(10**n).cast("string"), n, "0")
+    often = lambda eighths: drawn(8) < eighths
+    at = lambda: pick(("(at)", " (at) ", " [at] ", "[at]"))
+    dot = lambda: pick(("(dot)", " (dot) ", " [dot] "))
+
+    def card(right_digit: bool) -> Column:
+        body, mark, wrong = F.concat(pick(("4", "5")), digits(14)), pick((".", "/")), drawn(9) + 1
+        check = lambda body: F.element_at(
+            F.filter(
+                F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.struct(d.alias("d"), F.concat(body, d.cast("string")).alias("n"))),
+                lambda x: F.call_function("luhn_check", x["n"]),
+            ), 1,
+        )["d"]
+        last = check(body) if right_digit else F.pmod(check(body) + wrong, F.lit(10))
+        return F.regexp_replace(F.concat(body, last.cast("string")), F.lit("([0-9]{4})(?=[0-9])"), F.concat(F.lit("$1"), mark))
+
+    real = {
+        "email": F.concat(pick(NAMES), pick(("", ".k", "_7", "84")), at(), pick(PLACES), dot(), pick(DOMAINS)),
+        "ip": F.concat_ws(":", *[F.lower(F.hex(drawn(1 << 16))) for _ in range(8)]),
+        "card": card(True),
+        "phone": pick((
+            F.concat(F.lit("(0"), digits(2), F.lit(") "), digits(4), F.lit(" "), digits(4)),
+            F.concat(F.lit("0"), digits(3), F.lit(" "), digits(3), F.lit(" "), digits(4)),
+            F.concat(digits(3), F.lit("-"), digits(3), F.lit("-"), digits(4)),
+            F.concat(F.lit("0"), digits(1), *[F.concat(F.lit(" "), digits(2)) for _ in range(4)]),
+        )),
+    }
+    alike = {
+        "email": F.concat(pick(PLACES), at(), pick(PLACES), dot(), pick(NO_DOMAINS)),
+        "ip": F.concat_ws(":", *[F.lpad(drawn(60).cast("string"), 2, "0") for _ in range(8)]),
+        "card": card(False),
+        "phone": pick((
+            F.concat(F.lit("20"), digits(2), F.lit("-"), digits(2), F.lit("-"), digits(2), F.lit(" "), digits(2)),
+            F.concat_ws(".", digits(2), digits(2), digits(2)),
+            F.concat_ws(" ", digits(3), digits(3), digits(3)),
+            F.concat(F.lit("978-"), digits(2), F.lit("-"), digits(4), F.lit("-"), digits(3)),
+        )),
+    }
+    kind, truth = F.col("kind"), F.col("truth")
+    announcing = _by_kind(kind, lambda k: pick(ANNOUNCING[k]))
+    denying = pick(DENYING)
+    word = F.when(truth, F.when(often(6), announcing).otherwise("")).otherwise(
+        F.when(often(1) | ((kind == KINDS.index("card")) & often(4)), announcing)
+        .when(often(6), denying).otherwise("")
+    )
+    glued = F.when(~truth & often(1), "x").otherwise("")
+    found = F.when(truth, _by_kind(kind, real.get)).otherwise(_by_kind(kind, alike.get))
+    parts = cuts.select(
+        "kind", "truth", "right", found.alias("found"), pick((" ", ", ", ". ", "; ")).alias("after"),
+        F.concat(F.col("left"), F.lit(" "), word, F.lit(" "), glued).alias("before"),
+        (drawn(2) == 0).alias("held_out"),
+    )
+    return parts.select(
+        F.concat("before", "found", "after", "right").alias("window"), "kind", "truth", "held_out",
+        F.length("before").alias("start"), (F.length("before") + F.length("found")).alias("end"),
+    )
+
+
+def _covers(span: Column) -> Column:
+    """Whether a span is of the kind planted and covers it."""
+    return (span["kind"] == F.col("kind")) & (span["start"] <= F.col("start")) & (span["end"] >= F.col("end"))
+
+
+def _touches(span: Column) -> Column:
+    return (span["start"] < F.col("end")) & (span["end"] > F.col("start"))
+
+
 def train(docs: DataFrame) -> Trees:
-    """Trees and thresholds from the weakly labelled candidates of all documents."""
-    spans = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(
-        "text", F.explode(F.concat(*_base(F.col("text")), *_wide(F.col("text")))).alias("span")
+    """Trees and thresholds from what is planted in windows of all documents."""
+    window, span = F.col("window"), F.col("span")
+    spans = (
+        planted(docs)
+        .select("*", F.explode(F.concat(*_wide(window))).alias("span"))
+        # Of other candidates, those of the text itself, the truth is not known.
+        .where(_touches(span))
+        .select(
+            F.struct(*[v.cast("int").alias(k) for k, v in _features(span, window).items()]).alias("f"),
+            "held_out",
+            (F.col("truth") & _covers(span)).cast("int").alias("label"),
+        )
+        .select("f.*", "held_out", "label")
     )
-    spans = spans.select(
-        F.struct(*[v.cast("int").alias(k) for k, v in _features(F.col("span"), F.col("text")).items()]).alias("f"),
-        (F.xxhash64("text") % 2 == 0).alias("held_out"),
-    ).select("f.*", "held_out")
-    good = (F.col("holds") == 1) & (F.col("clean") == 1)
-    good &= (F.col("wide") == 0) | (F.col("announced") == 1)
     # Few-valued features: the table of their combinations is bounded however many rows there are.
     cells = stored(
-        spans.withColumn("label", good.cast("int")).groupBy(*FEATURES, "held_out", "label")
-        .agg(F.count("*").cast("double").alias("weight")),
+        spans.groupBy(*FEATURES, "held_out", "label").agg(F.count("*").cast("double").alias("weight")),
         "pii-cells",
     )
     fit = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(cells.where("NOT held_out"))
     if fit.select("label").distinct().count() < 2:
-        # Too little to learn from: nothing beyond the base spans.
+        # No documents to plant anything in: nothing beyond the base spans.
         return Trees((), (), (2.0,) * len(KINDS))
     model = GBTClassifier(
-        labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=TREE_DEPTH, seed=1
+        labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=STEP, seed=1
     ).fit(fit)
     trees = tuple(_tree(t.toDebugString.split("\n")[1:]) for t in model.trees)
     found = Trees(trees, tuple(model.treeWeights), ())
-    # Thresholds are for wide candidates, so base ones have no part in them. A kind that has wide
-    # ones only where the trees were fitted goes by those.
-    wide = cells.where("wide = 1")
-    unseen = wide.groupBy("kind").agg(F.max("held_out").alias("unseen"))
+    # A kind that has candidates only where the trees were fitted goes by those.
+    unseen = cells.groupBy("kind").agg(F.max("held_out").alias("unseen"))
     scored = (
-        wide.join(unseen, "kind").where("held_out = unseen")
+        cells.join(unseen, "kind").where("held_out = unseen")
         .withColumn("score", found.score({c: F.col(c) for c in FEATURES}))
         .groupBy("kind", "score")
         .agg(F.sum("weight").alias("all"), F.sum(F.col("weight") * F.col("label")).alias("good"))
@@ -278,6 +403,19 @@ def train(docs: DataFrame) -> Trees:
     return Trees(trees, found.weights, tuple(_threshold(scored, n) for n in range(len(KINDS))))
 
 
+def measured(docs: DataFrame, trees: Trees) -> DataFrame:
+    """For each kind, on windows held out: ``planted``, of these ``caught``; spans ``added``, of these ``right``."""
+    found = planted(docs).where("held_out").withColumn("spans", _spans(F.col("window"), trees))
+    every = F.concat("spans.base", "spans.added")
+    return found.select(
+        "kind",
+        F.col("truth").cast("long").alias("planted"),
+        (F.col("truth") & F.exists(every, _covers)).cast("long").alias("caught"),
+        F.size(F.filter("spans.added", lambda s: (s["kind"] == F.col("kind")) & _touches(s))).cast("long").alias("added"),
+        F.when(F.col("truth"), F.size(F.filter("spans.added", _covers))).otherwise(0).cast("long").alias("right"),
+    ).groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("planted", "caught", "added", "right")])
+
+
 def _threshold(scored, kind: int) -> float:
     """The lowest score from which on the wide candidates of a kind reach the precision."""
     found, every, good = 2.0, 0.0, 0.0
@@ -301,9 +439,12 @@ def _spans(text: Column, trees: Trees) -> Column:
         clear = F.filter(candidates, lambda c: ~F.exists(base, lambda b: _overlap(b, c)))
         with_score = F.transform(
             clear,
-            lambda c: F.struct(
-                trees.score(_features(c, text)).alias("score"),
-                c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"),
+            lambda c: let(
+                F.struct(*[v.alias(k) for k, v in _features(c, text).items()]),
+                lambda features: F.struct(
+                    trees.score(features).alias("score"),
+                    c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"),
+                ),
             ),
         )
         threshold = lambda c: _by_kind(c["kind"], lambda k: F.lit(trees.thresholds[KINDS.index(k)]))

@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import re
 import zlib
 
 import brute
@@ -251,17 +252,40 @@ def test_pii_trees_add_spans_and_leave_plain_text(spark, documents):
     assert pii.redacted(plain, trees).first() == plain.first()
 
 
-def test_pii_thresholds_cover_formats_of_few_documents(spark, documents):
-    """Of 40,000 documents 20 have a long ip address that is announced, and 20 one that is not."""
-    long = "concat_ws(':', transform(sequence(1, 8), k -> lower(hex(id * 7 + k * 4096))))"
-    rare = spark.range(20).selectExpr("id", f"concat('host ', {long}, ' up') AS text").union(
-        spark.range(20, 40).selectExpr("id", f"concat('ratio ', {long}, ' up') AS text")
-    )
-    plain = spark.range(40, 40_000).selectExpr("id", "concat('m', id, '@x.org ', id % 300, '.0.0.', id % 250) AS text")
-    docs = rare.union(plain)
-    trees = pii.train(docs)
-    found = pii.with_spans(rare, trees).collect()
-    assert [len(r.spans.added) for r in sorted(found, key=lambda r: r.id)] == [1] * 20 + [0] * 20
+def test_pii_recall_and_precision_on_planted_data(spark, documents):
+    """Trees fitted on some documents, measured on windows of others that they have not seen."""
+    other = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").where("doc_id >= 500")
+    trees = pii.train(documents)
+    found = {pii.KINDS[r.kind]: r for r in pii.measured(other, trees).collect()}
+    for kind, r in found.items():
+        print(kind, r)
+        assert r.caught >= 0.9 * r.planted and r.right >= 0.9 * r.added > 0, (kind, r)
+    assert set(found) == set(pii.KINDS)
+
+
+def test_pii_planted_is_where_it_is_said_to_be(spark, odd):
+    for r in pii.planted(odd).collect():
+        kind, found = pii.KINDS[r.kind], r.window[r.start : r.end]
+        number = re.sub("[^0-9]", "", found)
+        if kind == "card":
+            assert brute.luhn(number) == r.truth, r
+        elif kind == "ip":
+            assert found.count(":") == 7
+        elif kind == "email":
+            assert "at" in found and "dot" in found
+        else:
+            assert 6 <= len(number) <= 13
+
+
+def test_pii_wide_spans_stand_in_long_and_repeated_texts(spark, documents):
+    trees = pii.train(documents)
+    fill = "plain words go on and on " * 20_000
+    card = "credit card 4111.1111.1111.1111, "
+    texts = [fill + card + fill, card, card, "version 10.20.30 of 2024-01-15 10", "invoice 4111.1111.1111.1112 paid"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.spans.added for r in pii.with_spans(docs, trees).collect()}
+    assert [len(found[i]) for i in range(5)] == [1, 1, 1, 0, 0]
+    assert texts[0][found[0][0].start : found[0][0].end] == "4111.1111.1111.1111"
 
 
 def test_pii_redaction(spark, documents, odd, clashing):
