@@ -7,7 +7,9 @@ or extra. Each level is a join on what differed above, so sound archives cost on
 
 No node gathers more than ``FANOUT`` children or the records that begin within ``SPAN`` bytes, so
 a file with a third of all records is spread like any other. Records without a file share one
-nameless file. Null payloads count as empty; equal records at one offset are one.
+nameless file. Null payloads count as empty; equal records at one offset are one. A record that
+has another length in one replica moves those behind it: they are missing at one offset and extra
+at another. Pages without an id are dealt to files by a hash; equal ones lie in one file.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,63 +104,84 @@ def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     )
 
 
-def archived(pages: DataFrame) -> DataFrame:
-    """Pages as response records of WARC files of some pages each, with offsets, by page id."""
-    payload = F.coalesce("html", F.lit(""))
+def archived(pages: DataFrame, payload: Column | str = "html") -> DataFrame:
+    """Pages as response records of WARC files of some pages each, with offsets, by page id.
+
+    The declared length is that of ``html``; the bytes are those of ``payload``.
+    """
+    payload = F.coalesce(F.col(payload) if isinstance(payload, str) else payload, F.lit(""))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "),
         F.coalesce("url", F.lit("")),
         F.lit("\r\nContent-Length: "),
-        F.octet_length(payload).cast("string"),
+        F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
         F.lit("\r\n\r\n"),
         payload,
         F.lit("\r\n\r\n"),
     )
-    number = F.floor(F.coalesce("page_id", F.lit(0)) / PAGES_PER_FILE)
-    listed = pages.select(
+    without_id = -(-pages.where("page_id IS NULL").count() // PAGES_PER_FILE)
+    number = F.coalesce(
+        F.floor(F.col("page_id") / PAGES_PER_FILE).cast("string"),
+        F.concat(F.lit("none-"), F.pmod(F.xxhash64("url", "html"), F.lit(max(without_id, 1))).cast("string")),
+    )
+    offsets = pages.select(
         "page_id",
-        F.concat(F.lit("pages-"), number.cast("string"), F.lit(".warc")).alias("file"),
+        F.concat(F.lit("pages-"), number, F.lit(".warc")).alias("file"),
         F.octet_length(record).cast("long").alias("length"),
         F.sha2(record, 256).alias("digest"),
-        record.alias("record"),
     )
     before = W.partitionBy("file").orderBy("page_id", "digest").rowsBetween(W.unboundedPreceding, -1)
-    offsets = listed.select("page_id", "file", "length", "digest")
     return offsets.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def _replica(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two replicas with faults: overwritten records, and records that one of them has lost."""
-    overwritten = F.when(F.col("page_id") % 97 == 13, F.sha2(F.concat("digest", F.lit("bad")), 256))
-    one = records.where(~F.coalesce(F.col("page_id") % 503 == 11, F.lit(False)))
-    other = records.where(~F.coalesce(F.col("page_id") % 211 == 7, F.lit(False)))
-    return one, other.withColumn("digest", F.coalesce(overwritten, "digest"))
+def _damaged() -> Column:
+    """The payload as the second replica has it: some overwritten at their begin, a few cut in half."""
+    html = F.coalesce("html", F.lit(""))
+    return (
+        F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substr(html, F.lit(2))))
+        .when(F.col("page_id") % 3001 == 1500, F.substr(html, F.lit(1), F.floor(F.length(html) / 2).cast("int")))
+        .otherwise(html)
+    )
+
+
+def _without(records: DataFrame, every: int, at: int) -> DataFrame:
+    """A replica that has lost some records."""
+    return records.where(~F.coalesce(F.col("page_id") % every == at, F.lit(False)))
 
 
 @registered("""
-WITH record AS (
-  SELECT page_id, floor(coalesce(page_id, 0) / 1000) AS f,
-    strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ')
-    + strlen(coalesce(url, '')) + 2 + strlen('Content-Length: ')
-    + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 4 + strlen(coalesce(html, '')) + 4 AS length
+WITH page AS (
+  SELECT page_id, floor(coalesce(page_id, 0) / 1000) AS f, coalesce(html, '') AS html,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: '
+    || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)
+    || chr(13) || chr(10) || chr(13) || chr(10) AS head, chr(13) || chr(10) || chr(13) || chr(10) AS tail
   FROM pages),
+record AS (
+  SELECT page_id, 'pages-' || CAST(CAST(f AS BIGINT) AS VARCHAR) || '.warc' AS file, head || html || tail AS a,
+    head || CASE WHEN page_id % 97 = 13 THEN '#' || substr(html, 2)
+      WHEN page_id % 3001 = 1500 THEN substr(html, 1, length(html) // 2) ELSE html END || tail AS b
+  FROM page),
 placed AS (
-  SELECT page_id, 'pages-' || CAST(CAST(f AS BIGINT) AS VARCHAR) || '.warc' AS file, length,
-    coalesce(sum(length) OVER (PARTITION BY f ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM record)
-SELECT file, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
-  CASE WHEN page_id % 503 = 11 THEN 'extra' WHEN page_id % 211 = 7 THEN 'missing' ELSE 'changed' END AS status
-FROM placed
-WHERE (page_id % 503 = 11) <> (page_id % 211 = 7)
-  OR (page_id % 97 = 13 AND page_id % 503 <> 11 AND page_id % 211 <> 7)
+  SELECT page_id, file, strlen(a) AS la, strlen(b) AS lb, sha256(a) AS da, sha256(b) AS db,
+    coalesce(sum(strlen(a)) OVER before, 0) AS sa, coalesce(sum(strlen(b)) OVER before, 0) AS sb
+  FROM record
+  WINDOW before AS (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+one AS (SELECT file, sa AS start, la, da FROM placed WHERE page_id % 503 <> 11),
+other AS (SELECT file, sb AS start, lb, db FROM placed WHERE page_id % 211 <> 7)
+SELECT file, CAST(start AS BIGINT) AS start, CAST(coalesce(la, lb) AS BIGINT) AS length,
+  CASE WHEN lb IS NULL THEN 'missing' WHEN la IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM one FULL JOIN other USING (file, start)
+WHERE la IS NULL OR lb IS NULL OR la <> lb OR da <> db
 """)
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that differ between two replicas of the archived pages.
 
-    The faults are planted by page id; the audit sees only records, and finds them all.
+    Both replicas are hashed from their own bytes. The faults are planted by page id: overwritten
+    and shortened payloads, lost records; the audit sees only records.
     """
-    records = stored(archived(table(spark, sf_dir, "pages")), "records")
-    one, other = _replica(records)
+    pages = table(spark, sf_dir, "pages")
+    one = _without(stored(archived(pages), "records"), 503, 11)
+    other = _without(stored(archived(pages, _damaged()), "records"), 211, 7)
     found = audit(one, other)
     return found.select(
         "file", "start", F.coalesce("one.length", "other.length").alias("length"), "status"

@@ -3,7 +3,8 @@
 Of each window of ``WINDOW`` words the smallest hash of its ``KGRAM``-word grams is kept. Equal
 windows keep equal hashes, so each shared span of ``WINDOW`` words or more is found by joining
 these few hashes; then the windows behind a hit are compared in full. Items shorter than a window
-have no such guarantee and are looked up whole, at their own lengths.
+have no such guarantee and are looked up whole, at their own lengths: their hashes set bits of a
+filter of bounded size, and only windows of documents whose bit is set are compared.
 
 Null and empty texts have no words: such documents are clean, such items never occur. Repeated
 items count once by ``item_id``. Repeated rows of documents get a row each; rows that share a
@@ -19,6 +20,8 @@ from logtarn.llm.stored import stored
 
 WINDOW = 10
 KGRAM = 4
+#: Bits of the filter for short items, by item, and at most.
+ITEM_BITS, MOST_BITS = 16, 1 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,16 +61,6 @@ def minima(words: Column) -> Column:
     return let(words, of)
 
 
-def _windows(words: Column, length: Column | int) -> Column:
-    """All windows of a length, as struct(at, length, words)."""
-    return let(
-        words,
-        lambda words: F.transform(
-            _indices(F.size(words) - length + 1), lambda i: _window(words, i, length)
-        ),
-    )
-
-
 def _window(words: Column, at: Column, length: Column | int) -> Column:
     length = F.lit(length)
     return F.struct(
@@ -77,11 +70,50 @@ def _window(words: Column, at: Column, length: Column | int) -> Column:
     )
 
 
+def _bit(words: Column, at: Column, length: int, bits: int) -> Column:
+    """The bit of the filter that a window sets."""
+    return F.pmod(F.xxhash64(*[F.get(words, at + k) for k in range(length)]), F.lit(bits))
+
+
+def _short_windows(words: Column, items: DataFrame, lengths: list[int]) -> Column:
+    """Windows of these lengths whose bit is set by one of the items' windows."""
+    bits = ITEM_BITS
+    while bits < min(ITEM_BITS * items.count(), MOST_BITS):
+        bits *= 2
+    own = F.split("window", " ")
+    bit = F.coalesce(*[F.when(F.col("length") == n, _bit(own, F.lit(0), n, bits)) for n in lengths])
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+    rows = items.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("at")).agg(F.bit_or(mask).alias("mask"))
+    masks = ["0"] * -(-bits // 64)
+    for r in rows.collect():  # at most MOST_BITS / 64
+        masks[r["at"]] = str(r["mask"])
+    # A constant: the optimizer folds it to one literal array.
+    masks = F.split(F.lit(",".join(masks)), ",").cast("array<long>")
+
+    def of(words: Column, length: int) -> Column:
+        def is_set(at: Column) -> Column:
+            return let(
+                _bit(words, at, length, bits),
+                lambda bit: F.getbit(F.get(masks, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1,
+            )
+
+        found = F.filter(_indices(F.size(words) - (length - 1)), is_set)
+        return F.transform(found, lambda at: _window(words, at, length))
+
+    return let(words, lambda words: F.concat(*[of(words, n) for n in lengths]))
+
+
 def _row() -> Column:
     """Tells rows apart; null-safe, unlike the plain columns."""
     return F.struct(F.col("doc_id"), F.xxhash64("text").alias("text"))
 
 
+def _whole_windows(words: Column) -> Column:
+    """All windows of an item, as struct(at, length, words)."""
+    length = F.least(F.size(words), F.lit(WINDOW))
+    return F.transform(_indices(F.size(words) - length + 1), lambda at: _window(words, at, length))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """``item_id``, ``length`` and ``window`` of each window of each item."""
     return (
@@ -89,7 +121,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         .where(F.size("words") > 0)
         .select(
             "item_id",
-            F.explode(_windows(F.col("words"), F.least(F.size("words"), F.lit(WINDOW)))).alias("w"),
+            F.explode(_whole_windows(F.col("words"))).alias("w"),
         )
         .select("item_id", "w.length", "w.window")
         .distinct()
@@ -107,7 +139,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items.where(F.col("length") == WINDOW)
         .select(F.explode(minima(F.split("window", " "))).alias("minimum")).distinct()
     )
-    lengths = [r.length for r in items.where(F.col("length") < WINDOW).select("length").distinct().collect()]
+    short = items.where(F.col("length") < WINDOW)
+    lengths = sorted(r.length for r in short.select("length").distinct().collect())
 
     prints = stored(
         docs.select(
@@ -132,22 +165,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         docs.withColumn("row", _row()).join(marked, "row")
         .select("row", F.explode(_marked_windows(words_of(F.col("text")), F.col("marked"))).alias("w"))
     )
-    for length in lengths:
-        windows = windows.union(
-            docs.select(
-                _row().alias("row"),
-                F.explode(_windows(words_of(F.col("text")), length)).alias("w"),
-            )
-        )
+    if lengths:
+        of_short = _short_windows(words_of(F.col("text")), short, lengths)
+        windows = windows.union(docs.select(_row().alias("row"), F.explode(of_short).alias("w")))
     hits = stored(
         windows.select("row", "w.at", "w.length", "w.window")
         .join(items.select("window").distinct(), "window", "left_semi"),
         "window-hits",
     )
     covered = hits.groupBy("row").agg(_covered(F.collect_set(F.struct("at", "length"))).alias("n_hit"))
+    # Windows of one passage mostly have the same items: one array of them per window, and each
+    # array once per row.
+    of_window = items.groupBy("window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     named = (
-        hits.select("row", "window").distinct().join(items.select("item_id", "window"), "window")
-        .groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+        hits.select("row", "window").distinct().join(of_window, "window")
+        .groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
     )
     return prints.select("row", "n_words").join(covered, "row", "left").join(named, "row", "left").select(
         "row",

@@ -113,6 +113,19 @@ def test_merkle_odd_pages(spark):
     assert merkle.audit(records, none).count() == 4
 
 
+def test_merkle_cut_record_moves_those_behind_it(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "é" * (40 + i)) for i in range(1, 6)], "page_id long, url string, html string")
+    cut = F.when(F.col("page_id") == 3, "é").otherwise(F.col("html"))
+    one, other = merkle.archived(pages), merkle.archived(pages, cut)
+    sides = [{r.start: (r.length, r.digest) for r in side.collect()} for side in (one, other)]
+    wanted = {
+        (start, "missing" if start not in sides[1] else "extra" if start not in sides[0] else "changed")
+        for start in {*sides[0], *sides[1]} if sides[0].get(start) != sides[1].get(start)
+    }
+    assert {(r.start, r.status) for r in merkle.audit(one, other).collect()} == wanted
+    assert sorted(status for _, status in wanted) == ["changed", "extra", "extra", "missing", "missing"]
+
+
 # 3
 
 
@@ -421,6 +434,30 @@ def test_winnowing_short_items_and_edges(spark, odd, clashing):
     assert winnowing.overlaps(odd.limit(0), items).isEmpty()
 
 
+def test_winnowing_short_items_of_all_lengths(spark, documents, monkeypatch):
+    monkeypatch.setattr(winnowing, "MOST_BITS", 64)  # so that other windows pass the filter too
+    docs = documents.where("n_chars < 3000").limit(60)
+    words = {
+        i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        for i, t in texts(docs)
+    }
+    items = {}
+    for k, of in enumerate(w for w in words.values() if len(w) > 60):
+        items[f"i{k}"] = of[k : k + k % 9 + 1]
+        items[f"j{k}"] = [*of[k : k + k % 9], "neverseen"]
+    rows = [(i, " ".join(w)) for i, w in items.items()]
+    benchmark = spark.createDataFrame(rows, "item_id string, text string")
+    assert {len(w) for w in items.values()} == set(range(1, 10))
+    for r in winnowing.overlaps(docs, benchmark).collect():
+        of, hit, found = words[r.doc_id], set(), set()
+        for item, window in items.items():
+            for at in range(len(of) - len(window) + 1):
+                if of[at : at + len(window)] == window:
+                    hit.update(range(at, at + len(window)))
+                    found.add(item)
+        assert (r.n_words, r.n_hit, r["items"]) == (len(of), len(hit), sorted(found))
+
+
 def test_winnowing_items_with_repeated_words(spark, documents):
     items = benchmark(spark, "a a a a a a a a a a a a", "b a a a a a a a a a")
     rows = ["a " * 30, "x b " + "a " * 9 + "y", "a " * 9 + "b " + "a " * 8, "A! " * 10]
