@@ -10,8 +10,8 @@ around a hit tells abuse from quotation: quotation marks that open before and cl
 of reporting, words of address. A document's hits are summed up in a few figures, which a logistic
 regression turns into a score.
 
-The lexicon counts all labelled documents outside the held-out fifth, one of near copies. The
-weights are fitted on about ``TOXIC`` toxic and ``OTHER`` other ones of these, and on copies of the
+The lexicon counts the labelled documents outside the held-out fifth, one of near copies; beyond
+about ``LABELLED`` of them, so many drawn by a hash of the id. The weights are fitted on about ``TOXIC`` toxic and ``OTHER`` other ones of these, and on copies of the
 toxic ones whose terms are misspelled or addressed to someone (still toxic) or quoted (not).
 Scoring covers all documents and whole texts. Neither labels nor language, source or id enter a
 score. Null or empty text has no hits and gets the score of a text without hits. Without labels of
@@ -35,6 +35,8 @@ from logtarn.llm.stored import stored
 from logtarn.llm.textbytes import named, owner, pieces, runs, utf8
 from logtarn.llm.winnowing import minima, words_of
 
+#: Labelled documents to learn from: about so many for the lexicon, so many of each label for the weights.
+LABELLED = 500_000
 TOXIC = 3000
 OTHER = 6000
 TERMS = 256
@@ -331,19 +333,34 @@ def fold(doc_id: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text`` and ``toxic`` of all labelled documents outside the held-out fold, one of near copies."""
-    usable = (
+    """``text`` and ``toxic`` of labelled documents outside the held-out fold, one of near copies.
+
+    Labels of about ``LABELLED`` ids, so they go to the texts and no text is shuffled.
+    """
+    usable = stored(
         labels.where(fold(F.col("doc_id")) != 0).where("toxic IN (0, 1)")
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")),
+        "labels",
     )
-    return stored(
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id")
-        # Near copies mostly share their smallest shingle hash.
-        .withColumn("copy", F.coalesce(F.array_min(minima(words_of(F.col("text")))), F.xxhash64("text")))
-        .groupBy("copy").agg(F.min("text").alias("text"), F.min_by("toxic", "text").cast("int").alias("toxic"))
-        .select("text", "toxic"),
+    usable = usable.where(_place("doc_id") < LABELLED / max(usable.count(), 1))
+    # Near copies mostly share their smallest shingle hash.
+    copy = F.coalesce(F.array_min(minima(words_of(F.col("text")))), F.xxhash64("text"))
+    drawn = stored(
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(usable), "doc_id")
+        .select("text", "toxic", copy.alias("copy"), F.monotonically_increasing_id().alias("row")),
         "labelled",
     )
+    one = F.min(F.struct(F.xxhash64("text"), "toxic", "row"))
+    chosen = stored(drawn.groupBy("copy").agg(one.alias("one")).select("one.row"), "chosen")
+    # Ids that repeat could make these more than the bound.
+    chosen = F.broadcast(chosen) if chosen.count() <= 2 * LABELLED else chosen
+    return drawn.join(chosen, "row").select("text", "toxic")
+
+
+def _place(column: str) -> Column:
+    """A number from 0 to 1 by the hash of a value."""
+    return F.xxhash64(column).bitwiseAND((1 << 30) - 1) / float(1 << 30)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], in_words: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -351,31 +368,48 @@ def _counted(batches: Iterator[pa.RecordBatch], in_words: np.ndarray) -> Iterato
     for batch in pieces(batches, 0):
         _, points, ends, begin, end = _letters(batch.column(0), in_words)
         toxic = batch.column(1).to_numpy()
-        doc = owner(begin, ends)
+        doc, length = owner(begin, ends), end - begin
+        name = named(_between(points, begin, length).view(np.uint8), length * 4)
+        # Each word of a piece is named once; beginnings are taken from the words, not the texts.
+        _, example = np.unique(name, return_index=True)
+        doc, name = _pairs(doc, name)
+        first, length = begin[example], length[example]
         for size in (0, *STEMS):
-            some = end - begin > size if size else end - begin >= 3
-            if not some.any():
+            some = np.flatnonzero(length > size if size else length >= 3)
+            if not len(some):
                 continue
-            first, length = begin[some], (np.full(some.sum(), size) if size else (end - begin)[some])
-            at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
-            letters = points[at]
-            name = named(letters.view(np.uint8), length * 4)
-            pair = np.unique(np.stack([doc[some], name], 1), axis=0)
-            _, example = np.unique(name, return_index=True)
-            share = np.bincount(pair[:, 1], toxic[pair[:, 0]], len(example)).astype(np.int64)
-            every = np.bincount(pair[:, 1], minlength=len(example))
-            texts = [
-                points[first[i] : first[i] + length[i]].tobytes().decode("utf-32-le") for i in example.tolist()
-            ]
+            sizes = np.full(len(some), size) if size else length[some]
+            term = np.full(len(first), -1)
+            term[some] = named(_between(points, first[some], sizes).view(np.uint8), sizes * 4)
+            having = term[name] >= 0
+            text, found = _pairs(doc[having], term[name[having]])
+            every = np.bincount(found)
+            share = np.bincount(found, toxic[text]).astype(np.int64)
+            _, at = np.unique(term[some], return_index=True)
             yield pa.RecordBatch.from_pydict({
-                "term": pa.array(texts, pa.string()),
-                "stem": pa.array(np.full(len(texts), bool(size))),
+                "term": pa.array(
+                    [points[a : a + n].tobytes().decode("utf-32-le")
+                     for a, n in zip(first[some[at]].tolist(), sizes[at].tolist(), strict=True)],
+                    pa.string(),
+                ),
+                "stem": pa.array(np.full(len(at), bool(size))),
                 "toxic": pa.array(share), "other": pa.array(every - share),
-            })
+            })
+
+
+def _between(points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The code points of each word, end to end."""
+    return points[np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())]
+
+
+def _pairs(doc: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of text and name."""
+    count = int(name.max(initial=0)) + 1
+    return np.divmod(np.unique(doc * count + name), count)
 
 
 def learn_lexicon(labelled: DataFrame, n_toxic: int, n_other: int) -> Lexicon:
-    """Terms of the largest log-odds, at most TERMS of each sort, from all labelled texts."""
+    """Terms of the largest log-odds, at most TERMS of each sort."""
     if not n_toxic or not n_other:
         return Lexicon({}, {})
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
@@ -385,12 +419,12 @@ def learn_lexicon(labelled: DataFrame, n_toxic: int, n_other: int) -> Lexicon:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _counted(batches, np.unpackbits(in_words).astype(bool))
 
-    counted = (
+    frequent = stored(
         labelled.mapInArrow(run, "term string, stem boolean, toxic long, other long")
         .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .withColumn("odds", odds)
-    )
-    frequent = counted.where(F.col("toxic") >= max(5, SHARE * n_toxic))
+        .where(F.col("toxic") >= max(5, SHARE * n_toxic)),
+        "terms",
+    ).withColumn("odds", odds)
     words = (
         frequent.where(~F.col("stem") & (sure >= LOG_ODDS))
         .orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
@@ -413,7 +447,7 @@ def learn_lexicon(labelled: DataFrame, n_toxic: int, n_other: int) -> Lexicon:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon and automaton from all labelled documents, weights from the bounded sample."""
+    """Lexicon, automaton and weights from the bounded samples of labelled documents."""
     labelled = _labelled(docs, labels)
     sizes = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
@@ -439,10 +473,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             )
 
     share = F.when(F.col("toxic") == 1, TOXIC / max(n_toxic, 1)).otherwise(OTHER / max(n_other, 1))
-    place = F.xxhash64("text").bitwiseAND((1 << 30) - 1) / float(1 << 30)
     # About TOXIC * (1 + len(COPIES)) + OTHER rows of figures, whatever the input.
     made = "figures array<double>, toxic int, weight double"
-    rows = labelled.where(place < share).mapInArrow(run, made).collect()
+    rows = labelled.where(_place("text") < share).mapInArrow(run, made).collect()
     x = np.array([r.figures for r in rows]).reshape(len(rows), len(FIGURES))
     y, weight = np.array([r.toxic for r in rows], float), np.array([r.weight for r in rows], float)
     return Model(automaton, *_fitted(x, y, weight))
