@@ -87,17 +87,13 @@ def _complete(spark: SparkSession, path: str, batch: str) -> None:
             drop_mark(spark, done_mark(path), mark)
 
 
-#: Raw text that goes into one compacted file, about.
-COMPACTED_BYTES = 256 << 20
-
-
-def write_compacted(records: DataFrame, path: str, batch: str, size: int) -> None:
+def write_compacted(records: DataFrame, path: str, batch: str) -> None:
     """Write records as zstd Parquet under ``date=``, replacing an earlier attempt at the batch.
 
-    ``size`` is that of their text. Tasks of the scan are put together to some 256 MB each, which
-    needs no shuffle; each writes a file per day it has, few in a run over new objects.
+    All tasks of the scan parse. Rebalancing by day then makes few files, one per day unless a day
+    holds too much for one task, and bounds what a task has to sort, however much is written.
     """
-    write_parquet(records.coalesce(max(1, -(-size // COMPACTED_BYTES))), path, batch)
+    write_parquet(records.hint("rebalance", "date"), path, batch)
 
 
 #: Fields looked up by value. Their values lie all over a file, so its statistics exclude nothing.

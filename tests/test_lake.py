@@ -838,3 +838,47 @@ def test_a_backlog_is_taken_in_batches_of_bounded_bytes(spark, lake, tmp_path):
     running.awaitTermination()
     taken = [p["numInputRows"] for p in running.recentProgress if p["numInputRows"]]
     assert taken == [200, 200, 200] and read_raw(spark, lake, "logs").count() == 600
+
+
+def parses(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+
+
+def test_a_checked_line_is_parsed_once_whatever_is_asked_of_it(spark):
+    checked = compact.check_lines(spark.createDataFrame([(GOOD, "f")], "value string, source_file string"), "logs")
+    for reason in (F.col("reason").isNull(), F.col("reason").isNotNull()):
+        assert parses(checked.where(reason)) == 1
+    assert checked.collect() == [(GOOD, "f", None)]
+
+
+def test_salvaging_checks_lines_of_flawed_objects_only(spark, lake, monkeypatch):
+    """The judging pass sees all lines, the passes after it those of flawed objects."""
+    put(lake, "a.ndjson", "\n".join([GOOD] * 3))
+    put(lake, "b.ndjson", "\n".join([GOOD, "{oops", GOOD]))
+    seen_by, check = [], compact.check_lines
+
+    def checking(lines, stream):
+        seen_by.append(lines.count())
+        return check(lines, stream)
+
+    monkeypatch.setattr(compact, "check_lines", checking)
+    compact_raw(spark, lake, "logs", salvage=True)
+    monkeypatch.undo()
+    assert seen_by == [6, 3]
+    assert read_compacted(spark, lake, "logs").count() == 5
+    assert [r.line for r in read_quarantine(spark, lake, "logs").collect()] == ["{oops"]
+
+
+def test_objects_without_a_name_are_salvaged_too(spark, lake):
+    lines = spark.createDataFrame([(GOOD, None), ("{oops", None)], "value string, source_file string")
+    compact_lines(lines, lake, "logs", "b", salvage=True)
+    assert lines_of(read_compacted(spark, lake, "logs")) == [GOOD]
+
+
+def test_compaction_parses_in_all_tasks_of_the_scan(spark, tmp_path):
+    rows = [(json.dumps({"ts": f"2024-01-0{1 + n % 2}T00:00:{n % 60:02d}Z"}), "f") for n in range(400)]
+    lines = spark.createDataFrame(rows, "value string, source_file string").repartition(8)
+    records = compact.project_records(lines, "logs").withColumn("xname", F.spark_partition_id().cast("string"))
+    sinks.write_compacted(records, str(tmp_path / "t"), "b")
+    assert spark.read.parquet(str(tmp_path / "t")).select("xname").distinct().count() == 8
+    assert len(list(tmp_path.rglob("*.parquet"))) == 2
