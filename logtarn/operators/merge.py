@@ -2,7 +2,7 @@
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from logtarn.operators.compact import settle, stored_fields
@@ -14,6 +14,8 @@ from logtarn.sources.sinks import write_parquet
 
 #: Bytes of a merged file, about.
 MERGED_BYTES = 128 << 20
+#: Bytes that a task lays, unless a day of at most a file has more.
+LAID_BYTES = 4 << 20
 #: Days' parts that one merging run takes; a call makes as many runs as there is need for.
 PARTS = 2048
 
@@ -41,8 +43,8 @@ def merge_small(spark: SparkSession, lake: Lake, stream: str, size: int = MERGED
     """Rewrite small files of the compacted tier, day by day, as files of about ``size`` bytes.
 
     A run that came late, and every run of a busy lake, leaves small files for the days it touches.
-    Whole parts, what a run has stored for a day, are read once, laid in ranges of day and time and
-    written as a run of their own, which stands for them from the moment it is complete; the next
+    Whole parts, what a run has stored for a day, are read, laid by day, or in ranges of time where a
+    day fills more than a file, and written as a run of their own, which stands for them from the moment it is complete; the next
     run deletes them, so queries that began before can go on reading. A run that died is undone.
     Returns how many parts were merged. Runs over one stream go one after the other.
     """
@@ -54,23 +56,43 @@ def merge_small(spark: SparkSession, lake: Lake, stream: str, size: int = MERGED
         taken = [days.pop(0)]
         while days and sum(len(day.parts) for day in [*taken, days[0]]) <= PARTS:
             taken.append(days.pop(0))
-        names = [part for day in taken for part in day.parts]
-        _rewrite(spark, lake, stream, names, sum(day.bytes for day in taken), size)
-        merged += len(names)
+        _rewrite(spark, lake, stream, taken, size)
+        merged += sum(len(day.parts) for day in taken)
     return merged
 
 
-def _rewrite(
-    spark: SparkSession, lake: Lake, stream: str, parts: list[str], total: int, size: int
-) -> None:
+def _rewrite(spark: SparkSession, lake: Lake, stream: str, days: list[Row], size: int) -> None:
     batch = f"merge-{uuid4().hex}"
     put_mark(spark, lake.attempts(stream), batch)
     columns = (*stored_fields(stream), "payload_json", "source_file", "compacted_on")
     schema = strings(columns).add("event_ts", "timestamp").add("date", "date").add("batch", "string")
     part = F.concat_ws("/", F.col("batch"), F.coalesce(F.col("date").cast("string"), F.lit("")))
+    parts = [name for day in days for name in day.parts]
     records = load(spark, schema, lake.compacted(stream), "parquet").where(part.isin(*parts))
-    files = max(1, -(-total // size))
-    laid = records.drop("batch").repartitionByRange(files, "date", "event_ts", F.xxhash64("payload_json"))
-    write_parquet(laid, lake.compacted(stream), batch)
+    write_parquet(_laid(records.drop("batch"), days, size), lake.compacted(stream), batch)
     put_mark(spark, lake.replaced(stream), batch, parts=parts, quarantined=[])
     drop_mark(spark, lake.attempts(stream), batch)
+
+
+def _laid(records: DataFrame, days: list[Row], size: int) -> DataFrame:
+    """The records of the days in partitions: days of at most a file whole, as many as fill
+    :data:`LAID_BYTES`, larger ones in ranges of time of about ``size`` each."""
+    day = F.coalesce(F.col("date").cast("string"), F.lit(NO_DAY))
+    large = [d for d in days if d.bytes > size]
+    laid, bins, filled = [], {}, 0
+    for d in days:
+        if d.bytes <= size:
+            filled += d.bytes
+            last = max(bins.values(), default=0)
+            if bins and filled > LAID_BYTES:
+                last, filled = last + 1, d.bytes
+            bins[d.day] = last
+    if bins:
+        of = records.sparkSession.createDataFrame(list(bins.items()), "day string, bin int")
+        whole = records.where(day.isin(*bins)).withColumn("day", day).join(F.broadcast(of), "day")
+        laid.append(whole.repartitionById(max(bins.values()) + 1, "bin").drop("day", "bin"))
+    if large:
+        files = sum(-(-d.bytes // size) for d in large)
+        ranged = records.where(day.isin(*[d.day for d in large]))
+        laid.append(ranged.repartitionByRange(files, "date", "event_ts", F.xxhash64("payload_json")))
+    return laid[0] if len(laid) == 1 else laid[0].unionByName(laid[1])

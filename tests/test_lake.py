@@ -882,3 +882,25 @@ def test_compaction_parses_in_all_tasks_of_the_scan(spark, tmp_path):
     sinks.write_compacted(records, str(tmp_path / "t"), "b")
     assert spark.read.parquet(str(tmp_path / "t")).select("xname").distinct().count() == 8
     assert len(list(tmp_path.rglob("*.parquet"))) == 2
+
+
+def test_merging_shares_days_among_tasks(spark, lake, monkeypatch):
+    store_runs(spark, lake, 4)
+    before = lines_of(read_compacted(spark, lake, "logs"))
+    monkeypatch.setattr(merge, "LAID_BYTES", 1)
+    assert merge_small(spark, lake, "logs") == 16
+    assert lines_of(read_compacted(spark, lake, "logs")) == before
+    merge_small(spark, lake, "logs")  # deletes what was replaced
+    parts = [p.name[:10] for p in Path(lake.compacted("logs")).rglob("*.parquet")]
+    assert len(parts) == len(set(parts)) == 4
+
+
+def test_merging_lays_large_days_in_ranges_beside_small_ones(spark, lake):
+    store_runs(spark, lake, 2)
+    days = merge.small_parts(spark, lake, "logs", 1 << 20).collect()
+    size = min(d.bytes for d in days)
+    stored = read_compacted(spark, lake, "logs")
+    laid = merge._laid(stored, days, size)
+    assert lines_of(laid) == lines_of(stored) and laid.rdd.getNumPartitions() > 1
+    assert {len(d) for d in laid.withColumn("p", F.spark_partition_id()).groupBy("p").agg(
+        F.collect_set("date").alias("d")).toPandas()["d"]} <= {0, 1}
